@@ -25,7 +25,19 @@ _WORD_GATES = {
     "otp": ["otp", "2fa", "mfa"],
     "birth": ["dob", "born", "birth"],
 }
-_SHAPE_GATES = {"digit": "[0-9]", "d4": "[0-9]{4}", "d6": "[0-9]{6}", "d8": "[0-9]{8}", "ipdot": r"[0-9]\.[0-9]"}
+# gate name -> shape that every match of the gated detectors contains
+_SHAPE_GATES = {
+    "digit": "[0-9]",
+    "d4": "[0-9]{4}",
+    "d6": "[0-9]{6}",
+    "d8": "[0-9]{8}",
+    "run7": r"[0-9](?:[\s.+-]?[0-9]){6}",  # seven digits, at most one separator between any two
+    "letdig": "[A-Za-z][0-9]{2}",
+    "capdig": "[A-Z][0-9]{2}",
+    "digword": r"[0-9]\s+[A-Za-zÀ-ÿ]",
+    "diglet": "[0-9][A-Za-z]{2}",
+    "ipdot": r"[0-9]\.[0-9]",
+}
 _PIECE_GATES = {"live": ["sk-live", "sk_live"], "test": ["sk-test", "sk_test"]}
 
 
@@ -140,25 +152,35 @@ def merge_sql(built_in: str, custom: str) -> str:
     return f"array_sort(concat({built_in}, {custom}))"
 
 
+def _once(expr: str) -> str:
+    """Evaluate ``expr`` exactly once per row.
+
+    The optimizer merges projections and pushes filters through them by copying expressions; it
+    does neither across a generator. OUTER keeps it from adding a filter on the generator's input.
+    """
+    return f"explode_outer(array({expr}))"
+
+
 def with_raw_and_matches(
     df: DataFrame, text: str = "text", types: Sequence[str] | None = None, pack: str = "server"
 ) -> DataFrame:
     """``df`` plus ``raw`` (all valid spans) and ``matches`` (overlaps resolved).
 
-    Gates, raw spans and resolution are separate projections, so each is evaluated once per row
-    even though later columns refer to it many times.
+    Gates are a projection of their own; raw spans and resolved matches come out of one-element
+    generators, so neither later columns nor pushed-down filters can evaluate them again.
     """
     chosen = _chosen(pack, types)
     gates = list(dict.fromkeys(d.gate for d in chosen if d.gate))
     parts = [detector_sql("_txt", d, f"_gates.g{gates.index(d.gate)}" if d.gate else None) for d in chosen]
     raw = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    flags = ", ".join(f"{gate_sql(g, '_txt', '_low')} AS g{i}" for i, g in enumerate(gates))
+    tests = [(g, gate_sql(g, "_txt", "_low")) for g in gates]
+    flags = ", ".join(f"{f'IF(_digit, {c}, false)' if g in _SHAPE_GATES else c} AS g{i}" for i, (g, c) in enumerate(tests))
     staged = (
         df.selectExpr("*", f"coalesce({text}, '') AS _txt")
-        .selectExpr("*", "lower(_txt) AS _low")
+        .selectExpr("*", "lower(_txt) AS _low", "_txt RLIKE '[0-9]' AS _digit")
         .selectExpr("*", f"struct({flags}) AS _gates")
-        .selectExpr("*", f"{raw} AS raw")
-        .selectExpr("*", f"{resolve_sql('raw')} AS matches")
+        .selectExpr("*", f"{_once(raw)} AS raw")
+        .selectExpr("*", f"{_once(resolve_sql('raw'))} AS matches")
     )
     return staged.select(*df.columns, "raw", "matches")
 
@@ -174,7 +196,8 @@ def with_matches(
     staged = with_raw_and_matches(df, text, types, pack).drop("raw")
     if terms is None:
         return staged
-    return staged.withColumn("matches", F.expr(merge_sql("matches", terms_sql(text, terms))))
+    merged = merge_sql("matches", terms_sql(text, terms))
+    return staged.selectExpr(*df.columns, f"{_once(merged)} AS matches")
 
 
 def types_of(matches: Column) -> Column:
@@ -188,6 +211,5 @@ def positions(matches: Column) -> Column:
 
 def explode_matches(df: DataFrame, keys: Sequence[str], matches: str = "matches") -> DataFrame:
     """Long ``matches`` table: one row per span."""
-    return df.select(*keys, F.explode(matches).alias("m")).select(
-        *keys, "m.type", "m.start", "m.end", "m.value", "m.country", "m.ord"
-    )
+    long = df.select(*keys, F.explode_outer(matches).alias("m")).filter("m IS NOT NULL")
+    return long.select(*keys, "m.type", "m.start", "m.end", "m.value", "m.country", "m.ord")

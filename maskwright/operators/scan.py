@@ -69,14 +69,22 @@ def is_safe() -> Column:
     return F.col("action") != "BLOCK"
 
 
-def gate_split(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(passed, held): blocked rows are held out with an error record.
-
-    Both outputs come from ``scanned``; write it once (or checkpoint) first if both are stored.
-    """
+def gate(scanned: DataFrame) -> DataFrame:
+    """Adds ``route``, ``error_code`` and ``error``: blocked rows are held with an error record."""
     error = F.concat(F.lit("Request blocked: sensitive data detected ("), F.array_join("detected_types", ", "), F.lit(")"))
-    held = scanned.filter(F.col("action") == "BLOCK").withColumn("error_code", F.lit("CONTENT_BLOCK")).withColumn("error", error)
-    return scanned.filter(F.col("action") != "BLOCK"), held
+    held = F.col("action") == "BLOCK"
+    return (
+        scanned.withColumn("route", F.when(held, "held").otherwise("passed"))
+        .withColumn("error_code", F.when(held, "CONTENT_BLOCK"))
+        .withColumn("error", F.when(held, error))
+    )
+
+
+def gate_split(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passed, held). Store the gated rows once (partitioned by ``route``) if both are wanted;
+    two separate actions on the result scan the texts twice."""
+    gated = gate(scanned)
+    return gated.filter("route = 'passed'"), gated.filter("route = 'held'")
 
 
 def corpus_summary(scanned: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
@@ -103,7 +111,7 @@ def type_counts(matched: DataFrame, by: Sequence[str]) -> DataFrame:
         spans.types_of(F.col("matches")),
         lambda t: F.struct(t.alias("type"), F.size(F.filter("matches", lambda m: m["type"] == t)).alias("n")),
     )
-    pairs = matched.select(*by, F.explode(per_doc).alias("p")).select(*by, "p.type", "p.n")
+    pairs = matched.select(*by, F.explode_outer(per_doc).alias("p")).filter("p IS NOT NULL").select(*by, "p.type", "p.n")
     return pairs.groupBy(*by, "type").agg(F.sum(F.col("n").cast("long")).alias("matches"), F.count("*").alias("documents"))
 
 

@@ -148,7 +148,7 @@ def u_matches(t):
 @query("u_types", "SELECT DISTINCT source, type FROM kept JOIN corpus USING (doc_id)", _all)
 def u_types(t):
     df = spans.with_matches(seeded(t.documents).select("doc_id", "source", "text"))
-    return df.select("source", F.explode(spans.types_of(F.col("matches"))).alias("type")).distinct()
+    return df.select("source", F.explode_outer(spans.types_of(F.col("matches"))).alias("type")).filter("type IS NOT NULL").distinct()
 
 
 # --- validators over a column of candidates: digits and letters cut out of the corpus ---------

@@ -233,9 +233,8 @@ def scan_and_redact(t):
     _DOC,
 )
 def gate_split(t):
-    passed, held = S.gate_split(S.scan(_docs(t)))
-    left = passed.select("doc_id", "action", F.lit("passed").alias("route"), F.lit(None).cast("string").alias("error"))
-    return left.unionByName(held.select("doc_id", "action", F.lit("held").alias("route"), "error"))
+    """Both branches in one pass: the route is a column, the outputs are filters on it."""
+    return S.gate(S.scan(_docs(t), redact=False)).select("doc_id", "action", "route", "error")
 
 
 _SUMMARY = f"""SELECT source, count(*) AS total, count(*) FILTER (WHERE action = 'BLOCK') AS blocked, count(*) FILTER (WHERE action = 'WARN') AS warned,
@@ -360,8 +359,8 @@ def scan_summary_text(t):
 
 @query("match_position", "SELECT doc_id, type, s || '-' || e AS position FROM kept", _KEPT)
 def match_position(t):
-    df = spans.with_matches(_docs(t)).select("doc_id", F.explode("matches").alias("m"))
-    return df.select("doc_id", F.col("m.type"), F.concat_ws("-", "m.start", "m.end").alias("position"))
+    m = spans.explode_matches(spans.with_matches(_docs(t)), ["doc_id"])
+    return m.select("doc_id", "type", F.concat_ws("-", "start", "end").alias("position"))
 
 
 @query("hash_prefix", "SELECT doc_id, type, s AS start_at, '[' || type || ':' || sha256(v)[:8] || ']' AS tag FROM kept", _KEPT)
