@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "scanning"]
+MODULES = ["detection", "scanning", "filters"]
 
 
 def load() -> None:
