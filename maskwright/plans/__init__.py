@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "scanning", "filters"]
+MODULES = ["detection", "scanning", "filters", "joins", "aggregates", "windows"]
 
 
 def load() -> None:
