@@ -47,9 +47,9 @@ def extract_text(content: Column, mime: Column) -> Column:
     )
 
 
-def size_error(text: Column, n_bytes: Column | None = None) -> Column:
+def size_error(text: Column, n_bytes: Column | None = None, max_chars: int = MAX_CHARS) -> Column:
     """Error code of a record that is too large, else NULL."""
-    out = F.when(F.length(text) > MAX_CHARS, "TEXT_TOO_LARGE")
+    out = F.when(F.length(text) > max_chars, "TEXT_TOO_LARGE")
     return out if n_bytes is None else out.when(n_bytes > MAX_BYTES, "FILE_TOO_LARGE")
 
 

@@ -357,3 +357,72 @@ def report_totals(users: DataFrame, events: DataFrame, start: str, end: str) ->
 
 def control_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONTROLS, "framework string, control string, name string, implementation string, section int")
+
+
+# --- small scalar rules --------------------------------------------------------------------
+
+
+def key_hash(raw: Column) -> Column:
+    return F.sha2(raw, 256)
+
+
+def key_preview(prefix: Column) -> Column:
+    return F.concat(F.substring(prefix, 1, 12), F.lit("..."))
+
+
+def member_status() -> Column:
+    return (
+        F.when(F.col("role") == "admin", "active")
+        .when((F.col("invite_status") == "invited") & ~F.col("extension_installed"), "invited")
+        .when(F.col("extension_installed") & F.col("last_seen_at").isNotNull(), "active")
+        .when(F.col("extension_installed"), "installed")
+        .otherwise("pending")
+    )
+
+
+def seconds_between(a: Column, b: Column) -> Column:
+    return F.timestamp_diff("SECOND", a, b)
+
+
+def trial_days_left(ends: Column, as_of: str) -> Column:
+    return F.greatest(F.lit(0), F.ceil(seconds_between(L.at(as_of), ends) / 86400))
+
+
+def trial_locked(plan: Column, ends: Column, as_of: str) -> Column:
+    """Cancelled, or neither super nor active with the trial over."""
+    over = ~plan.isin("super", "active") & F.coalesce(ends < L.at(as_of), F.lit(False))
+    return (plan == "cancelled") | over
+
+
+def plan_label(plan: Column) -> Column:
+    return F.coalesce(map_lookup(PLAN_LABELS, plan), plan, F.lit("Free Trial"))
+
+
+def time_ago(at: Column, as_of: str) -> Column:
+    s = seconds_between(at, L.at(as_of))
+    n = lambda unit: F.floor(s / unit).cast("string")
+    return (
+        F.when(at.isNull(), F.lit(None).cast("string"))
+        .when(s < 60, "just now")
+        .when(s < 3600, F.concat(n(60), F.lit(" min ago")))
+        .when(s < 86400, F.concat(n(3600), F.lit(" hours ago")))
+        .when(s < 604800, F.concat(n(86400), F.lit(" days ago")))
+        .otherwise(F.date_format(at, "yyyy-MM-dd"))
+    )
+
+
+def csv_quote(v: Column) -> Column:
+    text = F.coalesce(v.cast("string"), F.lit(""))
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def email_domain(email: Column) -> Column:
+    return F.lower(F.split_part(email, F.lit("@"), F.lit(2)))
+
+
+def type_label(t: Column) -> Column:
+    return F.coalesce(map_lookup(TYPE_NAMES, t), t)
+
+
+def type_hint(t: Column) -> Column:
+    return F.coalesce(map_lookup(TYPE_HINTS, t), F.lit(TYPE_HINT_OTHER))

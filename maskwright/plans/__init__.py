@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "scanning", "filters", "joins", "aggregates", "windows"]
+MODULES = ["detection", "scanning", "texts", "filters", "joins", "aggregates", "windows", "paging", "mutations", "scalars"]
 
 
 def load() -> None:

@@ -341,12 +341,12 @@ def j_org_rules(t):
 
 
 @query(
-    "scan_metadata_log",
+    "sink_metadata_log",
     f"""SELECT doc_id, 'direct' AS provider, CAST(NULL AS VARCHAR) AS model, '[' || CASE WHEN types = '' THEN '' ELSE '"' || replace(types, ',', '","') || '"' END || ']' AS detected_types,
          {_ACT} AS action, CAST(ceil(n_chars / 4) AS BIGINT) AS prompt_tokens, TIMESTAMP '{AS_OF}' AS timestamp FROM pd""",
     _DOC,
 )
-def scan_metadata_log(t):
+def sink_metadata_log(t):
     """Log rows of a scan: decision and types, never the text."""
     return sinks.metadata_log(S.scan(_docs(t), redact=False), ["doc_id"], AS_OF).drop("latency_ms")
 
