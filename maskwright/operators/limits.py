@@ -129,13 +129,13 @@ def _mark(window: int):
                     j = int(np.searchsorted(times, times[i] + window, side="left"))
                     starts[lo + i : lo + j] = times[i]
                     i = j
-            yield pdf[["client", "id", "at"]].assign(window_start=starts)
+            yield pdf[["client", "id", "at", "weight"]].assign(window_start=starts)
 
     return run
 
 
 def window_starts(requests: DataFrame, window: int = WINDOW_SECONDS, slot: int = 600) -> DataFrame:
-    """``window_start`` of every request ``(client, id, at)``; ``at`` in whole units of ``window``.
+    """``window_start`` of every request ``(client, id, at, weight)``; ``at`` in whole units of ``window``.
 
     A window opens at a client's first request, and again at the first request at or after its
     end, so windows form a chain through all of a client's requests. Slots of that chain are
@@ -145,22 +145,25 @@ def window_starts(requests: DataFrame, window: int = WINDOW_SECONDS, slot: int =
     """
     if slot < window:
         raise ValueError("a slot must not be shorter than the window")
-    d = requests.select("client", "id", "at").withColumn("slot", F.floor(F.col("at") / slot))
+    d = requests.withColumn("slot", F.floor(F.col("at") / slot))
     by_slot = d.select("client", "slot", "at").distinct().repartition("client", "slot").sortWithinPartitions("client", "slot", "at")
     steps = by_slot.mapInPandas(_slot_steps(window, slot), "client long, slot long, until long, exit long")
     in_order = steps.repartition("client").sortWithinPartitions("client", "slot", "until")
     entries = in_order.mapInPandas(_carry(window), "client long, slot long, entry long")
     placed = d.join(entries, ["client", "slot"]).repartition("client", "slot").sortWithinPartitions("client", "slot", "at", "id")
-    return placed.mapInPandas(_mark(window), "client long, id long, at long, window_start long")
+    return placed.mapInPandas(_mark(window), "client long, id long, at long, weight long, window_start long")
 
 
 def rate_limit(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, slot: int = 600) -> DataFrame:
-    """``n`` = number of the request in its window; ``limited`` beyond the limit.
+    """``n`` = number of the request in its window; ``limited`` beyond the limit. A ``weight`` column
+    lets one row stand for several earlier requests.
 
     The number is a running count per (client, window), itself taken in sub-slots so that one
     dense window is not sorted in one task.
     """
-    started = window_starts(requests, window, slot)
+    weight = F.col("weight") if "weight" in requests.columns else F.lit(1)
+    base = requests.select(*[F.col(c).cast("long").alias(c) for c in ("client", "id", "at")], weight.cast("long").alias("weight"))
+    started = window_starts(base, window, slot)
     sub = F.floor((F.col("at") - F.col("window_start")) * 16 / window)
-    counted = running_sums(started, ["client", "window_start"], ["at", "id"], sub, {"n": F.lit(1)})
+    counted = running_sums(started, ["client", "window_start"], ["at", "id"], sub, {"n": F.col("weight")})
     return counted.withColumn("limited", F.col("n") > limit).withColumn("remaining", F.greatest(F.lit(limit) - F.col("n"), F.lit(0)))

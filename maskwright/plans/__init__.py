@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["detection", "scanning", "texts", "filters", "joins", "aggregates", "windows", "paging", "mutations", "scalars"]
+MODULES = ["detection", "scanning", "texts", "filters", "joins", "aggregates", "windows", "paging", "mutations", "scalars", "streams"]
 
 
 def load() -> None:
