@@ -141,7 +141,8 @@ class Detector:
     pattern: str
     check: str | None = None  # validator name, see validators.CHECKS
     country: str | None = None
-    gate: str | None = None  # necessary condition on the text, see spans.gate_columns
+    gate: str | None = None  # word that must occur in the text, see spans.gate_sql
+    shape: str | None = None  # pattern that must occur in the text's digit contexts
 
     @property
     def jvm(self) -> str:
@@ -154,41 +155,72 @@ _LOCAL = r"[a-zA-Z0-9._%+-]"
 EMAIL_JVM = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}"
 
 
-def _family(type_, base, patterns, check=None, gates=None):
-    gates = gates or [None] * len(patterns)
-    return [Detector(type_, base + i, p, check, gate=g) for i, (p, g) in enumerate(zip(patterns, gates))]
+def _family(type_, base, patterns, check=None, gates=None, shapes=None):
+    none = [None] * len(patterns)
+    return [
+        Detector(type_, base + i, p, check, gate=g, shape=h)
+        for i, (p, g, h) in enumerate(zip(patterns, gates or none, shapes or none))
+    ]
 
 
 _ID_CHECKS = {"DK": "cpr", "SE": "personnummer", "NL": "bsn", "RO": "cnp"}
-_ID_GATES = {"DK": "d6", "SE": "d6", "FI": "d6", "FR": "run7", "IT": "capdig", "BE": "run7", "AT": "d6"}
 _SECRET_GATES = [
-    "pass", "api", "secret", "otp", "live", "test", "AKIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "Bearer",
+    "pass", "api", "secret", "otp", "live", "test", "AKIA", "ghp_", "gho_", "ghs_", "glpat-", "xox", "xox", "Bearer",
 ]
 
+# Digit contexts: every digit of a text with the digits that follow (each after at most one
+# separator or two letters) and the letters behind. Texts are mostly prose, so the contexts are
+# short, and the shapes below are tested on them instead of on the whole text. The loop is
+# possessive: it neither backtracks nor recurses on long digit runs.
+DIGIT_CONTEXT = r"[0-9](?:[\s.+-]?[0-9]|\s*[A-Za-zÀ-ÿ]{1,2}[0-9])*+(?:\s*[A-Za-zÀ-ÿ]{1,2})?"
+
+# What each detector needs to see in a digit context: its pattern without boundaries, shortened
+# where a context could cut it.
+_ID_SHAPES = {
+    "DK": "[0-9]{6}-[0-9]{4}",
+    "SE": "[0-9]{6}[-+][0-9]{4}",
+    "FI": "[0-9]{6}[-+A][0-9]{3}",
+    "NO": "[0-9]{12}",
+    "ES": "[0-9]{8}[A-Z]",
+    "NL": "[0-9]{9}",
+    "FR": r"[0-9](?:\s?[0-9]){14}",
+    "IT": "[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]",
+    "PL": "[0-9]{11}",
+    "RO": "[0-9]{13}",
+    "PT": "[0-9]{9}",
+    "BE": r"[0-9]{2}[.-][0-9]{2}[.-][0-9]{2}[.-][0-9]{3}[.-][0-9]{2}",
+    "AT": r"[0-9]{4}\s[0-9]{6}",
+    "GR": "[0-9]{9}",
+}
+_PHONE_SHAPE = r"0[0-9](?:[\s.-]?[0-9]){6}"
+_CARD_SHAPE = r"[0-9](?:[\s-]?[0-9]){12}"
+_STREET_SHAPE = r"[0-9]\s+[A-Za-z]"
+_UK_SHAPE = "[0-9][A-Za-z]{2}"
+_DUTCH_SHAPE = r"[0-9]{4}\s?[A-Z]{2}"
+_CITY4, _CITY5 = r"[0-9]{4}\s+[A-ZÀ-ÿ]", r"[0-9]{5}\s+[A-ZÀ-ÿ]"
+_IP_SHAPE = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
+
 
 def _server():
-    ids = [
-        Detector("NATIONAL_ID", 700 + i, p, _ID_CHECKS.get(c), c, _ID_GATES.get(c, "d8"))
-        for i, (c, p) in enumerate(NATIONAL_ID.items())
-    ]
+    ids = [Detector("NATIONAL_ID", 700 + i, p, _ID_CHECKS.get(c), c, shape=_ID_SHAPES[c]) for i, (c, p) in enumerate(NATIONAL_ID.items())]
+    address = [_STREET_SHAPE, _UK_SHAPE, _CITY4, _CITY5, _DUTCH_SHAPE]
     return (
         _family("EMAIL", 100, EMAIL, gates=["@"])
-        + _family("PHONE", 200, PHONE, "phone", ["+", "(", "run7"])
-        + _family("IBAN", 300, IBAN, "iban", ["letdig"])
-        + _family("CREDIT_CARD", 400, CREDIT_CARD, "card", ["run7"])
-        + _family("ADDRESS", 500, ADDRESS, gates=["digword", "diglet", "digword", "digword", "d4"])
+        + _family("PHONE", 200, PHONE, "phone", ["+", "(", None], [None, None, _PHONE_SHAPE])
+        + _family("IBAN", 300, IBAN, "iban", gates=["letdig"])
+        + _family("CREDIT_CARD", 400, CREDIT_CARD, "card", shapes=[_CARD_SHAPE])
+        + _family("ADDRESS", 500, ADDRESS, shapes=address)
         + _family("PASSWORD", 600, PASSWORD, gates=_SECRET_GATES)
         + ids
         + _family("VAT", 800, VAT, gates=["capdig"])
-        + _family("IP_ADDRESS", 900, IP_ADDRESS, "ip", ["ipdot"])
+        + _family("IP_ADDRESS", 900, IP_ADDRESS, "ip", shapes=[_IP_SHAPE])
         + _family("DATE_OF_BIRTH", 1000, DATE_OF_BIRTH, gates=["birth"])
     )
 
 
 def _client():
-    address = _family(
-        "ADDRESS", 500, ADDRESS_CLIENT, gates=["digword", "d4", "diglet", "digword", "digword", "d4", "digit", "digword"]
-    )
+    shapes = [_STREET_SHAPE, "[0-9]{5}", _UK_SHAPE, _CITY4, _CITY5, _DUTCH_SHAPE, r"[0-9]{3}\s[0-9]{2}", _CITY4]
+    address = _family("ADDRESS", 500, ADDRESS_CLIENT, shapes=shapes)
     kept = {"EMAIL", "PHONE", "IBAN", "CREDIT_CARD", "PASSWORD"}
     return sorted([d for d in _server() if d.type in kept] + address, key=lambda d: d.ord)
 

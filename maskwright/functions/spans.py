@@ -12,33 +12,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.patterns import CUSTOM_ORD, CUSTOM_TERM, PACKS, Detector
+from maskwright.functions.patterns import CUSTOM_ORD, CUSTOM_TERM, DIGIT_CONTEXT, PACKS, Detector
 from maskwright.functions.validators import CHECKS_SQL
 
 SPAN_TYPE = "array<struct<start:int,ord:int,end:int,type:string,value:string,country:string>>"
 
-# gate name -> lower-cased words of which one must occur
-_WORD_GATES = {
-    "pass": ["password", "passwd", "pwd"],
-    "api": ["api"],
-    "secret": ["secret", "token"],
-    "otp": ["otp", "2fa", "mfa"],
-    "birth": ["dob", "born", "birth"],
+# gate name -> condition on the text {t}, its lower-cased form {l} or its digit contexts {c}; the
+# cheapest and rarest test comes first, and flags shared by several gates are {flag} columns
+_FLAGS = {
+    "us": "contains({t}, '_')",
+    "digit": "length({c}) > 0",
+    "d6": "{c} RLIKE '[0-9]{{6}}'",
+    # two digits behind a letter; written digit first, because digits are rarer than letters
+    "letdig": "{c} RLIKE '[0-9]{{2}}' AND {t} RLIKE '[0-9](?<=[A-Za-z][0-9])[0-9]'",
 }
-# gate name -> shape that every match of the gated detectors contains
-_SHAPE_GATES = {
-    "digit": "[0-9]",
-    "d4": "[0-9]{4}",
-    "d6": "[0-9]{6}",
-    "d8": "[0-9]{8}",
-    "run7": r"[0-9](?:[\s.+-]?[0-9]){6}",  # seven digits, at most one separator between any two
-    "letdig": "[A-Za-z][0-9]{2}",
-    "capdig": "[A-Z][0-9]{2}",
-    "digword": r"[0-9]\s+[A-Za-zÀ-ÿ]",
-    "diglet": "[0-9][A-Za-z]{2}",
-    "ipdot": r"[0-9]\.[0-9]",
+_GATES = {
+    "letdig": "{letdig}",
+    "capdig": "{letdig} AND {t} RLIKE '[0-9](?<=[A-Z][0-9])[0-9]'",
+    "@": "contains({t}, '@')",
+    "+": "{digit} AND contains({t}, '+')",
+    "(": "{digit} AND contains({t}, '(')",
+    "pass": "(contains({l}, 'passw') OR contains({l}, 'pwd'))",
+    "api": "contains({l}, 'api')",
+    "secret": "(contains({l}, 'secret') OR contains({l}, 'token'))",
+    "otp": "{d6} AND (contains({l}, 'otp') OR contains({l}, '2fa') OR contains({l}, 'mfa'))",
+    "live": "(contains({t}, 'sk-live') OR ({us} AND contains({t}, 'sk_live')))",
+    "test": "(contains({t}, 'sk-test') OR ({us} AND contains({t}, 'sk_test')))",
+    "AKIA": "contains({t}, 'AKIA')",
+    "ghp_": "{us} AND contains({t}, 'ghp_')",
+    "gho_": "{us} AND contains({t}, 'gho_')",
+    "ghs_": "{us} AND contains({t}, 'ghs_')",
+    "glpat-": "contains({t}, 'glpat-')",
+    "xox": "{digit} AND contains({t}, 'xox')",
+    "Bearer": "contains({t}, 'Bearer')",
+    "birth": "{digit} AND (contains({l}, 'dob') OR contains({l}, 'born') OR contains({l}, 'birth'))",
 }
-_PIECE_GATES = {"live": ["sk-live", "sk_live"], "test": ["sk-test", "sk_test"]}
 
 
 def sql_text(value: str) -> str:
@@ -46,15 +54,14 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def gate_sql(name: str | None, text: str, lowered: str) -> str:
-    """Cheap necessary condition for a detector to match; saves the regex pass on most texts."""
-    if name is None:
-        return "true"
-    if name in _SHAPE_GATES:
-        return f"{text} RLIKE {sql_text(_SHAPE_GATES[name])}"
-    if name in _WORD_GATES:
-        return "(" + " OR ".join(f"contains({lowered}, '{w}')" for w in _WORD_GATES[name]) + ")"
-    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in _PIECE_GATES.get(name, [name])) + ")"
+def gate_sql(d: Detector, names: dict[str, str]) -> str | None:
+    """Cheap necessary condition for a detector to match; saves its regex pass on most texts.
+
+    ``names`` maps t, l, c and the flags to columns or expressions.
+    """
+    if d.shape is not None:
+        return f"{names['c']} RLIKE {sql_text(d.shape)}"
+    return _GATES[d.gate].format(**names) if d.gate else None
 
 
 NO_SPANS = f"CAST(array() AS {SPAN_TYPE})"
@@ -79,13 +86,15 @@ def detector_sql(text: str, d: Detector, on: str | None = None) -> str:
     if on:
         values = f"IF({on}, {values}, CAST(array() AS ARRAY<STRING>))"
     hit = _span_sql("acc.pos + x.g", "length(x.v)", str(d.ord), d.type, "x.v", d.country)
+    gaps = f"split({text}, {pattern}, -1)"
     placed = f"""aggregate(
-        zip_with({values}, split({text}, {pattern}, -1), (v, g) -> named_struct('v', v, 'g', length(g))),
+        zip_with(found, {gaps}, (v, g) -> named_struct('v', v, 'g', length(g))),
         named_struct('pos', 0, 'out', {NO_SPANS}),
         (acc, x) -> IF(x.v IS NULL, acc, named_struct(
             'pos', acc.pos + x.g + length(x.v), 'out', concat(acc.out, array({hit})))),
         acc -> acc.out)"""
-    spans = f"IF(size({values}) > 0, {placed}, {NO_SPANS})"
+    # a one-element fold names the matches, so that the pattern runs once to find them
+    spans = f"aggregate(array({values}), {NO_SPANS}, (none, found) -> IF(size(found) = 0, none, {placed}))"
     return f"filter({spans}, m -> {CHECKS_SQL[d.check]('m.value')})" if d.check else spans
 
 
@@ -102,8 +111,7 @@ def enabled_types(pack: str, switches: dict[str, bool] | None) -> list[str] | No
 
 def raw_sql(text: str, types: Sequence[str] | None = None, pack: str = "server") -> str:
     """Concatenated spans of the chosen types, before overlap resolution."""
-    t = f"coalesce({text}, '')"
-    parts = [detector_sql(t, d, gate_sql(d.gate, t, f"lower({t})") if d.gate else None) for d in _chosen(pack, types)]
+    parts = [detector_sql(f"coalesce({text}, '')", d) for d in _chosen(pack, types)]
     return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
@@ -162,7 +170,7 @@ def _once(expr: str) -> str:
 
 
 def with_raw_and_matches(
-    df: DataFrame, text: str = "text", types: Sequence[str] | None = None, pack: str = "server"
+    df: DataFrame, text: str = "text", types: Sequence[str] | None = None, pack: str = "server", gated: bool = True
 ) -> DataFrame:
     """``df`` plus ``raw`` (all valid spans) and ``matches`` (overlaps resolved).
 
@@ -170,14 +178,19 @@ def with_raw_and_matches(
     generators, so neither later columns nor pushed-down filters can evaluate them again.
     """
     chosen = _chosen(pack, types)
-    gates = list(dict.fromkeys(d.gate for d in chosen if d.gate))
-    parts = [detector_sql("_txt", d, f"_gates.g{gates.index(d.gate)}" if d.gate else None) for d in chosen]
+    names = {"t": "_txt", "l": "_low", "c": "_ctx", **{f: f"_f_{f}" for f in _FLAGS}}
+    tests = list(dict.fromkeys(gate_sql(d, names) for d in chosen)) if gated else []
+    on = lambda d: f"_gates.g{tests.index(gate_sql(d, names))}" if gated else None
+    parts = [detector_sql("_txt", d, on(d)) for d in chosen]
     raw = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    tests = [(g, gate_sql(g, "_txt", "_low")) for g in gates]
-    flags = ", ".join(f"{f'IF(_digit, {c}, false)' if g in _SHAPE_GATES else c} AS g{i}" for i, (g, c) in enumerate(tests))
+    flags = ", ".join(f"{c} AS g{i}" for i, c in enumerate(tests)) or "true AS g0"
+    if tests:  # most texts pass no gate at all
+        raw = f"IF({' OR '.join(f'_gates.g{i}' for i in range(len(tests)))}, {raw}, {NO_SPANS})"
+    contexts = f"array_join(regexp_extract_all(_txt, {sql_text(DIGIT_CONTEXT)}, 0), '|')"
     staged = (
         df.selectExpr("*", f"coalesce({text}, '') AS _txt")
-        .selectExpr("*", "lower(_txt) AS _low", "_txt RLIKE '[0-9]' AS _digit")
+        .selectExpr("*", "lower(_txt) AS _low", f"{contexts} AS _ctx")
+        .selectExpr("*", *[f"{c.format(**names)} AS _f_{f}" for f, c in _FLAGS.items()])
         .selectExpr("*", f"struct({flags}) AS _gates")
         .selectExpr("*", f"{_once(raw)} AS raw")
         .selectExpr("*", f"{_once(resolve_sql('raw'))} AS matches")

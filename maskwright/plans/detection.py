@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans, validators
 from maskwright.plans import detect_sql as D
 from maskwright.plans.registry import query
+from maskwright.sources.files import spread
 from maskwright.sources.golden import seeded
 
 SPAN_COLUMNS = "count(*) AS n_matches, string_agg(s || '-' || e, ',' ORDER BY s, ord) AS spans"
@@ -126,7 +127,7 @@ _pages.update(D.fold("kept", "sp", "page_id"))
 )
 def det_pages(t):
     """HTML is text: decoded, tags left in."""
-    df = spans.with_matches(t.pages.select("page_id", F.col("html").alias("text")))
+    df = spans.with_matches(spread(t.pages).select("page_id", F.col("html").alias("text")))
     return _listed(df, "page_id", [_typed()])
 
 

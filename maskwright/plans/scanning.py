@@ -10,6 +10,7 @@ from maskwright.operators import scan as S
 from maskwright.plans import detect_sql as D
 from maskwright.plans.registry import query
 from maskwright.sources import sinks
+from maskwright.sources.files import spread
 from maskwright.sources.golden import seeded
 from maskwright.sources.views import AS_OF
 
@@ -194,7 +195,7 @@ _PG["pd"] = per_doc("kept")
     _PG,
 )
 def file_scan_report(t):
-    pages = t.pages.select("page_id", F.coalesce("html", F.lit("")).alias("text"))
+    pages = spread(t.pages).select("page_id", F.coalesce("html", F.lit("")).alias("text"))
     df = S.file_scan_report(S.scan(pages))
     return df.select(
         "page_id", "char_count", "page_estimate", F.array_join("detected_types", ",").alias("detected_types"), "action", "match_count"

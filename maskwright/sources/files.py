@@ -13,6 +13,19 @@ def corpus(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     return df.withColumnRenamed(id_col, "id").withColumn("text", F.coalesce(text, F.lit("")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a small file input before a CPU-heavy scan.
+
+    A file is split for I/O, so one small file keeps one core busy while a scan needs them all.
+    Inputs that already have several partitions per core – any real corpus – are left alone, so
+    a large corpus is never shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(4 * cores)
+
+
 def supported_files(spark: SparkSession, root: str) -> DataFrame:
     """Recursive listing of the supported files, without their content."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.sources.files import spread
+
 # Test texts, in case order.
 GOLDEN = [
     "mail john@test.com now",
@@ -74,6 +76,7 @@ GOLDEN = [
 
 def seeded(documents: DataFrame) -> DataFrame:
     """``documents`` with the golden text number ``doc_id % 58`` appended to ``text``."""
+    documents = spread(documents)
     texts = F.array(*[F.lit(g) for g in GOLDEN])
     extra = F.get(texts, (F.col("doc_id") % len(GOLDEN)).cast("int"))
     return documents.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), extra))
