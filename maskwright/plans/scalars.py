@@ -87,6 +87,22 @@ def key_hash(t):
     return t.api_keys.select("id", R.key_hash(F.col("raw_key")).alias("hash"), R.key_preview(F.col("raw_key")).alias("preview"))
 
 
+@query("key_preview", "SELECT id, project_id, substr(raw_key, 1, 12) || '...' AS preview FROM api_keys WHERE revoked_at IS NULL")
+def key_preview(t):
+    return t.api_keys.filter("revoked_at IS NULL").select("id", "project_id", R.key_preview(F.col("raw_key")).alias("preview"))
+
+
+@query(
+    "type_hint",
+    f"""SELECT id, string_agg({_case(R.TYPE_HINTS, 'x')} ELSE {q(R.TYPE_HINT_OTHER)} END, ' ' ORDER BY i) AS hints FROM (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM
+        (SELECT id, CASE WHEN json_valid(data_types) THEN from_json(data_types, '["VARCHAR"]') ELSE [data_types] END AS l FROM policy_events)) GROUP BY id""",
+)
+def type_hint(t):
+    """Hints for all types of an event, in order."""
+    hints = F.transform(L.types_array(F.col("data_types")), R.type_hint)
+    return t.policy_events.filter(F.size(L.types_array(F.col("data_types"))) > 0).select("id", F.array_join(hints, " ").alias("hints"))
+
+
 @query("primary_type", "SELECT id, p AS primary_type FROM typed", TYPED)
 def primary_type(t):
     return t.policy_events.select("id", R.primary_type(L.types_array(F.col("data_types"))).alias("primary_type"))

@@ -212,6 +212,11 @@ def check_policy(t):
     return S.check_policy(S.scan(_docs(t))).select("doc_id", "action", "allowed", "reason")
 
 
+@query("is_safe", f"SELECT doc_id, {_ACT} <> 'BLOCK' AS safe FROM pd", _DOC)
+def is_safe(t):
+    return S.scan(_docs(t), redact=False).select("doc_id", S.is_safe().alias("safe"))
+
+
 @query(
     "scan_and_redact",
     f"SELECT pd.doc_id, {_ACT} AS action, n = 0 AS clean, types AS detected_types, CAST(n AS BIGINT) AS match_count, redacted, CAST(n AS BIGINT) AS redacted_count FROM pd JOIN red USING (doc_id)",
