@@ -75,6 +75,31 @@ def _span_sql(start: str, size: str, ord_: str, type_: str, value: str, country:
     )
 
 
+BLOCK = 256
+
+
+def let_sql(name: str, value: str, body: str, zero: str) -> str:
+    """``let name = value in body`` inside an expression; ``zero`` is any value of the result type."""
+    return f"aggregate(array({value}), {zero}, (_zero, {name}) -> {body})"
+
+
+def fold_sql(items: str, state: str, start: str, step: str) -> str:
+    """Fold of the array ``items`` (a name) into spans: ``step`` maps (acc, x) to the next acc.
+
+    acc is ``struct(<state>, out)``. Appending to an array copies it, so the fold runs in blocks:
+    appends copy within a block, and whole blocks are appended to the result. A text with very
+    many matches then costs far less than the square of their number.
+    """
+    inner = (
+        f"aggregate(slice({items}, b * {BLOCK} + 1, {BLOCK}), named_struct('{state}', st.{state}, 'out', {NO_SPANS}), "
+        f"(acc, x) -> {step}, r -> named_struct('{state}', r.{state}, 'out', concat(st.out, r.out)))"
+    )
+    return (
+        f"aggregate(sequence(0, CAST((size({items}) - 1) div {BLOCK} AS INT)), "
+        f"named_struct('{state}', {start}, 'out', {NO_SPANS}), (st, b) -> {inner}, st -> st.out)"
+    )
+
+
 def detector_sql(text: str, d: Detector, on: str | None = None) -> str:
     """All valid matches of one detector in column ``text``, as a Spark SQL expression.
 
@@ -87,14 +112,11 @@ def detector_sql(text: str, d: Detector, on: str | None = None) -> str:
         values = f"IF({on}, {values}, CAST(array() AS ARRAY<STRING>))"
     hit = _span_sql("acc.pos + x.g", "length(x.v)", str(d.ord), d.type, "x.v", d.country)
     gaps = f"split({text}, {pattern}, -1)"
-    placed = f"""aggregate(
-        zip_with(found, {gaps}, (v, g) -> named_struct('v', v, 'g', length(g))),
-        named_struct('pos', 0, 'out', {NO_SPANS}),
-        (acc, x) -> IF(x.v IS NULL, acc, named_struct(
-            'pos', acc.pos + x.g + length(x.v), 'out', concat(acc.out, array({hit})))),
-        acc -> acc.out)"""
+    step = f"IF(x.v IS NULL, acc, named_struct('pos', acc.pos + x.g + length(x.v), 'out', concat(acc.out, array({hit}))))"
+    pairs = f"zip_with(found, {gaps}, (v, g) -> named_struct('v', v, 'g', length(g)))"
+    placed = let_sql("pairs", pairs, fold_sql("pairs", "pos", "0", step), NO_SPANS)
     # a one-element fold names the matches, so that the pattern runs once to find them
-    spans = f"aggregate(array({values}), {NO_SPANS}, (none, found) -> IF(size(found) = 0, none, {placed}))"
+    spans = let_sql("found", values, f"IF(size(found) = 0, {NO_SPANS}, {placed})", NO_SPANS)
     return f"filter({spans}, m -> {CHECKS_SQL[d.check]('m.value')})" if d.check else spans
 
 
@@ -118,11 +140,9 @@ def raw_sql(text: str, types: Sequence[str] | None = None, pack: str = "server")
 def resolve_sql(spans: str) -> str:
     """Sort by start (detector order on ties) and keep a span only if it starts at or after the
     end of the last kept one."""
-    return f"""IF(size({spans}) < 2, {spans}, aggregate(
-        array_sort({spans}),
-        named_struct('last', -1, 'out', {NO_SPANS}),
-        (acc, m) -> IF(m.start >= acc.last, named_struct('last', m.end, 'out', concat(acc.out, array(m))), acc),
-        acc -> acc.out))"""
+    step = "IF(x.start >= acc.last, named_struct('last', x.end, 'out', concat(acc.out, array(x))), acc)"
+    kept = let_sql("ordered", f"array_sort({spans})", fold_sql("ordered", "last", "-1", step), NO_SPANS)
+    return f"IF(size({spans}) < 2, {spans}, {kept})"
 
 
 def terms_sql(text: str, terms: str, lowered: str | None = None) -> str:
@@ -133,14 +153,28 @@ def terms_sql(text: str, terms: str, lowered: str | None = None) -> str:
     t = f"coalesce({text}, '')"
     low = lowered or f"lower({t})"
     quoted = "concat('\\\\Q', replace(lower(term), '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
-    at = "acc.pos + length(g)"
-    hit = _span_sql(at, "length(term)", f"{CUSTOM_ORD} + i", CUSTOM_TERM, f"substr({t}, {at} + 1, length(term))", None)
+    at = "acc.pos + length(x)"
+    hit = _span_sql(at, "length(term)", f"{CUSTOM_ORD} + i", CUSTOM_TERM, "CAST(NULL AS STRING)", None)
+    step = f"named_struct('pos', {at} + length(term), 'out', concat(acc.out, array({hit})))"
+    # the text behind the last gap is not a match
+    gaps = f"split({low}, {quoted}, -1)"
+    placed = let_sql("gaps", gaps, let_sql("hits", "slice(gaps, 1, size(gaps) - 1)", fold_sql("hits", "pos", "0", step), NO_SPANS), NO_SPANS)
     return f"""flatten(transform(coalesce({terms}, CAST(array() AS ARRAY<STRING>)), (term, i) ->
-        IF(coalesce(term, '') = '' OR NOT contains({low}, lower(term)), {NO_SPANS}, aggregate(
-            slice(split({low}, {quoted}, -1), 1, size(split({low}, {quoted}, -1)) - 1),
-            named_struct('pos', 0, 'out', {NO_SPANS}),
-            (acc, g) -> named_struct('pos', {at} + length(term), 'out', concat(acc.out, array({hit}))),
-            acc -> acc.out))))"""
+        IF(coalesce(term, '') = '' OR NOT contains({low}, lower(term)), {NO_SPANS}, {values_sql(t, placed)})))"""
+
+
+def values_sql(text: str, placed: str) -> str:
+    """Fill in the values of spans that are in order; the text is cut once per block of spans."""
+    block = f"slice(bare, b * {BLOCK} + 1, {BLOCK})"
+    offset = f"bare[b * {BLOCK}].start"
+    cut = f"substr({text}, {offset} + 1, element_at({block}, -1).end - {offset})"
+    filled = (
+        "named_struct('start', m.start, 'ord', m.ord, 'end', m.end, 'type', m.type, "
+        f"'value', substr(cut, m.start - {offset} + 1, m.end - m.start), 'country', m.country)"
+    )
+    per_block = let_sql("cut", cut, f"transform({block}, m -> {filled})", NO_SPANS)
+    blocks = f"flatten(transform(sequence(0, CAST((size(bare) - 1) div {BLOCK} AS INT)), b -> {per_block}))"
+    return let_sql("bare", placed, f"IF(size(bare) = 0, {NO_SPANS}, {blocks})", NO_SPANS)
 
 
 def detect(
@@ -152,7 +186,7 @@ def detect(
     """Resolved built-in matches of column ``text``, plus term matches merged in by start (not
     re-resolved), as one column expression. For whole corpora prefer :func:`with_matches`."""
     raw = raw_sql(text, types, pack)
-    built_in = f"aggregate(array({raw}), {NO_SPANS}, (none, raw) -> {resolve_sql('raw')})"
+    built_in = let_sql("raw", raw, resolve_sql("raw"), NO_SPANS)
     return F.expr(built_in if terms is None else merge_sql(built_in, terms_sql(text, terms)))
 
 

@@ -145,3 +145,14 @@ def test_scan_adds_no_shuffle_and_extracts_once(spark):
     plan = S.scan(df).filter("action = 'BLOCK'")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("ghp_[a-zA-Z0-9]") == 2  # one extraction, one split
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 512, 513, 3000])
+def test_block_edges(spark, n):
+    """Folds run in blocks of spans; every count around a block edge must give the same result."""
+    text = "".join(f"é {i} a{i}@b.co, widget; " for i in range(n))
+    r = scan_one(spark, text, terms="terms", terms_value=["widget"], types=["EMAIL"])
+    mails = [m for m in r.matches if m.type == "EMAIL"]
+    assert len(mails) == n and len(r.matches) == 2 * n
+    assert all(text[m.start : m.end] == m.value for m in r.matches)
+    assert r.redacted == "".join(f"é {i} [EMAIL], [REDACTED]; " for i in range(n))
