@@ -69,13 +69,14 @@ def running_sums(
     over its slots.
     """
     cols = {f"_v{i}": e for i, e in enumerate(sums.values())}
-    d = df.withColumns({"_slot": slot, **cols})
-    at_slot = [*keys, "_slot"]
-    totals = d.groupBy(*at_slot).agg(*[F.sum(c).alias(c) for c in cols])
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*at_slot, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}") for c in cols])
-    within = Window.partitionBy(*at_slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = d.join(before, at_slot)
+    # keys travel as structs, which are never NULL themselves: NULL keys form a group of their own
+    d = df.withColumn("_at", F.struct(*keys, slot.alias("_slot"))).withColumns(cols)
+    totals = d.groupBy("_at").agg(*[F.sum(c).alias(c) for c in cols])
+    whole = F.struct(*[F.col(f"_at.{k}").alias(k) for k in keys])
+    earlier = Window.partitionBy(whole).orderBy("_at._slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_at", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}") for c in cols])
+    within = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = d.join(before, "_at")
     out = [(F.col(f"_b{c}") + F.sum(c).over(within)).alias(name) for name, c in zip(sums, cols)]
     return j.select(*df.columns, *out)
 

@@ -44,7 +44,7 @@ def monthly_quota(t):
 
 @query("monthly_quota_no_reset", _QUOTA.format(month=""))
 def monthly_quota_no_reset(t):
-    """The counter as the reference keeps it: never reset."""
+    """The counter is never reset at a month's end."""
     return limits.monthly_quota(_calls(t), reset=False).select("id", "key_id", "n", "status")
 
 

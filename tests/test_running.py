@@ -46,6 +46,21 @@ def test_running_counters(events):
     assert {r.user_id: (r.block_count, r.warn_count) for r in R.user_counters(events).collect()} == last
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_null_keys_form_a_group(spark, threshold):
+    """Under a shuffled and under a broadcast join."""
+    rows = [(i, None if i % 2 else 1, T0 + dt.timedelta(minutes=15 * i) if i < 18 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r.id: r.n for r in L.running_sums(df, ["k"], ["ts", "id"], L.time_slot("ts"), {"n": F.lit(1)}).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = {18: 1, 19: 1, **{i: i // 2 + 2 for i in range(18)}}  # missing times come first
+    assert got == want
+
+
 def test_literacy_running_ends_at_the_score(events):
     run = running.literacy_running(events)
     last = {r.user_id: r.s for r in run.groupBy("user_id").agg(F.max_by("score", F.struct("timestamp", "id")).alias("s")).collect()}
