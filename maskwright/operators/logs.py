@@ -92,4 +92,5 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     each key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn("row_no", F.row_number().over(w)).filter(F.col("row_no") <= skip + n)
-    return ranked.filter(F.col("row_no") > skip) if skip else ranked
+    cut = ranked.filter(F.col("row_no") > skip) if skip else ranked
+    return cut.withColumn("row_no", F.col("row_no").cast("long"))

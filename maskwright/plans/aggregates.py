@@ -135,7 +135,7 @@ def log_stats(t):
 
 @query(
     "project_usage",
-    """SELECT p.id, p.org_id, json_extract_string(p.rules, '$.EMAIL') AS email_rule, coalesce(json_array_length(p.custom_terms), 0) AS n_terms, coalesce(k, 0) AS key_count, coalesce(a, 0) AS active_key_count,
+    """SELECT p.id, p.org_id, json_extract_string(p.rules, '$.EMAIL') AS email_rule, CAST(coalesce(json_array_length(p.custom_terms), 0) AS BIGINT) AS n_terms, coalesce(k, 0) AS key_count, coalesce(a, 0) AS active_key_count,
        CAST(coalesce(c, 0) AS BIGINT) AS total_calls FROM dev_projects p LEFT JOIN (SELECT project_id, count(DISTINCT id) AS k, count(DISTINCT CASE WHEN revoked_at IS NULL THEN id END) AS a, sum(calls_total) AS c
        FROM api_keys GROUP BY project_id) u ON u.project_id = p.id""",
 )

@@ -95,7 +95,7 @@ _BILL = """WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, id) AS n, event_
       CASE price_id WHEN 'price_team' THEN 25 WHEN 'price_business' THEN 100 ELSE 25 END AS seats FROM billing_events WHERE event_type <> 'subscription.updated' OR price_id IS NOT NULL),
    a AS (SELECT subscription_id, min(n) AS f, max(n) AS l, arg_max(org_id, n) AS org_id, (SELECT x.customer_id FROM e x WHERE x.subscription_id = e.subscription_id AND x.st ORDER BY x.n DESC LIMIT 1) AS own FROM e WHERE st GROUP BY subscription_id)
    SELECT a.subscription_id, a.org_id, (SELECT CASE WHEN x.sp THEN 'cancelled' ELSE 'active' END FROM e x WHERE x.subscription_id = a.subscription_id AND x.n >= a.f ORDER BY x.n DESC LIMIT 1) AS plan,
-     (SELECT x.seats FROM e x WHERE x.subscription_id = a.subscription_id AND x.n >= a.f AND NOT x.sp ORDER BY x.n DESC LIMIT 1) AS seats,
+     (SELECT x.seats FROM e x WHERE x.subscription_id = a.subscription_id AND x.n >= a.f AND NOT x.sp ORDER BY x.n DESC LIMIT 1)::BIGINT AS seats,
      coalesce(a.own, (SELECT x.customer_id FROM e x WHERE x.subscription_id = a.subscription_id AND x.n > a.l AND NOT x.sp AND x.customer_id IS NOT NULL ORDER BY x.n LIMIT 1)) AS customer_id FROM a"""
 
 

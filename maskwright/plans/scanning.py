@@ -62,7 +62,7 @@ def resolve_overlaps(t):
 def merge_custom(t):
     m = spans.explode_matches(spans.with_matches(_with_terms(_docs(t)), terms="terms"), ["doc_id"])
     return m.selectExpr(
-        "doc_id", "type", "CAST(start AS BIGINT) AS start_at", "CAST(end AS BIGINT) AS end_at", "value", "ord"
+        "doc_id", "type", "CAST(start AS BIGINT) AS start_at", "CAST(end AS BIGINT) AS end_at", "value", "CAST(ord AS BIGINT) AS ord"
     )
 
 
@@ -326,7 +326,7 @@ _ORG["presets"] = _CLIENT["presets"]
 
 @query(
     "j_org_rules",
-    """SELECT o.doc_id, o.org_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_matches,
+    """SELECT o.doc_id, CAST(o.org_id AS BIGINT) AS org_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_matches,
          CASE WHEN count(*) FILTER (WHERE p.action = 'BLOCK') > 0 THEN 'BLOCK' WHEN count(*) FILTER (WHERE p.action = 'WARN' OR tt.type = 'CUSTOM_TERM') > 0 THEN 'WARN' ELSE 'ALLOW' END AS action
        FROM owned o LEFT JOIN tt ON tt.doc_id = o.doc_id LEFT JOIN presets p ON p.preset = o.preset AND p.type = tt.type GROUP BY o.doc_id, o.org_id""",
     _ORG,
