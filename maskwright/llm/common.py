@@ -35,6 +35,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that later expressions refer to and never compute again: projections stay apart from a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,17 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import column
+from maskwright.llm.common import column, computed_once
 
 # Fixed value: lines in a window.
 LINES = 3
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """A column that later expressions refer to and never compute again: projections stay apart from a generator."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _hashed(line: Column) -> Column:
     """Two independent hashes of a line, and whether it has a word."""
     return F.struct(
@@ -38,8 +33,8 @@ def _hashed(line: Column) -> Column:
 def windows(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
     """(o, h, at, k1, k2): a row for each window; o and h (hash of the text) name the document."""
     base = docs.select(column(docs, order).alias("o"), column(docs, text).alias("t")).where("contains(t, '\n')")
-    lines = _once(base, "lines", F.split("t", "\n", -1)).where(F.size("lines") >= LINES).select("o", F.xxhash64("t").alias("h"), "lines")
-    hashed = _once(lines, "x", F.transform("lines", _hashed)).select("o", "h", "x")
+    lines = computed_once(base, "lines", F.split("t", "\n", -1)).where(F.size("lines") >= LINES).select("o", F.xxhash64("t").alias("h"), "lines")
+    hashed = computed_once(lines, "x", F.transform("lines", _hashed)).select("o", "h", "x")
     keys = F.transform(
         F.slice("x", 1, F.size("x") - (LINES - 1)),
         lambda a, i: F.when(
@@ -72,13 +67,13 @@ def remove_repeats(docs: DataFrame, order: str = "doc_id", text: str = "text", i
     same = (F.col(into)["h"] == F.col("cut_key")["h"]) & F.col(into)["o"].eqNullSafe(F.col("cut_key")["o"])
     joined = named.join(covered, same, "left")
     at, lines = F.col("cut_at"), F.col("cut_lines")
-    cut = _once(joined, "cut_lines", F.split(F.col(into)["t"], "\n", -1))
+    cut = computed_once(joined, "cut_lines", F.split(F.col(into)["t"], "\n", -1))
     # between the starts of two windows, the lines behind the first window stay
     behind = F.transform(
         at, lambda p, i: F.slice(lines, p + LINES + 1, F.greatest(F.coalesce(F.get(at, i + 1), F.size(lines)) - p - LINES, F.lit(0)))
     )
     kept = F.flatten(F.concat(F.array(F.slice(lines, F.lit(1), F.get(at, F.lit(0)))), behind))
-    out = _once(cut, "cut_kept", F.when(at.isNull(), lines).otherwise(kept))
+    out = computed_once(cut, "cut_kept", F.when(at.isNull(), lines).otherwise(kept))
     n_lines = F.when(F.col(into)["t"].isNull(), 0).otherwise(F.size(lines))
     left = F.when(at.isNull(), F.col(into)["t"]).otherwise(F.array_join("cut_kept", "\n"))
     result = F.struct(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, fingerprints, line_windows, mixing, rules
+from maskwright.llm import bpe, fingerprints, line_windows, mixing, ownership, rules, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs.select("doc_id", "text"), learned).select("doc_id", *(s[f].alias(f) for f in fields))
 
 
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = F.col("surrogates")
+    return surrogates.replace(docs, key="corpus-key").select("doc_id", s["n_entities"].alias("n_entities"), s["text"].alias("text"))
+
+
 # The first occurrence of a window is the smallest (doc_id, position), as in the operator.
 LINE_WINDOWS_SQL = """
 WITH lines AS (
@@ -78,6 +85,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", fingerprints.as_hex(F.col("f")).alias("fingerprint"), "component_id")
 
 
+@query("op9_secret_ownership")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.report(ownership.scan(table(spark, sf_dir, "documents")))
+
+
 @query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
