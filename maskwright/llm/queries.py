@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, fingerprints, line_windows, mixing, ownership, rules, surrogates
+from maskwright.llm import bpe, fingerprints, line_windows, mixing, ownership, rules, suffixes, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op8_simhash_covering")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = fingerprints.groups(table(spark, sf_dir, "documents"))
