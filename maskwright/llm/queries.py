@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, fingerprints, line_windows, mixing, ownership, rules, suffixes, surrogates, topk
+from maskwright.llm import bpe, crf, fingerprints, line_windows, mixing, ownership, rules, suffixes, surrogates, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +74,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.remove_repeats(docs).select("doc_id", s["n_lines"].alias("n_lines"), s["n_removed"].alias("n_removed"), s["text"].alias("text"))
 
 
+@query("op4_language_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf.predict(docs, crf.learn(docs)).drop("runs")
+
+
 @query("op5_source_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
