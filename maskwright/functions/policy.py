@@ -99,6 +99,25 @@ def preset_rules(preset: Column) -> Column:
     return out.otherwise(rule_map(dict(zip(CONFIG_TYPES, PRESETS["personal"]))))
 
 
+def tenant_rules(preset: Column) -> Column:
+    """Rule map of a tenant's preset; a tenant without configuration (NULL) has the default rules."""
+    rules = F.map_concat(preset_rules(preset), F.expr("map('CUSTOM_TERM', 'WARN')"))
+    return F.when(preset.isNull(), rule_map()).otherwise(rules)
+
+
+def stored_terms(terms: Column) -> Column:
+    """All terms of a stored list (JSON) that are not blank; lists are cut only when they are saved."""
+    listed = F.coalesce(F.from_json(terms, "array<string>"), F.array().cast("array<string>"))
+    return F.filter(listed, lambda x: F.trim(x) != "")
+
+
+def with_tenant_policy(texts: DataFrame, config: DataFrame) -> DataFrame:
+    """``texts`` (org_id, …) with the columns ``rules`` and ``terms``; no text is lost for want of a configuration."""
+    known = config.select("org_id", "preset", "custom_terms")
+    joined = texts.join(known, "org_id", "left")
+    return joined.withColumn("rules", tenant_rules(F.col("preset"))).withColumn("terms", stored_terms(F.col("custom_terms"))).drop("preset", "custom_terms")
+
+
 def effective_rules(project: Column, request: Column | None = None) -> Column:
     """Defaults, overlaid by the project's rules, overlaid by the request's."""
     over = lambda low, high: F.map_zip_with(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # File types and size limits.
@@ -122,22 +122,24 @@ def chat_text_sdk(body: str) -> Column:
     return _joined(body, _messages("b", _string), _string("variant_get(b, '$.prompt')"), _string("variant_get(b, '$.input')"))
 
 
-def conversation_text(turns: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
-    """Turns of each conversation, in order, joined by newline.
+def conversation_text(turns: DataFrame, part_chars: int = MAX_CHARS, slot: int = 1000) -> DataFrame:
+    """Turns of each conversation, in order, joined by newline: ``(conv_id, part, n_turns, n_chars, text)``.
 
-    Lengths are summed first (map-side combined). A conversation over the request limit is not
-    assembled: it comes out as a row with ``error_code``, as an over-size request would, so no
-    task ever holds more than the limit for one key.
+    A conversation longer than ``part_chars`` comes out in numbered parts; a turn belongs to the part in
+    which it starts, and no text is left out. Where a turn starts is a running sum: slots of turn
+    numbers are summed first (map-side combined), and only these sums are put in order per
+    conversation, so a very long one is spread over its slots.
     """
-    size = turns.groupBy("conv_id").agg(
-        (F.sum(F.length("text")) + F.count("text") - 1).alias("n_chars"), F.count("*").alias("n_turns")
-    )
-    if max_chars is not None:
-        size = size.withColumn("error_code", F.when(F.col("n_chars") > max_chars, "TEXT_TOO_LARGE"))
-    else:
-        size = size.withColumn("error_code", F.lit(None).cast("string"))
-    fits = turns.join(size.filter("error_code IS NULL").select("conv_id"), "conv_id", "left_semi")
-    text = fits.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")
-    )
-    return size.join(text, "conv_id", "left")
+    size = F.length("text") + F.when(F.col("text").isNull(), 0).otherwise(1)
+    rows = turns.select("conv_id", "turn", "text", F.floor(F.col("turn") / slot).alias("slot"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    slots = rows.groupBy("conv_id", "slot").agg(F.sum("size").alias("size"))
+    base = F.coalesce(F.sum("size").over(earlier("conv_id").orderBy("slot")), F.lit(0))
+    slots = slots.select(F.col("conv_id").alias("c"), F.col("slot").alias("s"), base.alias("base"))
+    inside = F.coalesce(F.sum("size").over(earlier("conv_id", "slot").orderBy("turn", "text")), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(slots, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("slot").eqNullSafe(F.col("s")))
+    part = F.floor((F.col("base") + F.col("inside")) / part_chars).alias("part")
+    parts = placed.select("conv_id", part, "turn", "text").groupBy("conv_id", "part")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    out = parts.agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(ordered, "\n").alias("text"))
+    return out.select("conv_id", "part", "n_turns", F.length("text").cast("long").alias("n_chars"), "text")

@@ -73,15 +73,17 @@ def client_csv_line() -> Column:
     """Seven columns, types joined by semicolons."""
     types = F.array_join(L.types_array(F.col("data_types")), ";")
     seen = F.when(F.col("acknowledged"), "yes").otherwise("no")
-    return _csv(_ts("timestamp"), F.col("user_email"), F.col("ai_domain"), F.col("action"), types, seen, F.lit(""))
+    return _csv(_ts("timestamp"), F.col("user_email"), F.col("ai_domain"), F.col("action"), types, seen, _ts("acknowledged_at"))
 
 
-def _lines(df: DataFrame, section: int, part: int, line: Column, *sort: Column) -> DataFrame:
-    """Lines of one part; ``s1``/``s2`` order them inside the part."""
-    s1, s2 = (list(sort) + [F.lit(None), F.lit(None)])[:2]
-    return df.select(
-        "org_id", F.lit(section).alias("section"), F.lit(part).alias("part"), s1.cast("string").alias("s1"), s2.cast("string").alias("s2"), line.alias("line")
-    )
+SORT = ["down", "s1", "s2"]
+
+
+def _lines(df: DataFrame, section: int, part: int, line: Column, *sort: Column, down: Column | None = None) -> DataFrame:
+    """Lines of one part; ``down`` (descending), then ``s1``/``s2`` order them inside the part."""
+    keys = [F.lit(None) if down is None else down, *sort, F.lit(None), F.lit(None)]
+    in_order = [k.cast("string").alias(name) for k, name in zip(keys, SORT)]
+    return df.select("org_id", F.lit(section).alias("section"), F.lit(part).alias("part"), *in_order, line.alias("line"))
 
 
 def report(
@@ -97,13 +99,13 @@ def report(
     """Header, four sections and footer of every tenant's report.
 
     Sections are independent narrow or pre-aggregated frames united by name; order is carried by
-    (section, part, s1, s2), so writing is one range-partitioned sort and no tenant's log has to
+    (section, part, down, s1, s2), so writing is one range-partitioned sort and no tenant's log has to
     fit in one task.
     """
     o = orgs.withColumnRenamed("id", "org_id")
     fixed = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(p).alias("part"), F.lit(x).alias("line")) for s, p, x in FIXED_LINES])
     none = F.lit(None).cast("string")
-    parts = [o.select("org_id", F.inline(fixed)).select("org_id", "section", "part", none.alias("s1"), none.alias("s2"), "line")]
+    parts = [o.select("org_id", F.inline(fixed)).select("org_id", "section", "part", *(none.alias(k) for k in SORT), "line")]
 
     parts.append(_lines(o, 0, 1, _csv(F.lit("Organisation"), _q(F.coalesce("name", "domain")))))
     parts.append(_lines(o, 0, 2, _csv(F.lit("Generated"), _q(F.lit(end)))))
@@ -122,7 +124,7 @@ def report(
         zero("warn_count"),
         _q(_ts("last_seen_at")),
     )
-    parts.append(_lines(member, 1, 3, row, F.translate("role", "ae", "ea"), F.coalesce("email", F.lit(""))))
+    parts.append(_lines(member, 1, 3, row, F.coalesce("email", F.lit("")), down=F.col("role")))
 
     totals = o.join(R.report_totals(users, events, start, end), "org_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
@@ -138,8 +140,8 @@ def report(
         _q(shown),
         _q(F.col("action")),
         _yes(F.col("acknowledged")),
-        _q(none),
-        _q(none),
+        _q(_ts("acknowledged_at")),
+        _q(F.col("acknowledged_note")),
     )
     newest_first = F.lpad((F.lit(10**17) - F.unix_micros(F.col("timestamp").cast("timestamp"))).cast("string"), 18, "0")
     parts.append(_lines(inside, 2, 3, row, newest_first, F.lpad(F.col("id").cast("string"), 20, "0")))
@@ -158,7 +160,7 @@ def report(
     controls = F.array(*[F.struct(F.lit(f"{i:02d}").alias("i"), _csv(*[_q(F.lit(v)) for v in r]).alias("line")) for i, *r in rows])
     parts.append(
         o.select("org_id", F.inline(controls)).select(
-            "org_id", F.lit(4).alias("section"), F.lit(2).alias("part"), F.col("i").alias("s1"), none.alias("s2"), "line"
+            "org_id", F.lit(4).alias("section"), F.lit(2).alias("part"), none.alias("down"), F.col("i").alias("s1"), none.alias("s2"), "line"
         )
     )
     return reduce(DataFrame.unionByName, parts)
@@ -166,5 +168,5 @@ def report(
 
 def write_report(lines: DataFrame, path: str) -> None:
     """Text files per tenant, in report order across the files of a tenant."""
-    ordered = lines.orderBy("org_id", "section", "part", "s1", "s2")
+    ordered = lines.orderBy("org_id", "section", "part", F.desc("down"), "s1", "s2")
     ordered.select("org_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("org_id").text(path)

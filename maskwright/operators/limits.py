@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.operators.logs import running_sums, time_slot
 
 # The sign-up limiter.
+UNKNOWN_KEY = 401
 WINDOW_SECONDS = 60
 MAX_REQUESTS = 10
 
@@ -154,6 +155,14 @@ def window_starts(requests: DataFrame, window: int = WINDOW_SECONDS, slot: int =
     return placed.mapInPandas(_mark(window), "client long, id long, at long, weight long, window_start long")
 
 
+def keyed_quota(calls: DataFrame, keys: DataFrame, reset: bool = True) -> DataFrame:
+    """``monthly_quota`` of the calls with a known key; those of an unknown one get a 401 and no number."""
+    joined = calls.join(keys.withColumn("_known", F.lit(True)), "key_id", "left")
+    known = monthly_quota(joined.filter("_known").drop("_known"), reset)
+    unknown = joined.filter("_known IS NULL").select("id", "key_id", F.lit(None).cast("long").alias("n"), F.lit(UNKNOWN_KEY).alias("status"))
+    return known.select("id", "key_id", F.col("n").cast("long").alias("n"), "status").unionByName(unknown)
+
+
 def rate_limit(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, slot: int = 600) -> DataFrame:
     """``n`` = number of the request in its window; ``limited`` beyond the limit. A ``weight`` column
     lets one row stand for several earlier requests.

@@ -15,7 +15,7 @@ from maskwright.operators import logs as L
 # Defaults of ingested events, platform flags, plans, seats per price.
 DEFAULT_RULE_ID = "detection"
 DEFAULT_VERSION = "1.1.0"
-PLATFORMS = ["chatgpt", "claude"]
+PLATFORMS = "chatgpt claude gemini perplexity copilot mistral slack gmail notion linear outlook other".split()
 PLANS = ["trial", "active", "cancelled", "super"]
 DEFAULT_SEATS = 10
 SEATS = {"price_team": 25, "price_business": 100}
@@ -56,6 +56,8 @@ def config_view(config: DataFrame) -> DataFrame:
         rules.alias("rules"),
         flags.alias("platforms"),
         F.from_json("custom_terms", "array<string>").alias("terms"),
+        "approved_ai_url",
+        "file_upload_warning",
     )
 
 
@@ -74,24 +76,24 @@ def route_posts(posts: DataFrame) -> DataFrame:
         posts.withColumn("reason", reason)
         .withColumn("route", F.when(F.col("reason").isNotNull(), "quarantine").when(visit, "visit").otherwise("event"))
         .withColumn("rule_id", F.coalesce("rule_id", "source", F.lit(DEFAULT_RULE_ID)))
-        .withColumn("data_types", F.lit("[]"))
-        .withColumn("extension_version", F.lit(DEFAULT_VERSION))
+        .withColumn("data_types", F.when(F.json_array_length("data_types").isNotNull(), F.col("data_types")).otherwise("[]"))
+        .withColumn("extension_version", F.coalesce(F.nullif("extension_version", F.lit("")), F.lit(DEFAULT_VERSION)))
     )
 
 
 def ack_events(events: DataFrame, acks: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(new events, rejected acks). An ack counts only for an event of the acting tenant."""
-    mine = acks.select(
-        F.col("id"), F.col("acting_org_id").alias("org_id"), F.col("acknowledged_by").alias("_by"), F.col("note").alias("_note")
-    )
-    done = events.join(mine.dropDuplicates(["id", "org_id"]), ["id", "org_id"], "left")
-    hit = F.col("_by").isNotNull()
+    """(new events, rejected acks). An ack counts only for an event of the acting tenant; of several,
+    the last by time and user. What an event already holds stays where no ack meets it."""
+    last = F.max_by(F.struct("acknowledged_by", "note"), F.struct("ts", "acknowledged_by")).alias("_ack")
+    mine = acks.groupBy("id", F.col("acting_org_id").alias("org_id")).agg(last)
+    done = events.join(mine, ["id", "org_id"], "left")
+    hit = F.col("_ack").isNotNull()
     new = (
-        done.withColumn("acknowledged", F.col("acknowledged") | hit)
-        .withColumn("acknowledged_by", F.col("_by"))
-        .withColumn("acknowledged_at", F.when(hit, L.at(at)))
-        .withColumn("acknowledged_note", F.col("_note"))
-        .drop("_by", "_note")
+        done.withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False)) | hit)
+        .withColumn("acknowledged_by", F.when(hit, F.col("_ack.acknowledged_by")).otherwise(F.col("acknowledged_by")))
+        .withColumn("acknowledged_at", F.when(hit, L.at(at)).otherwise(F.col("acknowledged_at")))
+        .withColumn("acknowledged_note", F.when(hit, F.col("_ack.note")).otherwise(F.col("acknowledged_note")))
+        .drop("_ack")
     )
     known = events.select("id", F.col("org_id").alias("_owner"))
     rejected = (
@@ -105,22 +107,27 @@ def ack_events(events: DataFrame, acks: DataFrame, at: str) -> tuple[DataFrame,
 def upsert_tools(tools: DataFrame, reviews: DataFrame) -> DataFrame:
     """Last legal review per (tenant, domain) over the existing rows."""
     legal = reviews.filter(F.col("status").isin(*TOOL_STATUSES))
-    last = L.latest_per(legal, ["org_id", "domain"], ["ts", "id"], ["status", "risk_level", "ts"]).select(
+    last = L.latest_per(legal, ["org_id", "domain"], ["ts", "id"], ["status", "risk_level", "ts", "notes", "reviewed_by"]).select(
         "org_id",
         "domain",
         F.col("status").alias("_s"),
         F.coalesce("risk_level", F.lit(DEFAULT_RISK)).alias("_r"),
-        F.col("ts").alias("reviewed_at"),
+        F.col("ts").alias("_at"),
+        F.nullif("notes", F.lit("")).alias("_notes"),
+        F.col("reviewed_by").alias("_by"),
     )
     j = tools.join(last, ["org_id", "domain"], "full")
-    new = F.col("reviewed_at").isNotNull()
+    new = F.col("_at").isNotNull()
+    kept = lambda mine, theirs: F.when(new, F.col(mine)).otherwise(F.col(theirs)).alias(theirs)
     return j.select(
         "org_id",
         "domain",
         F.coalesce("_s", "status").alias("status"),
         F.coalesce("_r", "risk_level").alias("risk_level"),
-        F.when(new, F.lit(None).cast("string")).otherwise(F.col("notes")).alias("notes"),
-        "reviewed_at",
+        kept("_notes", "notes"),
+        kept("_by", "reviewed_by"),
+        kept("_at", "reviewed_at"),
+        F.coalesce("first_seen_at", "_at").alias("first_seen_at"),
     )
 
 

@@ -88,11 +88,11 @@ def gate_split(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def corpus_summary(scanned: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
-    """Totals per group and the gate flags for ``fail_on`` block / warn. Over-size texts are
-    errors."""
+    """Totals per group and the gate flags for ``fail_on`` block / warn. Over-size texts are errors
+    and nothing else: their decisions and matches do not count."""
     error = texts.size_error(F.col(text)).isNotNull()
     block, warn = F.col("action") == "BLOCK", F.col("action") == "WARN"
-    slim = scanned.select(*by, "action", error.alias("error"), F.size("matches").alias("n"))
+    slim = scanned.select(*by, F.when(~error, F.col("action")).alias("action"), error.alias("error"), F.when(error, 0).otherwise(F.size("matches")).alias("n"))
     return slim.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_if(block).alias("blocked"),
@@ -100,8 +100,8 @@ def corpus_summary(scanned: DataFrame, by: Sequence[str], text: str = "text") ->
         F.count_if(F.col("action") == "ALLOW").alias("allowed"),
         F.count_if(F.col("error")).alias("errors"),
         F.sum(F.col("n").cast("long")).alias("matches"),
-        F.bool_or(block | F.col("error")).alias("fail_block"),
-        F.bool_or(block | warn | F.col("error")).alias("fail_warn"),
+        F.bool_or(F.col("error") | block).alias("fail_block"),
+        F.bool_or(F.col("error") | block | warn).alias("fail_warn"),
     )
 
 

@@ -154,7 +154,8 @@ def u_types(t):
 
 # --- validators over a column of candidates: digits and letters cut out of the corpus ---------
 
-_CANDIDATE = r"[A-Za-z]{0,2}[0-9][0-9A-Za-z+\-]{3,33}"
+# whole runs of letters, digits and separators that hold a digit, so spaced and dotted forms stay together
+_CANDIDATE = r"[+(]?[A-Za-z]{0,2}[0-9][0-9A-Za-z]*(?:[ ./()+-]{1,2}[0-9][0-9A-Za-z]*)*"
 _CAND_SQL = {
     "corpus": D.SEEDED,
     "cand": f"SELECT DISTINCT unnest(regexp_extract_all(text, '{_CANDIDATE}')) AS value FROM corpus",

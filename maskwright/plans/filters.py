@@ -174,8 +174,9 @@ _PRESETS = {
 @query(
     "p_config_view",
     """SELECT oc.org_id, 'rule' AS kind, p.type AS name, p.action AS setting FROM org_config oc JOIN presets p ON p.preset = oc.preset
-       UNION ALL SELECT org_id, 'platform', 'chatgpt', CASE WHEN ai_chatgpt THEN 'on' ELSE 'off' END FROM org_config
-       UNION ALL SELECT org_id, 'platform', 'claude', CASE WHEN ai_claude THEN 'on' ELSE 'off' END FROM org_config""",
+       UNION ALL SELECT org_id, 'url', 'approved', approved_ai_url FROM org_config
+       UNION ALL SELECT org_id, 'upload', 'warning', CASE WHEN file_upload_warning THEN 'on' ELSE 'off' END FROM org_config"""
+    + "".join(f" UNION ALL SELECT org_id, 'platform', '{p}', CASE WHEN ai_{p} THEN 'on' ELSE 'off' END FROM org_config" for p in M.PLATFORMS),
     _PRESETS,
 )
 def p_config_view(t):
@@ -183,13 +184,16 @@ def p_config_view(t):
     view = M.config_view(M.wide_config(t.org_config))
     rules = view.select("org_id", F.lit("rule").alias("kind"), F.explode("rules").alias("name", "setting"))
     flags = view.select("org_id", F.lit("platform").alias("kind"), F.explode("platforms").alias("name", "on"))
-    return rules.unionByName(flags.select("org_id", "kind", "name", F.when(F.col("on"), "on").otherwise("off").alias("setting")))
+    shown = lambda c: F.when(F.col(c), "on").otherwise("off").alias("setting")
+    url = view.select("org_id", F.lit("url").alias("kind"), F.lit("approved").alias("name"), F.col("approved_ai_url").alias("setting"))
+    upload = view.select("org_id", F.lit("upload").alias("kind"), F.lit("warning").alias("name"), shown("file_upload_warning"))
+    return rules.unionByName(flags.select("org_id", "kind", "name", shown("on"))).unionByName(url).unionByName(upload)
 
 
 _POST = """SELECT id, ts, user_id, CASE WHEN type = 'platform_visit' THEN CASE WHEN ai_domain IS NULL THEN 'quarantine' ELSE 'visit' END
     WHEN ai_domain IS NULL OR action IS NULL THEN 'quarantine' WHEN action NOT IN ('WARN','BLOCK') THEN 'quarantine' ELSE 'event' END AS route,
     CASE WHEN ai_domain IS NULL AND type = 'platform_visit' THEN 'DOMAIN_REQUIRED' WHEN type = 'platform_visit' THEN NULL WHEN ai_domain IS NULL OR action IS NULL THEN 'DOMAIN_AND_ACTION_REQUIRED'
-    WHEN action NOT IN ('WARN','BLOCK') THEN 'ILLEGAL_ACTION' END AS reason, ai_domain, action, coalesce(rule_id, source, 'detection') AS rule_id, '[]' AS data_types, '1.1.0' AS extension_version FROM raw_posts"""
+    WHEN action NOT IN ('WARN','BLOCK') THEN 'ILLEGAL_ACTION' END AS reason, ai_domain, action, coalesce(rule_id, source, 'detection') AS rule_id, CASE WHEN json_valid(data_types) AND json_type(data_types) = 'ARRAY' THEN data_types ELSE '[]' END AS data_types, coalesce(nullif(extension_version, ''), '1.1.0') AS extension_version FROM raw_posts"""
 
 
 @query("validate_events", _POST)

@@ -34,13 +34,13 @@ def j_log_project(t):
 
 @query(
     "j_key_project",
-    """SELECT r.id AS request_id, k.id AS key_id, p.id AS project_id, p.name AS project_name FROM (SELECT id, sha256('pf_live_' || key_id) AS h FROM proxy_logs) r
+    """SELECT r.id AS request_id, k.id AS key_id, p.id AS project_id, p.name AS project_name FROM (SELECT id, sha256('key_live_' || key_id) AS h FROM proxy_logs) r
        JOIN api_keys k ON k.key_hash = r.h AND k.revoked_at IS NULL JOIN dev_projects p ON p.id = k.project_id""",
 )
 def j_key_project(t):
     """Requests carry a raw key; only its hash is stored, and revoked keys do not match."""
     sent = t.proxy_logs.select(
-        F.col("id").alias("request_id"), F.sha2(F.concat(F.lit("pf_live_"), F.col("key_id").cast("string")), 256).alias("key_hash")
+        F.col("id").alias("request_id"), F.sha2(F.concat(F.lit("key_live_"), F.col("key_id").cast("string")), 256).alias("key_hash")
     )
     keys = t.api_keys.filter("revoked_at IS NULL").select(F.col("id").alias("key_id"), "project_id", "key_hash")
     projects = t.dev_projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
@@ -116,7 +116,7 @@ def j_org_match(t):
 @query(
     "j_missing_users",
     """SELECT DISTINCT c_nationkey AS org_id, 'h' || e.user_id AS hashed_id, 'employee' AS role FROM ev e JOIN customer ON c_custkey = e.user_id
-       WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.org_id = c_nationkey AND u.id = e.user_id)""",
+       WHERE NOT EXISTS (SELECT 1 FROM known_users u WHERE u.org_id = c_nationkey AND u.id = e.user_id)""",
 )
 def j_missing_users(t):
     """Identities seen in visits and events that have no user row become employees. The identities
@@ -124,7 +124,7 @@ def j_missing_users(t):
     seen = t.ev.join(t.customer.select("c_custkey", "c_nationkey"), F.col("user_id") == F.col("c_custkey")).select(
         F.col("c_nationkey").alias("org_id"), F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("hashed_id")
     )
-    known = t.users.select("org_id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hashed_id"))
+    known = t.known_users.select("org_id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hashed_id"))
     return R.missing_users(seen, known)
 
 
@@ -155,5 +155,6 @@ def j_cascade(t):
     "SELECT org_id, domain, status, risk_level FROM ai_tools t WHERE NOT EXISTS (SELECT 1 FROM platform_visits v WHERE v.org_id = t.org_id AND v.ai_domain = t.domain)",
 )
 def u_tools_without_visits(t):
-    seen = t.platform_visits.select("org_id", F.col("ai_domain").alias("domain"))
+    # one row a pair: an anti join's right side is not split, however hot a pair is
+    seen = t.platform_visits.select("org_id", F.col("ai_domain").alias("domain")).distinct()
     return t.ai_tools.join(seen, ["org_id", "domain"], "left_anti").select("org_id", "domain", "status", "risk_level")

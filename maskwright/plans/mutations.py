@@ -16,8 +16,9 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 
 @query(
     "ack_events",
-    f"""SELECT e.id, e.org_id, e.acknowledged OR a.id IS NOT NULL AS acknowledged, a.acknowledged_by, CASE WHEN a.id IS NOT NULL THEN {NOW} END AS acknowledged_at, a.note AS acknowledged_note, CAST(NULL AS VARCHAR) AS reason
-        FROM policy_events e LEFT JOIN event_acks a ON a.id = e.id AND a.acting_org_id = e.org_id
+    f"""SELECT e.id, e.org_id, e.acknowledged OR a.id IS NOT NULL AS acknowledged, CASE WHEN a.id IS NOT NULL THEN a.acknowledged_by ELSE e.acknowledged_by END AS acknowledged_by,
+          CASE WHEN a.id IS NOT NULL THEN {NOW} ELSE e.acknowledged_at END AS acknowledged_at, CASE WHEN a.id IS NOT NULL THEN a.note ELSE e.acknowledged_note END AS acknowledged_note, CAST(NULL AS VARCHAR) AS reason
+        FROM policy_events e LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, acting_org_id ORDER BY ts DESC, acknowledged_by DESC) AS r FROM event_acks) WHERE r = 1) a ON a.id = e.id AND a.acting_org_id = e.org_id
         UNION ALL SELECT a.id, a.acting_org_id, NULL, NULL, NULL, NULL, CASE WHEN e.id IS NULL THEN 'NOT_FOUND' ELSE 'FORBIDDEN' END FROM event_acks a LEFT JOIN policy_events e ON e.id = a.id WHERE e.id IS NULL OR e.org_id <> a.acting_org_id""",
 )
 def ack_events(t):
@@ -29,7 +30,8 @@ def ack_events(t):
 @query(
     "upsert_tools",
     """SELECT coalesce(t.org_id, r.org_id) AS org_id, coalesce(t.domain, r.domain) AS domain, coalesce(r.status, t.status) AS status, CASE WHEN r.org_id IS NOT NULL THEN coalesce(r.risk_level, 'limited') ELSE t.risk_level END AS risk_level,
-       CASE WHEN r.org_id IS NULL THEN t.notes END AS notes, r.ts AS reviewed_at FROM ai_tools t FULL JOIN
+       CASE WHEN r.org_id IS NULL THEN t.notes ELSE nullif(r.notes, '') END AS notes, CASE WHEN r.org_id IS NULL THEN t.reviewed_by ELSE r.reviewed_by END AS reviewed_by,
+       CASE WHEN r.org_id IS NULL THEN t.reviewed_at ELSE r.ts END AS reviewed_at, coalesce(t.first_seen_at, r.ts) AS first_seen_at FROM ai_tools t FULL JOIN
        (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org_id, domain ORDER BY ts DESC, id DESC) AS n FROM tool_reviews WHERE status <> 'bogus') WHERE n = 1) r ON r.org_id = t.org_id AND r.domain = t.domain""",
 )
 def upsert_tools(t):

@@ -73,7 +73,8 @@ def action_of(t):
 
 
 _PRESET_ROWS = ", ".join(
-    f"('{p}', '{ty}', '{a}')" for p, acts in policy.PRESETS.items() for ty, a in zip(policy.CONFIG_TYPES, acts)
+    [f"('{p}', '{ty}', '{a}')" for p, acts in policy.PRESETS.items() for ty, a in zip(policy.CONFIG_TYPES, acts)]
+    + [f"('default', '{ty}', '{a}')" for ty, a in DEFAULT_RULES.items() if ty != "CUSTOM_TERM"]
 )
 _CLIENT = {**D.raw_cte(D.SEEDED, "doc_id", None, "client")}
 _CLIENT.update(D.fold("kept", "sp", "doc_id"))
@@ -91,14 +92,14 @@ _CLIENT["presets"] = f"SELECT * FROM (VALUES {_PRESET_ROWS}) p(preset, type, act
        FROM corpus c LEFT JOIN (
          SELECT tt.doc_id, count(*) FILTER (WHERE p.action = 'BLOCK') AS nb, string_agg(tt.type, ',' ORDER BY o) FILTER (WHERE p.action = 'BLOCK') AS bt,
            count(*) FILTER (WHERE tt.type = 'CUSTOM_TERM' OR p.action = 'WARN') AS nw, string_agg(tt.type, ',' ORDER BY o) FILTER (WHERE tt.type = 'CUSTOM_TERM' OR p.action = 'WARN') AS wt
-         FROM tt JOIN org_config oc ON oc.org_id = tt.doc_id % 25 LEFT JOIN presets p ON p.preset = oc.preset AND p.type = tt.type GROUP BY tt.doc_id) x ON x.doc_id = c.doc_id""",
+         FROM tt LEFT JOIN org_config oc ON oc.org_id = tt.doc_id % 25 LEFT JOIN presets p ON p.preset = coalesce(oc.preset, 'default') AND p.type = tt.type GROUP BY tt.doc_id) x ON x.doc_id = c.doc_id""",
     _CLIENT,
 )
 def action_client(t):
-    """Client fold under each tenant's preset; also with blocking switched off."""
-    docs = _with_terms(_docs(t)).withColumn("org_id", F.col("doc_id") % 25).join(t.org_config.select("org_id", "preset"), "org_id")
+    """Client fold under each tenant's preset, or the default rules without one; also with blocking off."""
+    docs = _with_terms(_docs(t)).withColumn("org_id", F.col("doc_id") % 25).join(t.org_config.select("org_id", "preset"), "org_id", "left")
     df = spans.with_matches(docs, pack="client", terms="terms")
-    df = df.withColumn("types", spans.types_of(F.col("matches"))).withColumn("rules", policy.preset_rules(F.col("preset")))
+    df = df.withColumn("types", spans.types_of(F.col("matches"))).withColumn("rules", policy.tenant_rules(F.col("preset")))
     df = df.withColumn("v", policy.action_client(F.col("types"), F.col("rules")))
     muted = policy.action_client(F.col("types"), F.col("rules"), enable_block=False)
     return df.select(
@@ -245,8 +246,8 @@ def gate_split(t):
 
 _SUMMARY = f"""SELECT source, count(*) AS total, count(*) FILTER (WHERE action = 'BLOCK') AS blocked, count(*) FILTER (WHERE action = 'WARN') AS warned,
    count(*) FILTER (WHERE action = 'ALLOW') AS allowed, count(*) FILTER (WHERE error IS NOT NULL) AS errors, CAST(sum(n) AS BIGINT) AS matches,
-   bool_or(action = 'BLOCK' OR error IS NOT NULL) AS fail_block, bool_or(action <> 'ALLOW' OR error IS NOT NULL) AS fail_warn
-   FROM (SELECT source, n, {_ACT} AS action, CASE WHEN n_chars > 500000 THEN 'TEXT_TOO_LARGE' END AS error FROM pd) GROUP BY source"""
+   bool_or(coalesce(action = 'BLOCK', true)) AS fail_block, bool_or(coalesce(action <> 'ALLOW', true)) AS fail_warn
+   FROM (SELECT source, CASE WHEN n_chars > 500000 THEN 0 ELSE n END AS n, CASE WHEN n_chars <= 500000 THEN {_ACT} END AS action, CASE WHEN n_chars > 500000 THEN 'TEXT_TOO_LARGE' END AS error FROM pd) GROUP BY source"""
 
 
 @query("corpus_summary", _SUMMARY, _DOC)
@@ -279,8 +280,8 @@ def type_by_corpus(t):
 
 @query(
     "effective_rules",
-    """SELECT d.doc_id, string_agg(r.type || '=' || coalesce(q.action, p.action, r.action), ',' ORDER BY r.type) AS rules, any_value(len(j.terms) + 1) AS n_terms
-       FROM documents d JOIN (SELECT id, from_json(custom_terms, '["VARCHAR"]') AS terms, rules FROM dev_projects) j ON j.id = d.doc_id % 12
+    """SELECT d.doc_id, string_agg(r.type || '=' || coalesce(q.action, p.action, r.action), ',' ORDER BY r.type) AS rules, any_value(len(coalesce(j.terms, [])) + 1) AS n_terms
+       FROM documents d LEFT JOIN (SELECT id, from_json(custom_terms, '["VARCHAR"]') AS terms, rules FROM dev_projects) j ON j.id = d.doc_id % 12
        CROSS JOIN (VALUES """
     + ", ".join(f"('{a}', '{b}')" for a, b in DEFAULT_RULES.items())
     + """) r(type, action)
@@ -288,13 +289,13 @@ def type_by_corpus(t):
        LEFT JOIN (VALUES ('PHONE', 'BLOCK'), ('IBAN', 'ALLOW')) q(type, action) ON q.type = r.type GROUP BY d.doc_id""",
 )
 def effective_rules(t):
-    """Defaults, project rules and per-request overrides merged for each request."""
+    """Defaults, project rules and per-request overrides merged for each request, with or without a project."""
     j = t.dev_projects.select(
         F.col("id").alias("project_id"),
         F.from_json("rules", "map<string,string>").alias("project_rules"),
         F.from_json("custom_terms", "array<string>").alias("project_terms"),
     )
-    df = t.documents.select("doc_id", (F.col("doc_id") % 12).alias("project_id")).join(j, "project_id")
+    df = t.documents.select("doc_id", (F.col("doc_id") % 12).alias("project_id")).join(j, "project_id", "left")
     merged = policy.effective_rules(F.col("project_rules"), policy.rule_map({"PHONE": "BLOCK", "IBAN": "ALLOW"}))
     pairs = F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     terms = policy.effective_terms(F.col("project_terms"), F.array(F.lit("widget")))
@@ -315,8 +316,8 @@ def u_terms(t):
 _ORG = D.raw_cte(D.SEEDED, "doc_id")
 _ORG.update(D.fold("kept", "sp", "doc_id"))
 _ORG["owned"] = (
-    "SELECT c.doc_id, c.text, oc.org_id, oc.preset, list_filter(from_json(oc.custom_terms, '[\"VARCHAR\"]'), lambda x: trim(x) <> '') AS org_terms "
-    "FROM corpus c JOIN org_config oc ON oc.org_id = c.doc_id % 25"
+    "SELECT c.doc_id, c.text, c.doc_id % 25 AS org_id, coalesce(oc.preset, 'default') AS preset, list_filter(coalesce(from_json(oc.custom_terms, '[\"VARCHAR\"]'), []), lambda x: trim(x) <> '') AS org_terms "
+    "FROM corpus c LEFT JOIN org_config oc ON oc.org_id = c.doc_id % 25"
 )
 _ORG.update(D.term_cte("doc_id", "org_terms", "owned"))
 _ORG["mg"] = "SELECT * FROM kept UNION ALL SELECT doc_id, s, e, ord, type, country, v FROM cu"
@@ -332,17 +333,14 @@ _ORG["presets"] = _CLIENT["presets"]
     _ORG,
 )
 def j_org_rules(t):
-    """Each text scanned with its tenant's rules and terms.
+    """Each text scanned with its tenant's rules and all its stored terms, or with the defaults.
 
     No hint: the configuration side is broadcast while it is small, and beyond the threshold the
     join shuffles on org_id with skew splitting.
     """
     docs = _docs(t).withColumn("org_id", F.col("doc_id") % 25)
-    rules = F.map_concat(policy.preset_rules(F.col("preset")), F.expr("map('CUSTOM_TERM', 'WARN')"))
-    config = t.org_config.select(
-        "org_id", rules.alias("rules"), policy.clean_terms(F.from_json("custom_terms", "array<string>")).alias("terms")
-    )
-    df = S.scan(docs.join(config, "org_id"), terms="terms", rules="rules", redact=False)
+    owned = policy.with_tenant_policy(docs, t.org_config)
+    df = S.scan(owned, terms="terms", rules="rules", redact=False)
     return df.select("doc_id", "org_id", F.size("matches").cast("long").alias("n_matches"), "action")
 
 

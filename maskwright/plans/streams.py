@@ -36,11 +36,13 @@ def _texts(t):
     return seeded(rt.file_stream(t.spark, t.sf_dir, "documents")).select("doc_id", "text")
 
 
-@query("st_ingest", f"SELECT id, user_id, route, reason, ai_domain, action, rule_id FROM ({_POST})")
+@query("st_ingest", f"SELECT id, user_id, route, reason, ai_domain, action, rule_id, data_types, extension_version FROM ({_POST})")
 def st_ingest(t):
     out = rt.new_folder(t.spark, "ingest")
     jobs.ingest(_posts(t), out)
-    return rt.table(t.spark, out, "posts").select("id", "user_id", "route", "reason", "ai_domain", "action", "rule_id")
+    return rt.table(t.spark, out, "posts").select(
+        "id", "user_id", "route", "reason", "ai_domain", "action", "rule_id", "data_types", "extension_version"
+    )
 
 
 @query(
@@ -79,7 +81,7 @@ def st_scan_gate(t):
 
 @query(
     "st_alerts",
-    """SELECT l.id, l.project_id, webhook_url, ev_type AS event_type, '{"event":"' || ev_type || '","project_id":' || l.project_id || ',"org_id":' || p.org_id || ',"data":{"action":"' || action || '","detected_types":' || detected_types || '}}' AS payload
+    """SELECT l.id, l.project_id, webhook_url, ev_type AS event_type, '{"event":"' || ev_type || '","project_id":' || l.project_id || ',"org_id":' || p.org_id || ',"timestamp":"' || strftime(l.timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":{"action":"' || action || '","detected_types":' || detected_types || '}}' AS payload
        FROM (SELECT *, CASE WHEN action = 'BLOCK' THEN 'scan.blocked' ELSE 'scan.warned' END AS ev_type FROM proxy_logs WHERE action <> 'ALLOW') l JOIN dev_projects p ON p.id = l.project_id AND p.webhook_url IS NOT NULL""",
 )
 def st_alerts(t):

@@ -115,8 +115,9 @@ def chat_text_sdk(t):
 
 @query(
     "conv_text",
-    """SELECT conv_id, CAST(sum(length(text)) + count(text) - 1 AS BIGINT) AS n_chars, count(*) AS n_turns, CASE WHEN sum(length(text)) + count(text) - 1 > 500000 THEN 'TEXT_TOO_LARGE' END AS error_code,
-       CASE WHEN sum(length(text)) + count(text) - 1 <= 500000 THEN string_agg(text, chr(10) ORDER BY turn) END AS text FROM conversations GROUP BY conv_id""",
+    """SELECT conv_id, part, count(*) AS n_turns, CAST(length(coalesce(string_agg(text, chr(10) ORDER BY turn), '')) AS BIGINT) AS n_chars, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS text FROM
+       (SELECT *, CAST(floor(coalesce(sum(coalesce(length(text) + 1, 0)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500000) AS BIGINT) AS part FROM conversations)
+       GROUP BY conv_id, part""",
 )
 def conv_text(t):
     return X.conversation_text(t.conversations)
@@ -129,7 +130,7 @@ _TS = "strftime(e.timestamp, '%Y-%m-%d %H:%M:%S')"
 @query(
     "sink_events_csv",
     f"""SELECT e.id, e.id || ',' || {_TS} || ',' || e.user_id || ',' || coalesce(u.email, '') || ',' || ai_domain || ',' || rule_id || ',"' || {_TYPES.format(sep=',')} || '",' || action || ',' || extension_version AS line,
-        {_TS} || ',' || coalesce(u.email, '') || ',' || ai_domain || ',' || action || ',' || {_TYPES.format(sep=';')} || ',' || CASE WHEN acknowledged THEN 'yes' ELSE 'no' END || ',' AS client_line
+        {_TS} || ',' || coalesce(u.email, '') || ',' || ai_domain || ',' || action || ',' || {_TYPES.format(sep=';')} || ',' || CASE WHEN acknowledged THEN 'yes' ELSE 'no' END || ',' || coalesce(strftime(acknowledged_at, '%Y-%m-%d %H:%M:%S'), '') AS client_line
         FROM policy_events e LEFT JOIN users u ON u.id = e.user_id""",
 )
 def sink_events_csv(t):
@@ -171,7 +172,7 @@ _REPORT = f"""SELECT o.id AS org_id, f.section, f.part, f.line FROM orgs o, fixe
   UNION ALL SELECT u.org_id, 1, 3, {_quote("coalesce(email, 'anonymous')")} || ',' || {_quote('role')} || ',' || CASE WHEN extension_installed THEN 'Yes' ELSE 'No' END || ',' || CASE WHEN policy_acknowledged_at IS NOT NULL THEN 'Yes' ELSE 'No' END || ',' || {_quote(_fmt('policy_acknowledged_at'))}
      || ',' || coalesce(c.b, 0) || ',' || coalesce(c.w, 0) || ',' || {_quote(_fmt('last_seen_at'))} FROM users u LEFT JOIN (SELECT user_id, count(*) FILTER (WHERE action = 'BLOCK') AS b, count(*) FILTER (WHERE action = 'WARN') AS w FROM policy_events GROUP BY user_id) c ON c.user_id = u.id
   UNION ALL SELECT o.id, 1, 4, 'Total,' || count(u.id) || ' members,' || count(u.policy_acknowledged_at) || ' trained (' || CAST(floor(CAST(count(u.policy_acknowledged_at) AS DOUBLE) / greatest(count(u.id), 1) * 100 + 0.5) AS BIGINT) || '%)' FROM orgs o LEFT JOIN users u ON u.org_id = o.id GROUP BY o.id
-  UNION ALL SELECT e.org_id, 2, 3, {_quote(_fmt('e.timestamp'))} || ',' || {_quote("coalesce(u.email, 'anonymous')")} || ',' || {_quote('ai_domain')} || ',' || {_quote("CASE WHEN json_valid(data_types) THEN array_to_string(from_json(data_types, '[\"VARCHAR\"]'), '; ') ELSE data_types END")} || ',' || {_quote('action')} || ',' || CASE WHEN acknowledged THEN 'Yes' ELSE 'No' END || ',"",""'
+  UNION ALL SELECT e.org_id, 2, 3, {_quote(_fmt('e.timestamp'))} || ',' || {_quote("coalesce(u.email, 'anonymous')")} || ',' || {_quote('ai_domain')} || ',' || {_quote("CASE WHEN json_valid(data_types) THEN array_to_string(from_json(data_types, '[\"VARCHAR\"]'), '; ') ELSE data_types END")} || ',' || {_quote('action')} || ',' || CASE WHEN acknowledged THEN 'Yes' ELSE 'No' END || ',' || {_quote(_fmt('acknowledged_at'))} || ',' || {_quote('acknowledged_note')}
      FROM ins e LEFT JOIN users u ON u.id = e.user_id
   UNION ALL SELECT o.id, 2, 4, 'Total events in period,' || count(e.id) FROM orgs o LEFT JOIN ins e ON e.org_id = o.id GROUP BY o.id
   UNION ALL SELECT o.id, 2, 5, 'Blocks,' || count(e.id) FROM orgs o LEFT JOIN ins e ON e.org_id = o.id AND action = 'BLOCK' GROUP BY o.id

@@ -28,24 +28,23 @@ def running_counters(t):
     return running.running_counters(t.policy_events).select("id", "user_id", "block_count", "warn_count")
 
 
-_QUOTA = """SELECT l.id, l.key_id, n, CASE WHEN coalesce(k.monthly_limit, 0) > 0 AND n > k.monthly_limit THEN 429 ELSE 200 END AS status FROM
-   (SELECT id, key_id, row_number() OVER (PARTITION BY key_id{month} ORDER BY timestamp, id) AS n FROM proxy_logs) l JOIN api_keys k ON k.id = l.key_id"""
+_QUOTA = """SELECT l.id, l.key_id, CASE WHEN k.id IS NOT NULL THEN n END AS n, CASE WHEN k.id IS NULL THEN 401 WHEN coalesce(k.monthly_limit, 0) > 0 AND n > k.monthly_limit THEN 429 ELSE 200 END AS status FROM
+   (SELECT id, key_id, row_number() OVER (PARTITION BY key_id{month} ORDER BY timestamp, id) AS n FROM proxy_logs) l LEFT JOIN api_keys k ON k.id = l.key_id"""
 
 
 def _calls(t):
-    keys = t.api_keys.select(F.col("id").alias("key_id"), "monthly_limit")
-    return t.proxy_logs.select("id", "key_id", "timestamp").join(keys, "key_id")
+    return t.proxy_logs.select("id", "key_id", "timestamp"), t.api_keys.select(F.col("id").alias("key_id"), "monthly_limit")
 
 
 @query("monthly_quota", _QUOTA.format(month=", date_trunc('month', timestamp)"))
 def monthly_quota(t):
-    return limits.monthly_quota(_calls(t)).select("id", "key_id", "n", "status")
+    return limits.keyed_quota(*_calls(t)).select("id", "key_id", "n", "status")
 
 
 @query("monthly_quota_no_reset", _QUOTA.format(month=""))
 def monthly_quota_no_reset(t):
     """The counter is never reset at a month's end."""
-    return limits.monthly_quota(_calls(t), reset=False).select("id", "key_id", "n", "status")
+    return limits.keyed_quota(*_calls(t), reset=False).select("id", "key_id", "n", "status")
 
 
 @query(

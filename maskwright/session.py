@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# asked for by a caller whose input has too few splits for its cores (tests, bench)
+SPREAD = "spark.maskwright.scan.partitions"
+
+
 def build_session(app: str = "maskwright", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the session you are given."""
     return (
@@ -17,6 +21,7 @@ def build_session(app: str = "maskwright", cores: int | str = "*", shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SPREAD, str(4 * int(cores)) if str(cores).isdigit() else "32")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -25,8 +30,10 @@ def build_session(app: str = "maskwright", cores: int | str = "*", shuffle_parti
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a fresh temporary one only where it is unset (tests)."""
+    """Shared folder named by the cluster. Only a local master may do without: there, one machine is all."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="maskwright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

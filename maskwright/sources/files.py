@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import FILE_EXTENSIONS, MAX_BYTES, extension_of, extract_text, mime_of
+from maskwright.functions.text import FILE_EXTENSIONS, extension_of, extract_text, mime_of
+from maskwright.session import SPREAD
 
 
 def corpus(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
@@ -14,16 +15,13 @@ def corpus(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a small file input before a CPU-heavy scan.
+    """Deal rows out evenly, where the session asks for it with a number of partitions.
 
-    A file is split for I/O, so one small file keeps one core busy while a scan needs them all.
-    Inputs that already have several partitions per core – any real corpus – are left alone, so
-    a large corpus is never shuffled.
+    A file is split for I/O, so one small file keeps one core busy while a scan needs them all. Larger
+    inputs have splits enough (``spark.sql.files.maxPartitionBytes``), and nothing is shuffled.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(4 * cores)
+    wanted = None if df.isStreaming else df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def supported_files(spark: SparkSession, root: str) -> DataFrame:
@@ -36,14 +34,16 @@ def supported_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Text of every supported file up to the size limit; larger ones carry an error code and are
-    never loaded (the length comes from the listing)."""
+def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Text of every supported file. With ``max_bytes`` (the upload limit is MAX_BYTES), larger files
+    carry an error code and are never loaded, since their length comes from the listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = files.withColumn("extension", extension_of(F.col("path"))).filter(F.col("extension").isin(*FILE_EXTENSIONS))
-    small = files.filter(F.col("length") <= MAX_BYTES).withColumn("mime", mime_of(F.col("path")))
-    ok = small.select("path", "length", "mime", extract_text(F.col("content"), F.col("mime")).alias("text"), F.lit(None).cast("string").alias("error_code"))
-    big = files.filter(F.col("length") > MAX_BYTES).select(
-        "path", "length", mime_of(F.col("path")).alias("mime"), F.lit(None).cast("string").alias("text"), F.lit("FILE_TOO_LARGE").alias("error_code")
-    )
+    files = files.withColumn("mime", mime_of(F.col("path")))
+    small = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    none = F.lit(None).cast("string")
+    ok = small.select("path", "length", "mime", extract_text(F.col("content"), F.col("mime")).alias("text"), none.alias("error_code"))
+    if max_bytes is None:
+        return ok
+    big = files.filter(F.col("length") > max_bytes).select("path", "length", "mime", none.alias("text"), F.lit("FILE_TOO_LARGE").alias("error_code"))
     return ok.unionByName(big)

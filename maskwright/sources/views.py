@@ -17,13 +17,13 @@ _SPARK = {
     "{STR}": "STRING",
     "{TS}": "TIMESTAMP_NTZ",
     "{K}": "get_json_object(props, '$.k')",
-    "{SHA}": "sha2(concat('pf_live_', CAST(p_partkey AS STRING)), 256)",
+    "{SHA}": "sha2(concat('key_live_', CAST(p_partkey AS STRING)), 256)",
 }
 _DUCK = {
     "{STR}": "VARCHAR",
     "{TS}": "TIMESTAMP",
     "{K}": "json_extract_string(props, '$.k')",
-    "{SHA}": "sha256('pf_live_' || CAST(p_partkey AS VARCHAR))",
+    "{SHA}": "sha256('key_live_' || CAST(p_partkey AS VARCHAR))",
 }
 
 
@@ -69,8 +69,8 @@ VIEWS = {
             "CASE WHEN c_custkey % 2 = 0 THEN CAST(DATE '2024-01-15' AS {TS}) ELSE NULL END AS policy_acknowledged_at",
             "CAST(DATE '2023-12-01' + CAST(c_custkey % 50 AS INT) AS {TS}) AS created_at",
         ],
-        "c_custkey % 10 <> 9",
     ),
+    "known_users": View("users", ["id", "org_id"], "id % 10 <> 9"),  # some identities have no user row yet
     "policy_events": View(
         "ev",
         [
@@ -84,6 +84,9 @@ VIEWS = {
             "CASE WHEN event_type = 'error' THEN 'BLOCK' ELSE 'WARN' END AS action",
             "'1.' || CAST(k % 3 AS {STR}) || '.0' AS extension_version",
             "value > 10 AS acknowledged",
+            "CASE WHEN value > 10 THEN user_id + 1 ELSE NULL END AS acknowledged_by",
+            "CASE WHEN value > 10 THEN ts ELSE NULL END AS acknowledged_at",
+            "CASE WHEN value > 10 AND k % 3 = 0 THEN 'seen, \"ok\"' ELSE NULL END AS acknowledged_note",
         ],
         "event_type IN ('error','click')",
         True,
@@ -129,12 +132,13 @@ VIEWS = {
         [
             "p_partkey AS id",
             "p_partkey % 12 AS project_id",
-            "'pf_live_' || CAST(p_partkey AS {STR}) AS raw_key",
+            "'key_live_' || CAST(p_partkey AS {STR}) AS raw_key",
             "{SHA} AS key_hash",
             "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS monthly_limit",
             "p_size AS calls_total",
             "CASE WHEN p_partkey % 7 = 0 THEN CAST(DATE '2024-01-20' AS {TS}) ELSE NULL END AS revoked_at",
         ],
+        "p_partkey % 11 <> 10",  # some calls come with an unknown key
     ),
     "ai_tools_unused": View(
         "nation",
@@ -144,6 +148,9 @@ VIEWS = {
             "'approved' AS status",
             "'limited' AS risk_level",
             "CAST(NULL AS {STR}) AS notes",
+            "CAST(NULL AS BIGINT) AS reviewed_by",
+            "CAST(NULL AS {TS}) AS reviewed_at",
+            "CAST(DATE '2023-12-15' AS {TS}) AS first_seen_at",
         ],
         "n_nationkey % 2 = 0",
     ),
@@ -155,6 +162,9 @@ VIEWS = {
             "CASE n_nationkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'flagged' ELSE 'discovered' END AS status",
             "CASE n_nationkey % 2 WHEN 0 THEN 'minimal' ELSE 'high' END AS risk_level",
             "CASE WHEN n_nationkey % 4 = 0 THEN 'note, \"q\"' ELSE NULL END AS notes",
+            "CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey + 100 ELSE NULL END AS reviewed_by",
+            "CASE WHEN n_nationkey % 4 = 0 THEN CAST(DATE '2024-01-02' AS {TS}) ELSE NULL END AS reviewed_at",
+            "CAST(DATE '2023-12-01' + CAST(n_nationkey AS INT) AS {TS}) AS first_seen_at",
         ],
         plus="ai_tools_unused",
     ),
@@ -165,8 +175,21 @@ VIEWS = {
             "CASE n_nationkey % 5 WHEN 0 THEN 'personal' WHEN 1 THEN 'finance' WHEN 2 THEN 'health' WHEN 3 THEN 'workplace' ELSE 'developer' END AS preset",
             "n_nationkey % 2 = 0 AS ai_chatgpt",
             "n_nationkey % 3 = 0 AS ai_claude",
+            "n_nationkey % 4 = 0 AS ai_gemini",
+            "n_nationkey % 5 = 0 AS ai_perplexity",
+            "n_nationkey % 6 = 0 AS ai_copilot",
+            "n_nationkey % 7 = 0 AS ai_mistral",
+            "n_nationkey % 8 = 0 AS ai_slack",
+            "n_nationkey % 9 = 0 AS ai_gmail",
+            "n_nationkey % 10 = 0 AS ai_notion",
+            "n_nationkey % 11 = 0 AS ai_linear",
+            "n_nationkey % 12 = 0 AS ai_outlook",
+            "n_nationkey % 13 = 0 AS ai_other",
+            "CASE WHEN n_nationkey % 2 = 0 THEN 'https://ai.example/' || CAST(n_nationkey AS {STR}) ELSE NULL END AS approved_ai_url",
+            "n_nationkey % 3 = 0 AS file_upload_warning",
             """CASE n_nationkey % 3 WHEN 0 THEN '["Project X"," ",""]' WHEN 1 THEN '["the"]' ELSE '[]' END AS custom_terms""",
         ],
+        "n_nationkey % 8 <> 7",  # some tenants have no configuration
     ),
     "webhook_deliveries": View(
         "ev",
@@ -208,9 +231,23 @@ VIEWS = {
             "CASE WHEN k % 2 = 0 THEN 'claude.ai' ELSE 'notion.so' END AS domain",
             "CASE k % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'flagged' WHEN 2 THEN 'discovered' ELSE 'bogus' END AS status",
             "CASE WHEN k % 3 = 0 THEN NULL ELSE 'high' END AS risk_level",
+            "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'review ' || CAST(k AS {STR}) END AS notes",
+            "user_id AS reviewed_by",
         ],
         "event_type = 'signup'",
     ),
+    "event_acks_again": View(
+        "ev",
+        [
+            "event_id AS id",
+            "c_nationkey AS acting_org_id",
+            "user_id + 7 AS acknowledged_by",
+            "'again' AS note",
+            "CASE WHEN k % 4 = 0 THEN ts + INTERVAL '1' DAY ELSE ts - INTERVAL '1' DAY END AS ts",
+        ],
+        "k < 20",
+        True,
+    ),
     "event_acks": View(
         "ev",
         [
@@ -218,9 +255,11 @@ VIEWS = {
             "c_nationkey + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END AS acting_org_id",
             "user_id AS acknowledged_by",
             "CASE WHEN k % 2 = 0 THEN 'ok' ELSE NULL END AS note",
+            "ts",
         ],
         "k < 40",
         True,
+        plus="event_acks_again",
     ),
     "requests": View("ev", ["event_id AS id", "event_id % 5 AS client", "event_id AS at_s"]),
     "chat_bodies": View(
@@ -244,6 +283,8 @@ VIEWS = {
             "CASE k % 5 WHEN 0 THEN 'WARN' WHEN 1 THEN 'BLOCK' WHEN 2 THEN 'ALLOW' WHEN 3 THEN NULL ELSE 'BLOCK' END AS action",
             "CASE WHEN k % 3 = 0 THEN NULL ELSE 'R1' END AS rule_id",
             "CASE WHEN k % 2 = 0 THEN 'paste' ELSE NULL END AS source",
+            """CASE k % 4 WHEN 0 THEN '["EMAIL"]' WHEN 1 THEN 'IBAN' WHEN 2 THEN NULL ELSE '["IBAN","PHONE"]' END AS data_types""",
+            "CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN '2.' || CAST(k AS {STR}) || '.0' ELSE '' END AS extension_version",
         ],
     ),
 }

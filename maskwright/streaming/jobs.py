@@ -18,6 +18,7 @@ from maskwright.streaming import runtime as rt
 
 # Age after which the configuration is read again.
 CONFIG_TTL_SECONDS = 300
+ALERT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def ingest(posts: DataFrame, out: str) -> None:
@@ -99,15 +100,18 @@ def quota(calls: DataFrame, keys: DataFrame, out: str) -> None:
         spark = batch.sparkSession
         month = F.date_trunc("month", F.col("timestamp")).cast("timestamp_ntz")
         state = _previous(spark, out, batch_id, "key_id long, month timestamp_ntz, used long")
-        known = batch.select("id", "key_id", "timestamp", month.alias("month")).join(keys, "key_id")
+        calls_ = batch.select("id", "key_id", "timestamp", month.alias("month")).join(keys.withColumn("_known", F.lit(True)), "key_id", "left")
+        known = calls_.filter("_known").drop("_known")
         ran = L.running_sums(known, ["key_id", "month"], ["timestamp", "id"], L.time_slot("timestamp"), {"_n": F.lit(1)})
         n = F.col("_n") + F.coalesce("used", F.lit(0))
         limited = (F.coalesce("monthly_limit", F.lit(0)) > 0) & (n > F.col("monthly_limit"))
         done = ran.join(state, ["key_id", "month"], "left").select(
             "id", "key_id", "month", n.alias("n"), F.when(limited, 429).otherwise(200).alias("status")
         )
+        unknown = calls_.filter("_known IS NULL").select("id", "key_id", "month", F.lit(None).cast("long").alias("n"), F.lit(limits.UNKNOWN_KEY).alias("status"))
+        done = done.unionByName(unknown)
         stored = spark.read.parquet(rt.save(done, out, "decisions", batch_id))
-        used = stored.groupBy("key_id", "month").agg(F.max("n").alias("used")).unionByName(state)
+        used = stored.filter("n IS NOT NULL").groupBy("key_id", "month").agg(F.max("n").alias("used")).unionByName(state)
         rt.save(used.groupBy("key_id", "month").agg(F.max("used").alias("used")), out, "state", batch_id)
 
     rt.run(calls, out, write)
@@ -152,13 +156,13 @@ def scan_gate(texts: DataFrame, out: str, at: str) -> None:
 def alert_rows(log: DataFrame, projects: DataFrame) -> DataFrame:
     """Outbox rows for blocked and warned scans of projects that have an address. Delivery is left
     to whoever drains the outbox; the log id makes a repeated row recognisable."""
-    slim = log.select("id", "project_id", "action", "detected_types")
+    slim = log.select("id", "project_id", "action", "detected_types", "timestamp")
     wanted = slim.filter(F.col("action").isin("BLOCK", "WARN")).join(
         projects.filter("webhook_url IS NOT NULL").select(F.col("id").alias("project_id"), "org_id", "webhook_url"), "project_id"
     )
     event = F.when(F.col("action") == "BLOCK", "scan.blocked").otherwise("scan.warned")
     data = F.struct("action", F.from_json("detected_types", "array<string>").alias("detected_types"))
-    payload = F.to_json(F.struct(event.alias("event"), "project_id", "org_id", data.alias("data")))
+    payload = F.to_json(F.struct(event.alias("event"), "project_id", "org_id", F.date_format("timestamp", ALERT_TIME).alias("timestamp"), data.alias("data")))
     return wanted.select("id", "project_id", "webhook_url", event.alias("event_type"), payload.alias("payload"))
 
 
@@ -167,7 +171,7 @@ def alerts(log: DataFrame, projects: DataFrame, out: str) -> None:
 
 
 class ConfigCache:
-    """Last known configuration; read again once it is older than ``ttl``."""
+    """Rows of the last known configuration, held by Spark; read again once they are older than ``ttl``."""
 
     def __init__(self, load: Callable[[], DataFrame], ttl: float = CONFIG_TTL_SECONDS, clock: Callable[[], float] = time.monotonic):
         self._load, self._ttl, self._clock = load, ttl, clock
@@ -177,7 +181,11 @@ class ConfigCache:
     def get(self) -> DataFrame:
         now = self._clock()
         if self._config is None or now - self._at > self._ttl:
-            self._config, self._at = self._load(), now
+            old = self._config
+            self._config, self._at = self._load().persist(), now
+            self._config.count()  # read now: a table that is replaced later does not change what is held
+            if old is not None:
+                old.unpersist()
             self.reads += 1
         return self._config
 
@@ -186,11 +194,7 @@ def scan_with_config(texts: DataFrame, config: ConfigCache, out: str) -> None:
     """Scan each batch under the tenants' configuration as last read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rules = F.map_concat(policy.preset_rules(F.col("preset")), F.expr("map('CUSTOM_TERM', 'WARN')"))
-        conf = config.get().select(
-            "org_id", rules.alias("rules"), policy.clean_terms(F.from_json("custom_terms", "array<string>")).alias("terms")
-        )
-        df = S.scan(batch.join(conf, "org_id"), terms="terms", rules="rules", redact=False)
+        df = S.scan(policy.with_tenant_policy(batch, config.get()), terms="terms", rules="rules", redact=False)
         rt.save(df.select("doc_id", "org_id", F.size("matches").cast("long").alias("n_matches"), "action"), out, "decisions", batch_id)
 
     rt.run(texts, out, write)

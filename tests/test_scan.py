@@ -1,5 +1,6 @@
 """Validators, decisions, redaction, chat text, SQL functions, sinks."""
 
+import json
 import os
 import re
 
@@ -103,11 +104,45 @@ def test_chat_bodies(spark):
         assert (r.o, r.a, r.s) == (r.o2, r.a2, r.s2)
 
 
-def test_conversations_over_the_limit_are_reported_not_assembled(spark):
-    df = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "x" * 50)], "conv_id long, turn long, text string")
-    got = {r.conv_id: r for r in X.conversation_text(df, max_chars=20).collect()}
-    assert got[1].text == "a\nb" and got[1].error_code is None
-    assert got[2].text is None and got[2].error_code == "TEXT_TOO_LARGE" and got[2].n_chars == 50
+def test_long_conversations_come_out_whole_in_parts(spark):
+    long = [(3, i, "w" * 999) for i in range(1200)]
+    df = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (1, 2, None), (2, 0, "x" * 50), *long], "conv_id long, turn long, text string")
+    small = {(r.conv_id, r.part): r for r in X.conversation_text(df.where("conv_id < 3"), part_chars=20).collect()}
+    assert small[1, 0].text == "a\nb" and small[1, 0].n_turns == 3
+    assert small[2, 0].text == "x" * 50 and small[2, 0].n_chars == 50
+    parts = X.conversation_text(df.where("conv_id = 3"), slot=100).orderBy("part").collect()
+    assert [p.part for p in parts] == [0, 1, 2] and sum(p.n_turns for p in parts) == 1200
+    assert "\n".join(p.text for p in parts) == "\n".join(["w" * 999] * 1200)
+
+
+def test_stored_terms_are_all_used_and_no_tenant_is_lost(spark):
+    terms = ["zz%02d" % i for i in range(60)] + [" "]
+    config = spark.createDataFrame([(1, "finance", json.dumps(terms))], "org_id long, preset string, custom_terms string")
+    texts = spark.createDataFrame([(1, "see zz59"), (2, "mail a@b.com"), (None, "zz59")], "org_id long, text string")
+    rows = {r.org_id: r for r in S.scan(policy.with_tenant_policy(texts, config), terms="terms", rules="rules", redact=False).collect()}
+    assert len(rows[1].terms) == 60 and rows[1].detected_types == ["CUSTOM_TERM"] and rows[1].action == "WARN"
+    assert rows[2].action == "WARN" and rows[None].action == "ALLOW"
+
+
+def test_over_size_text_is_an_error_only(spark):
+    texts = spark.createDataFrame([("s", "mail a@b.com " + "x" * 500_000), ("s", "fine")], "source string, text string")
+    r = S.corpus_summary(S.scan(texts), ["source"]).first()
+    assert (r.total, r.errors, r.warned, r.blocked, r.allowed, r.matches) == (2, 1, 0, 0, 1, 0) and r.fail_block
+
+
+def test_scan_deals_rows_out_only_where_asked(spark, sf):
+    from maskwright.session import SPREAD
+    from maskwright.sources.golden import seeded
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = lambda: S.scan(seeded(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" in plan()
+    asked = spark.conf.get(SPREAD)
+    spark.conf.unset(SPREAD)
+    try:
+        assert "Exchange" not in plan()
+    finally:
+        spark.conf.set(SPREAD, asked)
 
 
 def test_directory_scan(spark, tmp_path):
@@ -117,6 +152,8 @@ def test_directory_scan(spark, tmp_path):
     listed = {os.path.basename(r.path) for r in files.supported_files(spark, str(tmp_path)).collect()}
     assert listed == {"a.TXT", "b.md", "c.pdf", "d.xlsx"}
     got = {os.path.basename(r.path): r for r in S.scan(files.read_files(spark, str(tmp_path))).collect()}
+    limited = {os.path.basename(r.path): r.error_code for r in files.read_files(spark, str(tmp_path), max_bytes=4).collect()}
+    assert limited == {"a.TXT": "FILE_TOO_LARGE", "b.md": None, "c.pdf": "FILE_TOO_LARGE", "d.xlsx": "FILE_TOO_LARGE"}
     assert got["a.TXT"].action == "WARN" and got["c.pdf"].action == "WARN"
     assert got["b.md"].clean and got["d.xlsx"].clean  # spreadsheets have no fallback text
 
