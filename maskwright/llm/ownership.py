@@ -116,5 +116,6 @@ def listed(spans: Column) -> Column:
 def report(scanned: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans."""
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return scanned.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
