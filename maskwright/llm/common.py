@@ -50,6 +50,17 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that columns which an operator adds meet none of the same name."""
+    return df.select(F.struct(*(column(df, c) for c in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The columns of ``row`` and those added; an added one takes the place of one of the same name."""
+    kept = [F.col("row").getField(c).alias(c) for c in columns if c not in added]
+    return df.select(*kept, *(v.alias(k) for k, v in added.items()))
+
+
 def slices(arrays: list[pa.Array], rows: int) -> Iterator[list[pa.Array]]:
     """Equally long arrays, cut alike into pieces of some rows."""
     for at in range(0, len(arrays[0]), rows):

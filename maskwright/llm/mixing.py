@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import column, n_words, stored
+from maskwright.llm.common import n_words, packed, stored, unpacked
 
 # Weights of the sources in their order, repeating, and the cap on a target.
 WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
@@ -60,11 +60,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return final.select("source", "source_size", target.alias("target"))
 
 
-def _named(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> tuple[Column, ...]:
-    """id, source, size, sampling rank of a document: (key, hash of the text)."""
-    t, d = column(docs, text), column(docs, doc_id)
+def _named(doc_id: str, text: str, source: str, seed: str) -> tuple[Column, ...]:
+    """id, source, size, sampling rank of a packed document: (key, id, hash of the text)."""
+    d, t, s = (F.col("row").getField(c) for c in (doc_id, text, source))
     rank = F.struct(key(d, t, seed).alias("key"), d.cast("string").alias("id"), F.xxhash64(t).alias("h"))
-    return d.alias("doc_id"), column(docs, source).alias("source"), n_words(t).alias("size"), rank.alias("rank")
+    return d.alias("doc_id"), s.alias("source"), n_words(t).alias("size"), rank.alias("rank")
 
 
 def _bucket(rank: Column, per_octave: int) -> Column:
@@ -85,8 +85,8 @@ def goals(named: DataFrame, per_octave: int = 512) -> DataFrame:
     aims = aims.select("*", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
     run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("source", "b", "words", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("start"))
-    # the bucket in which the target ends: one a source at most
-    ends = starts.alias("s").join(aims.alias("a"), F.expr("s.source <=> a.source AND s.start < a.rest AND s.start + s.words > a.rest"))
+    # the first bucket that goes beyond the target: one a source at most
+    ends = starts.alias("s").join(aims.alias("a"), F.expr("s.source <=> a.source AND s.start <= a.rest AND s.start + s.words > a.rest"))
     ends = ends.selectExpr("s.source AS e_source", "s.b AS cut", "s.start AS start", "a.rest AS rest")
     inside = rows.join(ends, F.expr("source <=> e_source AND b = cut"))
     order = Window.partitionBy("e_source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +112,7 @@ def allot(
 
     Sizes and ranks are written once as a narrow table; the sums and the result come from it.
     """
-    named = stored(docs.select(*_named(docs, doc_id, text, source, seed)))
+    named = stored(packed(docs).select(*_named(doc_id, text, source, seed)))
     aims = goals(named, per_octave)
     aims = aims.select(F.struct(*aims.columns).alias("goal"))
     goal = F.col("goal")
@@ -126,11 +126,9 @@ def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", per_octave: int = 512
 ) -> DataFrame:
     """``docs`` as mixed: every row as often as it is taken. Texts are not shuffled; only the sources' row is joined."""
-    parts = _named(docs, doc_id, text, source, seed)
-    aims = goals(stored(docs.select(*parts)), per_octave)
-    aims = aims.select(F.struct(*aims.columns).alias("mix_goal"))
-    rank = parts[3]
-    joined = docs.select("*", rank.alias("mix_rank")).join(aims, column(docs, source).eqNullSafe(F.col("mix_goal")["source"]))
-    copies = _copies(F.col("mix_rank"), F.col("mix_goal"), per_octave)
-    again = joined.select(*(column(docs, c) for c in docs.columns), F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("mix_copy"))
-    return again.drop("mix_copy")
+    rows, parts = packed(docs), _named(doc_id, text, source, seed)
+    aims = goals(stored(rows.select(*parts)), per_octave)
+    aims = aims.select(F.struct(*aims.columns).alias("goal"))
+    joined = rows.select("row", parts[3]).join(aims, F.col("row").getField(source).eqNullSafe(F.col("goal")["source"]))
+    copies = _copies(F.col("rank"), F.col("goal"), per_octave)
+    return unpacked(joined.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))), docs.columns)
