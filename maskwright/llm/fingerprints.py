@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import column, stored
+from maskwright.llm.common import column, packed, stored, unpacked
 
 # Shingle length, hash seed, and the number of differing bits that still links.
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -119,6 +119,12 @@ def _compare(radius: int, most: int):
     return run
 
 
+def _block(bits: Column, j: int, n: int) -> Column:
+    """Mask of every n-th of the bits, from the j-th on."""
+    chosen = F.filter(bits, lambda x, i: i % n == j)
+    return F.aggregate(chosen, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, most: int = COMPARED_AT_ONCE) -> DataFrame:
     """(a, b): enough pairs of distinct fingerprints ``f`` within the radius to connect all that are linked.
 
@@ -143,10 +149,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = COMPARED_AT_ONCE)
         found.append(large.where(few & (F.col("f") != F.col("least"))).select(F.least("f", "least").alias("a"), F.greatest("f", "least").alias("b")))
         # number the differing bits, deal them to radius + 1 blocks; a key is what a block holds
         bits = F.filter(F.array(*(F.lit(_signed(1 << i)) for i in range(64))), lambda x: F.col("differ").bitwiseAND(x) != 0)
-        blocks = [
-            F.aggregate(F.filter(bits, lambda x, i, j=j: i % (radius + 1) == j), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
-            for j in range(radius + 1)
-        ]
+        blocks = [_block(bits, j, radius + 1) for j in range(radius + 1)]
         cut = large.where(~few).select("k", "f", F.array(*blocks).alias("blocks"))
         cut = cut.select("k", "f", F.posexplode("blocks").alias("j", "m"))
         keyed = cut.select("f", F.xxhash64("k", "j", F.col("f").bitwiseAND(F.col("m"))).alias("k"))
@@ -192,10 +195,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     """``docs`` with one row of each component: that of its smallest id. Rows without an id stay."""
     grouped = groups(docs, doc_id, text, radius)
     keep = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    ident = column(docs, doc_id)
-    first = Window.partitionBy("kept_id").orderBy(F.xxhash64(column(docs, text)))
-    kept = docs.join(keep, ident == F.col("kept_id")).withColumn("kept_rank", F.row_number().over(first)).where("kept_rank = 1")
-    return kept.drop("kept_id", "kept_rank").unionByName(docs.where(ident.isNull()))
+    rows, row = packed(docs), F.col("row")
+    first = Window.partitionBy("kept_id").orderBy(F.xxhash64(row.getField(text)))
+    kept = rows.join(keep, row.getField(doc_id) == F.col("kept_id")).select("row", F.row_number().over(first).alias("n")).where("n = 1")
+    return unpacked(kept.select("row").unionByName(rows.where(row.getField(doc_id).isNull())), docs.columns)
 
 
 def as_hex(f: Column) -> Column:

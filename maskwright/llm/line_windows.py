@@ -7,7 +7,8 @@ so a long repeated passage is removed from its first to its last line.
 Defined results: lines are separated by a line feed; a text of fewer than three lines, an empty or a
 null text has no window and stays as it is. Windows of which no line has a word never count, so blank
 stretches stay. Rows with equal order values (null first) are ordered by the hash of their text; rows
-equal in both are one document here and are cut alike. Other columns are kept as they are.
+equal in both are one document here and are cut alike. Other columns are kept as they are, but for one
+of the name of the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import column, computed_once
+from maskwright.llm.common import column, computed_once, packed, unpacked
 
 # Fixed value: lines in a window.
 LINES = 3
@@ -62,23 +63,23 @@ def remove_repeats(docs: DataFrame, order: str = "doc_id", text: str = "text", i
     """``docs`` and a struct column ``into``: n_lines, n_removed, and the text that is left."""
     covered = later_windows(docs, order, text).groupBy("o", "h").agg(F.array_sort(F.collect_set("at")).alias("at"))
     covered = covered.select(F.struct("o", "h").alias("cut_key"), F.col("at").alias("cut_at"))
-    t = column(docs, text)
-    named = docs.select("*", F.struct(column(docs, order).alias("o"), F.xxhash64(t).alias("h"), t.alias("t")).alias(into))
-    same = (F.col(into)["h"] == F.col("cut_key")["h"]) & F.col(into)["o"].eqNullSafe(F.col("cut_key")["o"])
+    t, row = F.col("text_"), F.col("row")
+    named = packed(docs).select("row", row.getField(order).alias("o"), F.xxhash64(row.getField(text)).alias("h"), row.getField(text).alias("text_"))
+    same = (F.col("h") == F.col("cut_key")["h"]) & F.col("o").eqNullSafe(F.col("cut_key")["o"])
     joined = named.join(covered, same, "left")
     at, lines = F.col("cut_at"), F.col("cut_lines")
-    cut = computed_once(joined, "cut_lines", F.split(F.col(into)["t"], "\n", -1))
+    cut = computed_once(joined, "cut_lines", F.split(t, "\n", -1))
     # between the starts of two windows, the lines behind the first window stay
     behind = F.transform(
         at, lambda p, i: F.slice(lines, p + LINES + 1, F.greatest(F.coalesce(F.get(at, i + 1), F.size(lines)) - p - LINES, F.lit(0)))
     )
     kept = F.flatten(F.concat(F.array(F.slice(lines, F.lit(1), F.get(at, F.lit(0)))), behind))
     out = computed_once(cut, "cut_kept", F.when(at.isNull(), lines).otherwise(kept))
-    n_lines = F.when(F.col(into)["t"].isNull(), 0).otherwise(F.size(lines))
-    left = F.when(at.isNull(), F.col(into)["t"]).otherwise(F.array_join("cut_kept", "\n"))
+    n_lines = F.when(t.isNull(), 0).otherwise(F.size(lines))
+    left = F.when(at.isNull(), t).otherwise(F.array_join("cut_kept", "\n"))
     result = F.struct(
         n_lines.cast("long").alias("n_lines"),
         F.when(at.isNull(), 0).otherwise(F.size(lines) - F.size("cut_kept")).cast("long").alias("n_removed"),
         left.alias("text"),
     )
-    return out.withColumn(into, result).drop("cut_key", "cut_at", "cut_lines", "cut_kept")
+    return unpacked(out, docs.columns, **{into: result})

@@ -1,0 +1,361 @@
+"""Quality rules, line windows, SimHash groups, mixing, secrets, surrogates and BPE against brute force."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import groupby
+
+import numpy as np
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from maskwright.llm import bpe, fingerprints, line_windows, mixing, ownership, rules, surrogates
+from maskwright.llm.common import WORD
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string"
+
+
+def table(spark, texts, sources=None):
+    """Documents with columns whose names operators use themselves."""
+    rows = [(i, t, "en", (sources or ["s"] * len(texts))[i], 0 if t is None else len(t), "clash", "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def odd_texts(seed=3, n=60):
+    rng = random.Random(seed)
+    bits = ["a", "bb", "Ccc", "é", " ", " ", "\n", "\t", "\x0b", " ", " ", "#", "*", "|", "!", "7", "中", "🙂", "\x1c", "\r\n"]
+    out = [None, "", " ", "\n\n\n\n", "a", "x " * 30_000, "same line\n" * 3000]
+    for _ in range(n):
+        out.append("".join(rng.choice(bits) for _ in range(rng.randint(0, 200))))
+    return out + out[-5:]
+
+
+def words(text):
+    return re.findall(WORD, text or "")
+
+
+# --- quality rules ------------------------------------------------------------------------
+
+
+def test_counts_match_brute_force(spark):
+    texts = odd_texts()
+    got = {r.doc_id: r.quality_rules for r in rules.judge(table(spark, texts), []).collect()}
+    for i, t in enumerate(texts):
+        w, t = words(t), t or ""
+        windows = list(zip(w, w[1:], w[2:]))
+        times = Counter(windows)
+        inside = {j + k for j, x in enumerate(windows) if times[x] > 1 for k in range(3)}
+        seen, doubled = set(), 0
+        for line in t.split("\n"):
+            doubled += line in seen and bool(words(line))
+            seen.add(line)
+        s = got[i]
+        assert (s.n_words, s.word_chars, s.n_symbols) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"))
+        assert (s.n_dup_lines, s.n_repeat_words) == (doubled, len(inside))
+        assert s.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and s.kept == (not s.base_failed)
+
+
+def test_learned_list_finds_the_rules(spark):
+    rng = random.Random(1)
+    texts, quality = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        w = [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 10**6)) for _ in range(80)]
+        texts.append(" ".join(x + ("***" if bad and i % 2 else "") for x in w) if i % 2 or not bad else " ".join(w).upper())
+        quality.append(int(not bad))
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality)] + [(None, 0, 0), (5, None, 0), (10**9, 0, 1)], "doc_id long, quality int, toxic int")
+    learned = rules.fit(docs, labels)
+    assert 1 <= len(learned) <= 3
+    kept = {r.doc_id: r.quality_rules.kept for r in rules.judge(docs, learned).collect()}
+    assert all(kept[i] == bool(q) for i, q in enumerate(quality))
+    assert rules.fit(docs, labels.where("false")) == [] and rules.fit(docs.where("false"), labels) == []
+    assert rules.judge(docs.where("false"), learned).count() == 0
+
+
+# --- line windows -------------------------------------------------------------------------
+
+
+def brute_lines(texts):
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        lines = [] if t is None else t.split("\n")
+        gone = set()
+        for j in range(len(lines) - 2):
+            key = tuple(lines[j : j + 3])
+            if not any(words(x) for x in key):
+                continue
+            if seen.setdefault(key, (i, j)) != (i, j):
+                gone |= {j, j + 1, j + 2}
+        out.append((len(lines), len(gone), t if not gone else "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+    return out
+
+
+def test_line_windows_match_brute_force(spark):
+    rng = random.Random(2)
+    texts = odd_texts() + ["\n".join(rng.choice("abcd ") for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    docs = table(spark, texts)
+    got = line_windows.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [(r.line_windows.n_lines, r.line_windows.n_removed, r.line_windows.text) for r in got] == brute_lines(texts)
+    assert got[0].row == "clash" and len(got[0]) == 8
+    assert line_windows.remove_repeats(docs.where("false")).count() == 0
+
+
+def test_line_windows_null_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc\nd"), (2, "x\ny\nz"), (2, "x\ny\nz")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.line_windows.text) for r in line_windows.remove_repeats(docs).collect())
+    assert got == [("1", "d"), ("2", "x\ny\nz"), ("2", "x\ny\nz"), ("None", "a\nb\nc")]
+
+
+# --- SimHash ------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    parts = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(values, radius=3):
+    parent = list(range(len(values)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(values):
+        for j in range(i):
+            if bin(x ^ values[j]).count("1") <= radius:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(values))]
+
+
+def test_every_pair_within_the_radius_collides():
+    rng = random.Random(4)
+    for radius in (1, 2, 3):
+        tables = fingerprints.masks(radius)
+        assert len(tables) == 2 ** (radius + 1) - 1
+        for _ in range(2000):
+            diff = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(diff & m == 0 for m in tables)
+
+
+def test_groups_match_brute_force(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(300)]
+    texts = odd_texts(n=20)
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 12)):
+            copy[rng.randrange(300)] = f"n{rng.randint(0, 99)}"
+        texts.append(" ".join(copy))
+    docs = table(spark, texts)
+    got = fingerprints.groups(docs).orderBy("doc_id").select("doc_id", fingerprints.as_hex(F.col("f")).alias("f"), "component_id").collect()
+    values = [brute_fingerprint(t) for t in texts]
+    assert [r.f for r in got] == [f"{v:016x}" for v in values]
+    assert [r.component_id for r in got] == brute_components(values)
+    kept = fingerprints.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(values))) and kept.columns == docs.columns
+    assert fingerprints.groups(docs.where("false")).count() == 0 and fingerprints.keep_one(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [2, 8, 512])
+def test_large_buckets_lose_no_link(spark, most):
+    """A dense ball, a chain and noise; small limits force buckets to be cut again and again."""
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    values = {centre ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20)) for _ in range(150)} | {0}
+    x = rng.getrandbits(64)
+    for _ in range(40):
+        x ^= sum(1 << b for b in rng.sample(range(64), 3))
+        values.add(x)
+    values |= {rng.getrandbits(64) for _ in range(100)}
+    values = sorted(values)
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(v,) for v in signed], "f long")
+    links = fingerprints.links(nodes, most=most).collect()
+    index = {v: i for i, v in enumerate(signed)}
+    assert all(bin(values[index[r.a]] ^ values[index[r.b]]).count("1") <= 3 for r in links)
+    roots = {r.node: r.root for r in fingerprints.components(fingerprints.links(nodes, most=most)).collect()}
+    mine, theirs = defaultdict(set), defaultdict(set)
+    for v, c in zip(signed, brute_components(values)):
+        mine[roots.get(v, v)].add(v)
+        theirs[c].add(v)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+# --- mixing -------------------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total, target = sum(sizes.values()), {}
+    open_ = set(names)
+    while open_:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 3 * sizes[s]}
+        if not over:
+            return target | share
+        target |= {s: 3.0 * sizes[s] for s in over}
+        open_ -= over
+    return target
+
+
+def test_mixing_reaches_targets(spark):
+    rng = random.Random(8)
+    texts, sources = [], []
+    for i in range(900):
+        texts.append(None if i % 97 == 0 else " ".join("w" + "#" * rng.randint(0, 2) for _ in range(rng.randint(0, 40))))
+        sources.append(rng.choice(["hot"] * 6 + ["a", "b", "Zé", "é", None, "tiny"] if i > 20 else ["tiny"]))
+    docs = table(spark, texts, sources)
+    got = {r.doc_id: r for r in mixing.allot(docs).collect()}
+    assert got == {r.doc_id: r for r in mixing.allot(docs.repartition(7)).collect()}
+    sizes = Counter()
+    for t, s in zip(texts, sources):
+        sizes[s] += len(words(t))
+    targets, taken = brute_targets(dict(sizes)), Counter()
+    for i, s in enumerate(sources):
+        r = got[i]
+        assert (r.size, r.source_size) == (len(words(texts[i])), sizes[s]) and r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        assert math.isclose(r.target, targets[s])
+        taken[s] += r.taken
+    assert all(abs(taken[s] - targets[s]) <= 20 for s in sizes)  # half of the longest document
+    again = mixing.mix(docs)
+    assert Counter(r.doc_id for r in again.collect()) == Counter({i: r.copies for i, r in got.items() if r.copies})
+    assert again.columns == docs.columns and mixing.allot(docs.where("false")).count() == 0 and mixing.mix(docs.where("false")).count() == 0
+
+
+def test_fractional_epoch_follows_the_keys(spark):
+    docs = table(spark, ["one two three four"] * 300 + ["x y z w"] * 100, ["a"] * 300 + ["b"] * 100)
+    ranks = {r.doc_id: r.key for r in docs.select("doc_id", mixing.key(F.col("doc_id"), F.col("text"), "mix").alias("key")).collect()}
+    got = [r for r in mixing.allot(docs).collect() if r.doc_id < 300]
+    in_order = [r.copies for r in sorted(got, key=lambda r: ranks[r.doc_id])]
+    assert in_order == sorted(in_order, reverse=True) and len(set(in_order)) == 2
+
+
+# --- secrets ------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "", re.I | re.A):
+        if len(m[2]) >= 6 and m[1].isascii():
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets_match_brute_force(spark):
+    live, copied = "aB3dEf6hIj9kLm2nOp5q", "Zz9" + "xY8" * 8
+    texts = odd_texts(n=5) + [
+        f"é password = '{live}' AKIA{'Q7' * 8} {'0a' * 12} x",
+        f"PassWord:abc token: token=abcdefgh {copied}",
+        f"api_key: {copied} apiKey=\"{copied}\"",
+        "AKIA" + "A" * 15 + " AKIAAKIA" + "B" * 12,
+        f"{live[::-1]} and {'f' * 23} {'f' * 24}",
+        "token = " + "0123456789abcdef" * 3,
+        "password: token: abcdef",
+        ("secret=abcdef99 " * 500),
+    ]
+    sources = [f"s{i % 5}" for i in range(len(texts))]
+    got = {r.doc_id: r for r in ownership.report(ownership.scan(table(spark, texts, sources))).collect()}
+    show = lambda s: ",".join(f"{ownership.KINDS[k]}:{a}:{b}" for a, k, b in s)
+    for i, t in enumerate(texts):
+        want = brute_spans(t)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
+        assert got[i].base_sha256 == hashlib.sha256(show(want).encode()).hexdigest()
+        assert set(show(want).split(",")) <= set(got[i].spans.split(","))
+    n = len(odd_texts(n=5))
+    assert "owned" in got[n].spans and "owned" in got[n + 4].spans  # held by one owner only
+    assert "owned" not in got[n + 1].spans and got[n + 2].n_copied == 2  # two owners hold the same value
+    assert ownership.scan(table(spark, texts).where("false")).count() == 0
+
+
+# --- surrogates ---------------------------------------------------------------------------
+
+
+def test_surrogates_keep_format_and_coreference(spark):
+    texts = [
+        "Mr. John Smith met Anna Smith; mail john.smith@corp.mail.org or JOHN.smith@corp.mail.org. Herr Müller.",
+        "card 4337166598464399 and 4337 1665 9846 4399, ip 55.63.178.142, tel +1 (988) 555-2485, DE89 3704 0044 0532 0130 00, ssn 123-45-6789.",
+        "г-н Иван Петров, Mr Smith, κ. Ελένη Παππά",
+        None,
+        "",
+        "No thing here. The Cat sat in 1999, v1.2.3",
+    ]
+    docs = table(spark, texts)
+    rows = surrogates.replace(docs, "k").orderBy("doc_id").collect()
+    out = [r.surrogates.text for r in rows]
+    for secret in ("John", "Smith", "Anna", "corp.mail", "Müller", "43371665", "4337 1665", "55.63.178.142", "555-2485", "3704 0044", "123-45", "Иван", "Петров", "Παππά"):
+        assert not any(secret in (t or "") for t in out)
+    assert out[3:] == texts[3:] and rows[0].kept == "clash" and rows[0].row == "clash"
+    name = re.match(r"Mr\. (\w+) (\w+) met (\w+) (\w+); mail (\S+) or (\S+)\. Herr (\w+)\.", out[0])
+    assert name[1] in surrogates.GIVEN["latin", "m"] and name[3] in surrogates.GIVEN["latin", "f"] and name[2] == name[4]
+    assert name[5] == name[6] and name[5].endswith(".example.com") and f"Mr {name[2]}" in out[2]
+    card = re.search(r"card (\d{16}) and (\d{4} \d{4} \d{4} \d{4}), ip (10\.\d+\.\d+\.\d+), tel (\+1 \(\d{3}\) \d{3}-\d{4}), DE(\d\d) (\d{4} \d{4} \d{4} \d{4} \d\d), ssn 9\d\d-\d\d-\d{4}", out[1])
+    assert card[1] == card[2].replace(" ", "")
+    digits = [int(c) for c in card[1]][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    assert int(card[6].replace(" ", "") + "1314" + card[5]) % 97 == 1
+    assert re.search("[а-я]", out[2].split(",")[0].split()[1]) and re.search("[α-ω]", out[2].split()[-1])
+    other = surrogates.replace(docs, "another key").orderBy("doc_id").collect()
+    assert other[0].surrogates.text != out[0] and surrogates.replace(docs.where("false"), "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """More hosts than one block of addresses, and all names of a lexicon, get different surrogates."""
+    hosts = [("host", f"192.168.{i // 250}.{i % 250}") for i in range(1500)]
+    names = [("given-latin-f", n) for n in surrogates.GIVEN["latin", "f"].split()]
+    got = surrogates.assign(spark.createDataFrame(hosts + names, "kind string, norm string"), "k").collect()
+    assert len(got) == len(hosts) + len(names) == len({(r.kind, r.surrogate) for r in got})
+    assert not {r.norm for r in got if r.kind == "host"} & {r.surrogate for r in got} and all(r.norm != r.surrogate for r in got)
+
+
+# --- BPE ----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe.RANKS)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+
+def test_bpe_matches_the_public_encoder(spark, reference_encoding):
+    rng = random.Random(11)
+    letters = list("aabbcc'''  \n\n\tsstdmlverED019é,.!ß中文字  　\x85\x1c\x1d​½²٣🙂")
+    texts = odd_texts() + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["don't we'll they'really I'm 's 'tis o'd''s a'S", "a" * 5000, "ab" * 3000, "ACGT" * 500, "<|endoftext|> x"]
+    got = bpe.encode(table(spark, texts)).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        want = reference_encoding.encode_ordinary(t or "")
+        assert r.ids == want and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encode(table(spark, texts).where("false"), with_ids=False).count() == 0
+
+
+def test_both_replays_agree(reference_encoding):
+    import public_tokenizers
+
+    merger = bpe.Merger(bpe.read_ranks(public_tokenizers.path(bpe.RANKS)))
+    rng = random.Random(12)
+    many = ["".join(rng.choice("aabeinrst") for _ in range(rng.randint(1, 40))).encode() for _ in range(3000)] + [b"aaaa", b"abababab"]
+    assert merger.replay(many) == merger.replay_side_by_side(many)
+
+
+def test_fingerprint_bits_by_groups():
+    assert [k for k, _ in groupby(sorted(brute_components([0, 1, 3, 7, 0xFF00])))] == [0, 4]
