@@ -204,10 +204,18 @@ def _once(expr: str) -> str:
 
 
 def with_raw_and_matches(
-    df: DataFrame, text: str = "text", types: Sequence[str] | None = None, pack: str = "server", gated: bool = True
+    df: DataFrame,
+    text: str = "text",
+    types: Sequence[str] | None = None,
+    pack: str = "server",
+    gated: bool = True,
+    switches: str | None = None,
 ) -> DataFrame:
     """``df`` plus ``raw`` (all valid spans) and ``matches`` (overlaps resolved).
 
+    ``switches`` names a map column from type to boolean: a type that a row's map sets to false is off
+    in that row, before overlaps are resolved; a missing key, value or map leaves it on.
+
     Gates are a projection of their own; raw spans and resolved matches come out of one-element
     generators, so neither later columns nor pushed-down filters can evaluate them again.
     """
@@ -226,21 +234,26 @@ def with_raw_and_matches(
         .selectExpr("*", "lower(_txt) AS _low", f"{contexts} AS _ctx")
         .selectExpr("*", *[f"{c.format(**names)} AS _f_{f}" for f, c in _FLAGS.items()])
         .selectExpr("*", f"struct({flags}) AS _gates")
-        .selectExpr("*", f"{_once(raw)} AS raw")
+        .selectExpr("*", f"{_once(raw if switches is None else switched_sql(raw, switches))} AS raw")
         .selectExpr("*", f"{_once(resolve_sql('raw'))} AS matches")
     )
     return staged.select(*df.columns, "raw", "matches")
 
 
+def switched_sql(spans: str, switches: str) -> str:
+    return f"filter({spans}, m -> coalesce(try_element_at({switches}, m.type), true))"
+
+
 def with_matches(
     df: DataFrame,
     text: str = "text",
     types: Sequence[str] | None = None,
     pack: str = "server",
     terms: str | None = None,
+    switches: str | None = None,
 ) -> DataFrame:
     """Staged form of :func:`detect` for corpora: ``df`` plus ``matches``."""
-    staged = with_raw_and_matches(df, text, types, pack).drop("raw")
+    staged = with_raw_and_matches(df, text, types, pack, switches=switches).drop("raw")
     if terms is None:
         return staged
     merged = merge_sql("matches", terms_sql(text, terms))

@@ -129,7 +129,10 @@ def report(
     totals = o.join(R.report_totals(users, events, start, end), "org_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     trained = F.concat(F.lit("Total,"), n("members"), F.lit(" members,"), n("trained"), F.lit(" trained ("), n("pct_trained"), F.lit("%)"))
-    parts.append(_lines(totals, 1, 4, trained))
+    counts = [(2, 4, "Total events in period", "events"), (2, 5, "Blocks", "blocks"), (2, 6, "Blocks reviewed", "blocks_reviewed")]
+    line = lambda section, part, text: F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"), text.alias("line"))
+    four = F.array(line(1, 4, trained), *(line(s, p, _csv(F.lit(label), n(col))) for s, p, label, col in counts))
+    parts.append(totals.select("org_id", F.inline(four)).select("org_id", "section", "part", *(none.alias(k) for k in SORT), "line"))
 
     inside = R.with_user_email(events.filter(F.col("timestamp").between(L.at(start), L.at(end))), users)
     shown = F.coalesce(F.array_join(F.from_json("data_types", "array<string>"), "; "), F.col("data_types"))
@@ -145,8 +148,6 @@ def report(
     )
     newest_first = F.lpad((F.lit(10**17) - F.unix_micros(F.col("timestamp").cast("timestamp"))).cast("string"), 18, "0")
     parts.append(_lines(inside, 2, 3, row, newest_first, F.lpad(F.col("id").cast("string"), 20, "0")))
-    for part, label, col in [(4, "Total events in period", "events"), (5, "Blocks", "blocks"), (6, "Blocks reviewed", "blocks_reviewed")]:
-        parts.append(_lines(totals, 2, part, _csv(F.lit(label), n(col))))
 
     inv = R.report_inventory(visits, tools, start, end)
     row = _csv(

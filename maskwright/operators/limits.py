@@ -147,12 +147,13 @@ def window_starts(requests: DataFrame, window: int = WINDOW_SECONDS, slot: int =
     if slot < window:
         raise ValueError("a slot must not be shorter than the window")
     d = requests.withColumn("slot", F.floor(F.col("at") / slot))
+    key = f"client {requests.schema['client'].dataType.simpleString()}"
     by_slot = d.select("client", "slot", "at").distinct().repartition("client", "slot").sortWithinPartitions("client", "slot", "at")
-    steps = by_slot.mapInPandas(_slot_steps(window, slot), "client long, slot long, until long, exit long")
+    steps = by_slot.mapInPandas(_slot_steps(window, slot), f"{key}, slot long, until long, exit long")
     in_order = steps.repartition("client").sortWithinPartitions("client", "slot", "until")
-    entries = in_order.mapInPandas(_carry(window), "client long, slot long, entry long")
+    entries = in_order.mapInPandas(_carry(window), f"{key}, slot long, entry long")
     placed = d.join(entries, ["client", "slot"]).repartition("client", "slot").sortWithinPartitions("client", "slot", "at", "id")
-    return placed.mapInPandas(_mark(window), "client long, id long, at long, weight long, window_start long")
+    return placed.mapInPandas(_mark(window), f"{key}, id long, at long, weight long, window_start long")
 
 
 def keyed_quota(calls: DataFrame, keys: DataFrame, reset: bool = True) -> DataFrame:
@@ -171,7 +172,7 @@ def rate_limit(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WIN
     dense window is not sorted in one task.
     """
     weight = F.col("weight") if "weight" in requests.columns else F.lit(1)
-    base = requests.select(*[F.col(c).cast("long").alias(c) for c in ("client", "id", "at")], weight.cast("long").alias("weight"))
+    base = requests.select("client", *[F.col(c).cast("long").alias(c) for c in ("id", "at")], weight.cast("long").alias("weight"))
     started = window_starts(base, window, slot)
     sub = F.floor((F.col("at") - F.col("window_start")) * 16 / window)
     counted = running_sums(started, ["client", "window_start"], ["at", "id"], sub, {"n": F.col("weight")})

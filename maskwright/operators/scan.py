@@ -20,14 +20,16 @@ def scan(
     rules: str | None = None,
     mode: str = "tag",
     redact: bool = True,
+    switches: str | None = None,
 ) -> DataFrame:
     """``df`` plus matches, detected_types, action, clean and (unless off) redacted.
 
-    ``terms`` and ``rules`` name columns, so every row may carry its tenant's own policy. Matches
+    ``terms``, ``rules`` and ``switches`` (types on or off) name columns, so every row may carry its
+    tenant's own policy. Matches
     are built-in spans merged with term spans; because merged spans may overlap, the redaction
     uses their resolved union. One stage, no shuffle.
     """
-    out = spans.with_matches(df, text, types, pack, terms)
+    out = spans.with_matches(df, text, types, pack, terms, switches)
     out = out.withColumn("detected_types", spans.types_of(F.col("matches")))
     verdict = policy.action_of(F.col("detected_types"), F.col(rules) if rules else None)
     out = out.withColumn("action", verdict).withColumn("clean", F.size("matches") == 0)
@@ -40,6 +42,42 @@ def scan(
     return out
 
 
+def scan_project(
+    calls: DataFrame, keys: DataFrame, projects: DataFrame, request_rules: dict[str, str], request_terms: Sequence[str], at: str
+) -> DataFrame:
+    """Log rows of calls ``(key_id, text, …)`` under their projects' policy; no text in the result.
+
+    A call whose key is unknown, revoked or without a project, or whose text is over-size, comes out
+    with an error code instead of a decision. The project's rules go over the defaults and the request's
+    over both; terms of project and request are looked for.
+    """
+    live = keys.filter("revoked_at IS NULL").select(F.col("id").alias("key_id"), "project_id")
+    known = projects.select(
+        F.col("id").alias("project_id"),
+        "org_id",
+        F.from_json("rules", "map<string,string>").alias("own_rules"),
+        F.from_json("custom_terms", "array<string>").alias("own_terms"),
+    )
+    called = calls.join(live.join(known, "project_id"), "key_id", "left")
+    error = F.when(F.col("project_id").isNull(), "INVALID_API_KEY").otherwise(texts.size_error(F.col("text")))
+    called = called.withColumn("error_code", error)
+    asked = F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(v)) for k, v in request_rules.items())))
+    rules = policy.effective_rules(F.col("own_rules"), asked)
+    terms = policy.effective_terms(F.col("own_terms"), F.array(*map(F.lit, request_terms)))
+    good = called.filter("error_code IS NULL").withColumn("rules", rules).withColumn("terms", terms)
+    done = scan(good, terms="terms", rules="rules", redact=False)
+    n_chars = F.length(F.coalesce("text", F.lit("")))
+    logged = done.select(
+        *(c for c in called.columns if c not in ("text", "own_rules", "own_terms")),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.to_json("detected_types").alias("detected_types"),
+        "action",
+        F.ceil(n_chars / F.lit(4)).alias("prompt_tokens"),
+        F.lit(at).cast("timestamp_ntz").alias("timestamp"),
+    )
+    return logged.unionByName(called.filter("error_code IS NOT NULL").drop("text", "own_rules", "own_terms"), allowMissingColumns=True)
+
+
 def redact_report(scanned: DataFrame, text: str = "text") -> DataFrame:
     return scanned.withColumn("original_length", F.length(F.coalesce(text, F.lit(""))).cast("long")).withColumn(
         "redacted_count", F.size("matches").cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskwright.functions import policy, spans
@@ -10,7 +12,8 @@ from maskwright.operators import scan as S
 from maskwright.plans import detect_sql as D
 from maskwright.plans.registry import query
 from maskwright.sources import sinks
-from maskwright.sources.files import spread
+from maskwright.session import checkpoint_root
+from maskwright.sources.files import read_files, spread
 from maskwright.sources.golden import seeded
 from maskwright.sources.views import AS_OF
 
@@ -66,6 +69,22 @@ def merge_custom(t):
     )
 
 
+_SWITCHES = "CASE doc_id % 3 WHEN 0 THEN map('EMAIL', true, 'PHONE', false) WHEN 1 THEN NULL ELSE map('IBAN', false, 'EMAIL', false) END"
+_SWITCHED = {
+    **_SP,
+    "lit": "SELECT * FROM sp WHERE NOT ((doc_id % 3 = 0 AND type = 'PHONE') OR (doc_id % 3 = 2 AND type IN ('IBAN', 'EMAIL')))",
+    **D.fold("kept", "lit", "doc_id"),
+}
+
+
+@query("det_switched", "SELECT doc_id, type, s AS start_at, e AS end_at, v AS value FROM kept", _SWITCHED)
+def det_switched(t):
+    """Types switched on and off by each row's own map, before overlaps are resolved."""
+    docs = _docs(t).withColumn("switches", F.expr(_SWITCHES))
+    m = spans.explode_matches(spans.with_matches(docs, switches="switches"), ["doc_id"])
+    return m.selectExpr("doc_id", "type", "CAST(start AS BIGINT) AS start_at", "CAST(end AS BIGINT) AS end_at", "value")
+
+
 @query("action_of", f"SELECT doc_id, types, {_ACT} AS action FROM pd", _DOC)
 def action_of(t):
     df = spans.with_matches(_docs(t)).withColumn("types", spans.types_of(F.col("matches")))
@@ -344,6 +363,57 @@ def j_org_rules(t):
     return df.select("doc_id", "org_id", F.size("matches").cast("long").alias("n_matches"), "action")
 
 
+# requests carry keys 0..299; some are unknown or revoked, and some keys' projects are missing
+_KEY = "c.doc_id % 300"
+_PROJ = D.raw_cte(D.SEEDED, "doc_id")
+_PROJ.update(D.fold("kept", "sp", "doc_id"))
+_PROJ["called"] = (
+    f"SELECT c.doc_id, c.text, {_KEY} AS key_id, j.id AS project_id, j.org_id, j.rules, list_concat(coalesce(from_json(j.custom_terms, '[\"VARCHAR\"]'), []), ['widget']) AS all_terms, "
+    "CASE WHEN j.id IS NULL THEN 'INVALID_API_KEY' WHEN length(c.text) > 500000 THEN 'TEXT_TOO_LARGE' END AS error_code "
+    f"FROM corpus c LEFT JOIN api_keys k ON k.id = {_KEY} AND k.revoked_at IS NULL LEFT JOIN dev_projects j ON j.id = k.project_id"
+)
+_PROJ["good"] = "SELECT * FROM called WHERE error_code IS NULL"
+_PROJ.update(D.term_cte("doc_id", "all_terms", "good"))
+_PROJ["mg"] = "SELECT doc_id, s, ord, type FROM kept UNION ALL SELECT doc_id, s, ord, type FROM cu"
+_PROJ["tt"] = (
+    "SELECT g.doc_id, m.type, coalesce(CASE m.type WHEN 'PHONE' THEN 'ALLOW' WHEN 'EMAIL' THEN 'WARN' END, json_extract_string(g.rules, '$.' || m.type), d.action) AS action, count(*) AS n, min(m.s * 100000 + m.ord) AS o "
+    "FROM good g JOIN mg m USING (doc_id) JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DEFAULT_RULES.items()) + ") d(type, action) ON d.type = m.type GROUP BY ALL"
+)
+
+
+@query(
+    "scan_project",
+    f"""SELECT c.doc_id, c.key_id, c.project_id, c.org_id, c.error_code, CAST(CASE WHEN c.error_code IS NULL THEN coalesce(sum(n), 0) END AS BIGINT) AS n_matches,
+         CASE WHEN c.error_code IS NULL THEN '[' || coalesce(string_agg('"' || type || '"', ',' ORDER BY o), '') || ']' END AS detected_types,
+         CASE WHEN c.error_code IS NOT NULL THEN NULL WHEN count(*) FILTER (WHERE action = 'BLOCK') > 0 THEN 'BLOCK' WHEN count(*) FILTER (WHERE action = 'WARN') > 0 THEN 'WARN' ELSE 'ALLOW' END AS action,
+         CASE WHEN c.error_code IS NULL THEN CAST(ceil(length(any_value(c.text)) / 4) AS BIGINT) END AS prompt_tokens, CASE WHEN c.error_code IS NULL THEN TIMESTAMP '{AS_OF}' END AS timestamp
+       FROM called c LEFT JOIN tt ON tt.doc_id = c.doc_id GROUP BY c.doc_id, c.key_id, c.project_id, c.org_id, c.error_code""",
+    _PROJ,
+)
+def scan_project(t):
+    """Each request under its key's project: merged rules and terms decide, and one log row comes out.
+
+    The project's rules go over the defaults, and the request's over both.
+    """
+    calls = _docs(t).withColumn("key_id", F.col("doc_id") % 300)
+    out = S.scan_project(calls, t.api_keys, t.dev_projects, {"PHONE": "ALLOW", "EMAIL": "WARN"}, ["widget"], AS_OF)
+    return out.select("doc_id", "key_id", "project_id", "org_id", "error_code", "n_matches", "detected_types", "action", "prompt_tokens", "timestamp")
+
+
+@query(
+    "dir_scan",
+    f"SELECT doc_id, n_chars + 1 AS char_count, types AS detected_types, {_ACT} AS action, CAST(n AS BIGINT) AS match_count FROM pd",
+    _DOC,
+)
+def dir_scan(t):
+    """A folder of text files, one a document, read back, scanned and reported file by file."""
+    root = f"{checkpoint_root(t.spark)}/dir-scan-{uuid.uuid4().hex}"
+    _docs(t).withColumnRenamed("text", "value").repartition("doc_id").write.partitionBy("doc_id").text(root)
+    found = S.file_scan_report(S.scan(spread(read_files(t.spark, root)), redact=False))
+    doc_id = F.regexp_extract("path", r"doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
+    return found.select(doc_id, "char_count", F.array_join("detected_types", ",").alias("detected_types"), "action", "match_count")
+
+
 @query(
     "sink_metadata_log",
     f"""SELECT doc_id, 'direct' AS provider, CAST(NULL AS VARCHAR) AS model, '[' || CASE WHEN types = '' THEN '' ELSE '"' || replace(types, ',', '","') || '"' END || ']' AS detected_types,

@@ -76,19 +76,29 @@ def rate_limit(requests: DataFrame, out: str, limit: int = limits.MAX_REQUESTS,
 
     State is one open window per client. It enters the next batch as one weighted request at the
     window's start, so the batch operator continues the chain as if it had seen everything; hot
-    clients are spread over time slots exactly as in batch.
+    clients are spread over time slots exactly as in batch. A request that comes late, from before its
+    client's open window, counts in that window at its start: decisions already given stay. Windows
+    that had ended when the newest request came are dropped from the state, since the next request of
+    their client opens a new one anyway.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = _previous(spark, out, batch_id, "client long, start long, used long")
+        key = batch.schema["client"].dataType.simpleString()
+        state = _previous(spark, out, batch_id, f"client {key}, start long, used long, newest long")
         carried = state.select("client", F.lit(None).cast("long").alias("id"), F.col("start").alias("at"), F.col("used").alias("weight"))
-        now = batch.select(F.col("client").cast("long"), F.col("id").cast("long"), F.col("at").cast("long"), F.lit(1).cast("long").alias("weight"))
+        asked = batch.join(state.select("client", "start"), "client", "left")
+        at = F.greatest(F.col("at").cast("long"), F.coalesce("start", F.col("at").cast("long")))
+        now = asked.select("client", F.col("id").cast("long"), at.alias("at"), F.lit(1).cast("long").alias("weight"))
         done = limits.rate_limit(now.unionByName(carried), limit, window, slot)
         path = rt.save(done, out, "decisions", batch_id)
         stored = spark.read.parquet(path)
         last = stored.groupBy("client").agg(F.max(F.struct("window_start", "n")).alias("m"))
-        rt.save(last.select("client", F.col("m.window_start").alias("start"), F.col("m.n").alias("used")), out, "state", batch_id)
+        seen = stored.agg(F.max("at").alias("a")).first()["a"]
+        before = state.agg(F.max("newest").alias("a")).first()["a"]
+        newest = max(x for x in (seen, before, 0) if x is not None)
+        open_ = last.select("client", F.col("m.window_start").alias("start"), F.col("m.n").alias("used"), F.lit(newest).cast("long").alias("newest"))
+        rt.save(open_.filter(F.col("start") + window > newest), out, "state", batch_id)
 
     rt.run(requests, out, write)
 
@@ -171,7 +181,7 @@ def alerts(log: DataFrame, projects: DataFrame, out: str) -> None:
 
 
 class ConfigCache:
-    """Rows of the last known configuration, held by Spark; read again once they are older than ``ttl``."""
+    """A copy of the last known configuration in the shared folder; taken anew once it is older than ``ttl``."""
 
     def __init__(self, load: Callable[[], DataFrame], ttl: float = CONFIG_TTL_SECONDS, clock: Callable[[], float] = time.monotonic):
         self._load, self._ttl, self._clock = load, ttl, clock
@@ -181,11 +191,10 @@ class ConfigCache:
     def get(self) -> DataFrame:
         now = self._clock()
         if self._config is None or now - self._at > self._ttl:
-            old = self._config
-            self._config, self._at = self._load().persist(), now
-            self._config.count()  # read now: a table that is replaced later does not change what is held
-            if old is not None:
-                old.unpersist()
+            table = self._load()
+            copy = rt.new_folder(table.sparkSession, "config")
+            table.write.parquet(copy)  # a table that is replaced later does not change what is held
+            self._config, self._at = table.sparkSession.read.schema(table.schema).parquet(copy), now
             self.reads += 1
         return self._config
 

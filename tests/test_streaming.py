@@ -118,3 +118,39 @@ def test_config_is_read_again_after_its_age(spark):
         now[0] = t
         cache.get()
     assert cache.reads == 3
+
+
+def test_limiter_with_text_keys_late_requests_and_a_shrinking_state(spark, tmp_path):
+    first = [(i, "10.0.0.%d" % (i % 7), 1000 + i) for i in range(60)]
+    late = [(100, "10.0.0.1", 990), (101, "10.0.0.1", 1062), (102, "10.0.0.9", 1065)]
+    after = [(200, "10.0.0.9", 90_000)]
+    (tmp_path / "in").mkdir()
+    for name, rows in (("a", first), ("b", late), ("c", after)):
+        df = spark.createDataFrame(rows, "id long, client string, at long")
+        write_parts(df, ["id"], 1, str(tmp_path / "in"), f"req{name}") if not (tmp_path / "in" / "_tmp0").exists() else None
+        if name != "a":
+            df.coalesce(1).write.parquet(str(tmp_path / "in" / f"_{name}"))
+            piece = next((tmp_path / "in" / f"_{name}").glob("*.parquet"))
+            piece.rename(tmp_path / "in" / f"req{name}0.parquet")
+    out = str(tmp_path / "out")
+    jobs.rate_limit(rt.file_stream(spark, str(tmp_path / "in"), "req", files_per_batch=1), out)
+    done = {r.id: r for r in rt.table(spark, out, "decisions").filter("id IS NOT NULL").collect()}
+    assert set(done) == {r[0] for r in first + late + after}
+    assert done[100].window_start == 1001 and done[100].n > done[57].n  # counted in the open window, at its start
+    assert done[101].window_start == 1062 and done[102].n == 1
+    sizes = [spark.read.parquet(rt.batch_folder(out, "state", i)).count() for i in range(3)]
+    assert sizes[0] == 7 and sizes[-1] == 1
+
+
+def test_configuration_is_held_while_the_table_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "config")
+    rows = lambda p: spark.createDataFrame([(1, p, "[]")], "org_id long, preset string, custom_terms string")
+    rows("finance").write.parquet(path)
+    now = [0.0]
+    cache = jobs.ConfigCache(lambda: spark.read.parquet(path), ttl=300, clock=lambda: now[0])
+    assert cache.get().first().preset == "finance"
+    rows("health").write.mode("overwrite").parquet(path)
+    now[0] = 299.0
+    assert cache.get().first().preset == "finance" and cache.reads == 1
+    now[0] = 301.0
+    assert cache.get().first().preset == "health" and cache.reads == 2
