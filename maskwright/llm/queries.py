@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, crf, fingerprints, line_windows, mixing, ownership, rules, suffixes, surrogates, topk
+from maskwright.llm import bpe, crf, fingerprints, line_windows, mixing, oracles, ownership, rules, suffixes, surrogates, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,30 +44,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(docs, key="corpus-key").select("doc_id", s["n_entities"].alias("n_entities"), s["text"].alias("text"))
 
 
-# The first occurrence of a window is the smallest (doc_id, position), as in the operator.
-LINE_WINDOWS_SQL = """
-WITH lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-win AS (
-  SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM lines WHERE len(l) >= 3),
-keyed AS (
-  SELECT doc_id, i, [l[i], l[i + 1], l[i + 2]] AS k FROM win
-  WHERE regexp_matches(l[i], '[^ \\t\\n\\v\\f\\r]') OR regexp_matches(l[i + 1], '[^ \\t\\n\\v\\f\\r]')
-     OR regexp_matches(l[i + 2], '[^ \\t\\n\\v\\f\\r]')),
-later AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM keyed) WHERE n > 1),
-gone AS (
-  SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY doc_id)
-SELECT d.doc_id,
-  CASE WHEN d.text IS NULL THEN 0 ELSE len(d.l) END::BIGINT AS n_lines,
-  coalesce(len(g), 0)::BIGINT AS n_removed,
-  CASE WHEN g IS NULL THEN d.text ELSE
-    coalesce(list_aggregate(list_filter(d.l, lambda x, i: NOT list_contains(g, i)), 'string_agg', chr(10)), '') END AS text
-FROM lines d LEFT JOIN gone USING (doc_id)
-"""
-
-
-@query("op3_line_windows", LINE_WINDOWS_SQL)
+@query("op3_line_windows", oracles.LINE_WINDOWS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = F.col("line_windows")
@@ -80,25 +57,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(docs, crf.learn(docs)).drop("runs")
 
 
-@query("op5_source_mixing")
+@query("op5_source_mixing", oracles.MIXING)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-TOPK_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
-"""
-
-
-@query("op6_topk_search", TOPK_SQL)
+@query("op6_topk_search", oracles.TOPK)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
@@ -115,7 +79,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", fingerprints.as_hex(F.col("f")).alias("fingerprint"), "component_id")
 
 
-@query("op9_secret_ownership")
+@query("op9_secret_ownership", oracles.OWNERSHIP)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.report(ownership.scan(table(spark, sf_dir, "documents")))
 
