@@ -28,6 +28,17 @@ def page(df: DataFrame, key: str, ts: str, page: int = 1, limit: int | None = No
     return cut.withColumn("page", F.lit(page)).withColumn("total_pages", F.ceil(F.col("total") / limit))
 
 
+def page_envelopes(rows: DataFrame, key: str, items: str, fields: Sequence[str], limit: int) -> DataFrame:
+    """One JSON text per key of a cut page: its rows in order, then the page's numbers.
+
+    A page has at most PAGE_MAX rows, so a key's rows fit in one value.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("row_no", F.struct(*fields).alias("item"))))
+    numbers = F.struct("page", F.lit(limit).alias("limit"), "total", F.col("total_pages").alias("totalPages"))
+    cut = rows.groupBy(key, "page", "total", "total_pages").agg(listed.alias("l"))
+    return cut.select(key, F.to_json(F.struct(F.transform("l", lambda x: x["item"]).alias(items), numbers.alias("pagination"))).alias("json"))
+
+
 def offset_page(df: DataFrame, key: str, ts: str, limit: int = LOG_PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     limit, offset = min(LOG_PAGE_MAX, max(1, limit)), max(0, offset)
     return _cut(df, key, ts, limit, offset).withColumn("has_more", F.col("total") > offset + limit)

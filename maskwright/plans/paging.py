@@ -25,6 +25,18 @@ def page_events(t):
     )
 
 
+@query(
+    "sink_event_pages",
+    f"""SELECT org_id, '{{"events":[' || string_agg('{{"id":' || id || ',"aiDomain":"' || ai_domain || '","action":"' || action || '"}}', ',' ORDER BY row_no)
+          || '],"pagination":{{"page":1,"limit":20,"total":' || total || ',"totalPages":' || total_pages || '}}}}' AS json
+        FROM ({_page_sql("policy_events", "org_id", "timestamp", "id, ai_domain, action", 0, 20, "1 AS page, CAST(ceil(total / 20) AS BIGINT) AS total_pages")}) GROUP BY org_id, total, total_pages""",
+)
+def sink_event_pages(t):
+    """First page of every tenant's events as the JSON envelope of the event list."""
+    cut = P.page(t.policy_events, "org_id", "timestamp", page=1, limit=20).withColumnRenamed("ai_domain", "aiDomain")
+    return P.page_envelopes(cut, "org_id", "events", ["id", "aiDomain", "action"], 20)
+
+
 @query(
     "page_users",
     _page_sql("users", "org_id", "created_at", "id, email, created_at", 0, 50, "1 AS page, CAST(ceil(total / 50) AS BIGINT) AS total_pages"),
