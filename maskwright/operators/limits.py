@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from maskwright.operators.logs import running_sums, time_slot
 UNKNOWN_KEY = 401
 WINDOW_SECONDS = 60
 MAX_REQUESTS = 10
+# slots whose step functions are composed before a client's are folded
+BLOCK = 256
 
 
 def monthly_quota(calls: DataFrame, reset: bool = True) -> DataFrame:
@@ -91,17 +94,49 @@ def _slot_steps(window: int, slot: int):
     return run
 
 
+def _then(first: list[tuple[int, int]], second: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """One step function for two that follow one another. What expires behind the first's last step
+    passes it unchanged and enters the second."""
+    untils, out = [u for u, _ in second], []
+    for until, left in first:
+        i = bisect_left(untils, left + window)
+        left = second[i][1] if i < len(second) else left
+        if out and out[-1][1] == left:
+            out[-1] = (until, left)
+        else:
+            out.append((until, left))
+    return out + [step for step in second if not first or step[0] > first[-1][0]]
+
+
+def _compose(window: int):
+    """Step functions of the slots of a block as one."""
+
+    def run(batches):
+        for pdf in _whole_groups(batches, ["client", "block"]):
+            client, block, until, left = (pdf[c].tolist() for c in ("client", "block", "until", "exit"))
+            slots, rows = _bounds(pdf, ["client", "block", "slot"]), []
+            whole: list[tuple[int, int]] = []
+            for lo, hi in zip(slots[:-1], slots[1:]):
+                whole = _then(whole, list(zip(until[lo:hi], left[lo:hi])), window)
+                if hi == len(pdf) or (client[hi], block[hi]) != (client[lo], block[lo]):
+                    rows += [(client[lo], block[lo], *step) for step in whole]
+                    whole = []
+            yield pd.DataFrame(rows, columns=["client", "slot", "until", "exit"])
+
+    return run
+
+
 def _carry(window: int):
-    """Fold the step functions of each client in slot order; state is one open window."""
+    """Fold step functions in slot order, from the window that is open when a block begins."""
 
     def run(batches):
-        client = slot = start = entry = None
+        key = slot = start = entry = None
         settled = False
         for pdf in batches:
             rows = []
-            for c, s, until, out in pdf[["client", "slot", "until", "exit"]].itertuples(index=False, name=None):
-                if c != client:
-                    client, slot, start = c, None, None
+            for c, b, s, until, out, begin in pdf[["client", "block", "slot", "until", "exit", "begin"]].itertuples(index=False, name=None):
+                if (c, b) != key:
+                    key, slot, start = (c, b), None, None if pd.isna(begin) else int(begin)
                 if s != slot:
                     slot, entry, settled = s, start, False
                     rows.append((c, s, entry))
@@ -140,9 +175,9 @@ def window_starts(requests: DataFrame, window: int = WINDOW_SECONDS, slot: int =
 
     A window opens at a client's first request, and again at the first request at or after its
     end, so windows form a chain through all of a client's requests. Slots of that chain are
-    summarised independently as small step functions, only those are folded per client, and the
-    slots are then marked independently: a client with a third of all requests is spread over
-    its slots.
+    summarised independently as small step functions. These compose: BLOCK slots become one function,
+    only the blocks are folded per client, and blocks and then slots are carried through and marked
+    independently. A client with a third of all requests is spread over its slots.
     """
     if slot < window:
         raise ValueError("a slot must not be shorter than the window")
@@ -150,8 +185,16 @@ def window_starts(requests: DataFrame, window: int = WINDOW_SECONDS, slot: int =
     key = f"client {requests.schema['client'].dataType.simpleString()}"
     by_slot = d.select("client", "slot", "at").distinct().repartition("client", "slot").sortWithinPartitions("client", "slot", "at")
     steps = by_slot.mapInPandas(_slot_steps(window, slot), f"{key}, slot long, until long, exit long")
-    in_order = steps.repartition("client").sortWithinPartitions("client", "slot", "until")
-    entries = in_order.mapInPandas(_carry(window), f"{key}, slot long, entry long")
+    steps = steps.withColumn("block", F.floor(F.col("slot") / BLOCK))
+    in_block = steps.repartition("client", "block").sortWithinPartitions("client", "block", "slot", "until")
+    blocks = in_block.mapInPandas(_compose(window), f"{key}, slot long, until long, exit long")
+    none = F.lit(None).cast("long")
+    blocks = blocks.select("client", F.lit(0).cast("long").alias("block"), "slot", "until", "exit", none.alias("begin"))
+    in_order = blocks.repartition("client").sortWithinPartitions("client", "slot", "until")
+    begins = in_order.mapInPandas(_carry(window), f"{key}, slot long, entry long")
+    begins = begins.select("client", F.col("slot").alias("block"), F.col("entry").alias("begin"))
+    inside = steps.join(begins, ["client", "block"]).repartition("client", "block").sortWithinPartitions("client", "block", "slot", "until")
+    entries = inside.mapInPandas(_carry(window), f"{key}, slot long, entry long")
     placed = d.join(entries, ["client", "slot"]).repartition("client", "slot").sortWithinPartitions("client", "slot", "at", "id")
     return placed.mapInPandas(_mark(window), f"{key}, id long, at long, weight long, window_start long")
 

@@ -68,7 +68,7 @@ def test_literacy_running_ends_at_the_score(events):
 
 
 @pytest.mark.parametrize("seed,slot", [(1, 60), (2, 600), (3, 97)])
-def test_rate_limit_against_a_loop(spark, seed, slot):
+def test_rate_limit_against_a_loop(spark, seed, slot, monkeypatch):
     rng = random.Random(seed)
     rows, t = [], defaultdict(int)
     for i in range(2500):
@@ -83,6 +83,8 @@ def test_rate_limit_against_a_loop(spark, seed, slot):
         want[i] = (state[c][0], state[c][1] > 10)
     df = spark.createDataFrame(rows, "id long, client long, at long")
     got = {r.id: (r.window_start, r.limited) for r in limits.rate_limit(df, slot=slot).collect()}
+    monkeypatch.setattr(limits, "BLOCK", 3)
+    assert got == {r.id: (r.window_start, r.limited) for r in limits.rate_limit(df, slot=slot).collect()}
     assert got == want
 
 
