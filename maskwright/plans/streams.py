@@ -53,7 +53,7 @@ def st_ingest(t):
 def st_user_counters(t):
     out = rt.new_folder(t.spark, "counters")
     jobs.user_counters(_posts(t), out)
-    return rt.last_version(rt.table(t.spark, out, "counters"), ["user_id"])
+    return rt.latest(t.spark, out, "counters", ["user_id"])
 
 
 @query("st_rate_limit", _CHAIN, {"reqs": "SELECT id, client, at_s FROM requests"})
@@ -102,7 +102,7 @@ def st_quota(t):
 def st_literacy(t):
     out = rt.new_folder(t.spark, "literacy")
     jobs.literacy(_policy_events(t), out)
-    return rt.last_version(rt.table(t.spark, out, "literacy"), ["user_id"])
+    return rt.latest(t.spark, out, "literacy", ["user_id"])
 
 
 @query(
@@ -112,7 +112,7 @@ def st_literacy(t):
 def st_activity_windows(t):
     out = rt.new_folder(t.spark, "windows")
     jobs.activity_windows(_events(t).select("ts", "event_type"), out)
-    done = rt.last_version(rt.table(t.spark, out, "windows"), ["window_start", "event_type"])
+    done = rt.latest(t.spark, out, "windows", ["window_start", "event_type"])
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 

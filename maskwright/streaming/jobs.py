@@ -39,7 +39,7 @@ def user_counters(posts: DataFrame, out: str) -> None:
         F.count_if(is_event & (F.col("action") == "WARN")).alias("warn_count"),
         F.max("ts").alias("last_seen_at"),
     )
-    rt.run(counts, out, lambda b, i: rt.save(b, out, "counters", i), mode="update")
+    rt.run(counts, out, lambda b, i: rt.save_version(b, out, "counters", i, ["user_id"]), mode="update")
 
 
 def literacy(events: DataFrame, out: str) -> None:
@@ -49,7 +49,7 @@ def literacy(events: DataFrame, out: str) -> None:
     )
     scored = state.withColumn("score", R.literacy_points(F.col("types"), F.col("anonymised")))
     scored = scored.withColumn("label", R.literacy_label(F.col("score")))
-    rt.run(scored, out, lambda b, i: rt.save(b, out, "literacy", i), mode="update")
+    rt.run(scored, out, lambda b, i: rt.save_version(b, out, "literacy", i, ["user_id"]), mode="update")
 
 
 def activity_windows(events: DataFrame, out: str, late: str = "2 days") -> None:
@@ -61,7 +61,7 @@ def activity_windows(events: DataFrame, out: str, late: str = "2 days") -> None:
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("window_start"), "event_type", "n")
     )
-    rt.run(counts, out, lambda b, i: rt.save(b, out, "windows", i), mode="update")
+    rt.run(counts, out, lambda b, i: rt.save_version(b, out, "windows", i, ["window_start", "event_type"]), mode="update")
 
 
 def _previous(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame:

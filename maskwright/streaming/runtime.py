@@ -2,7 +2,8 @@
 
 Every micro-batch writes to its own ``batch=N`` folder in overwrite mode, so a batch that is run
 again after a failure replaces itself instead of appending twice. Tables that are updated rather
-than appended to are read as "last batch wins per key".
+than appended to are read as "last batch wins per key"; every so many batches, their versions are
+compacted to one row a key, so that a reader meets one compacted table and few later batches.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from maskwright.session import checkpoint_root
 
+# batches between two compactions of a keyed table
+COMPACT_EVERY = 20
+
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -63,3 +67,32 @@ def last_version(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys and c != "batch"]
     best = F.max_by(F.struct(*rest), "batch").alias("_v")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def save_version(df: DataFrame, out: str, name: str, batch_id: int, keys: Sequence[str], every: int | None = None) -> None:
+    """Save a batch's new versions of some keys; the batch that completes ``every`` of them also compacts.
+
+    A batch that is run again writes the same compacted rows again.
+    """
+    save(df, out, name, batch_id)
+    if (batch_id + 1) % (every or COMPACT_EVERY) == 0:
+        save(latest(df.sparkSession, out, name, keys, batch_id), out, f"{name}-compact", batch_id)
+
+
+def latest(spark: SparkSession, out: str, name: str, keys: Sequence[str], upto: int | None = None) -> DataFrame:
+    """Last version of every key: from the newest compacted table before ``upto``, and batches after it."""
+    versions = table(spark, out, name)
+    if upto is not None:
+        versions = versions.filter(F.col("batch") <= upto)
+    if _exists(spark, f"{out}/{name}-compact"):
+        compact = table(spark, out, f"{name}-compact")
+        before = compact if upto is None else compact.filter(F.col("batch") < upto)
+        newest = before.agg(F.max("batch")).first()[0]
+        if newest is not None:
+            versions = versions.filter(F.col("batch") > newest).unionByName(compact.filter(F.col("batch") == newest))
+    return last_version(versions, keys)

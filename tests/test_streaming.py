@@ -59,7 +59,7 @@ def test_quota_state_crosses_batches(spark, tmp_path):
     assert got == want
 
 
-def test_counters_and_literacy_over_batches(spark, tmp_path):
+def test_counters_and_literacy_over_batches(spark, tmp_path, monkeypatch):
     events = spark.createDataFrame(skewed_events(900), SCHEMA)
     (tmp_path / "in").mkdir()
     write_parts(events, ["timestamp", "id"], 3, str(tmp_path / "in"), "ev")
@@ -67,6 +67,12 @@ def test_counters_and_literacy_over_batches(spark, tmp_path):
     jobs.literacy(rt.file_stream(spark, str(tmp_path / "in"), "ev", 1), out)
     got = {r.user_id: (r.types, r.anonymised, r.score) for r in rt.last_version(rt.table(spark, out, "literacy"), ["user_id"]).collect()}
     assert got == {r.user_id: (r.types, r.anonymised, r.score) for r in R.literacy_score(events).collect()}
+    monkeypatch.setattr(rt, "COMPACT_EVERY", 2)
+    again = str(tmp_path / "again")
+    jobs.literacy(rt.file_stream(spark, str(tmp_path / "in"), "ev", 1), again)
+    assert rt.table(spark, again, "literacy-compact").select("batch").distinct().count() == 1
+    compacted = rt.latest(spark, again, "literacy", ["user_id"])
+    assert got == {r.user_id: (r.types, r.anonymised, r.score) for r in compacted.collect()}
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
