@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,19 @@ def slices(arrays: list[pa.Array], rows: int) -> Iterator[list[pa.Array]]:
         yield [a.slice(at, rows) for a in arrays]
 
 
+def slices_by_size(arrays: list[pa.Array], texts: pa.Array, most: int) -> Iterator[list[pa.Array]]:
+    """Equally long arrays, cut alike into pieces of about ``most`` bytes of text; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            yield [a.slice(start, i - start) for a in arrays]
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield [a.slice(start) for a in arrays]
+
+
 def by_document(
     df: DataFrame, columns: list[Column], schema: str, work: Callable[[list[pa.Array]], Iterator[pa.RecordBatch]]
 ) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import column, slices
+from maskwright.llm.common import column, slices_by_size
 
 # buckets of hashed features, lengths of n-grams, and words of a block of the chain
 BUCKETS, NGRAMS, BLOCK = 1 << 17, (2, 3, 4, 5), 64
@@ -271,14 +271,14 @@ def label_batch(texts: pa.Array, model: Model) -> tuple[Words, np.ndarray]:
     return words, marginals(model.emissions(words), _first_tokens(words.tokens), model.transition, model.start)[0]
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", rows_at_once: int = 250) -> DataFrame:
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", bytes_at_once: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, runs): the language of most words' mass, its mean marginal, and
     runs of words of one label as (lang, n_words)."""
     names = np.array([*model.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, out, texts in slices(batch.columns, rows_at_once):
+            for ids, out, texts in slices_by_size(batch.columns, batch.column(2), bytes_at_once):
                 words, marginal = label_batch(texts, model)
                 owner = np.repeat(np.arange(len(texts)), words.tokens)
                 counted = ~words.empty[words.codes] if len(words.codes) else np.zeros(0, bool)
