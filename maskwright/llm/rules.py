@@ -200,9 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("t"))
     # at most `sample` small rows, so a broadcast is safe
     counted = texts.join(F.broadcast(chosen), "id").select("id", "q", statistics(F.col("t")).alias("s"))
-    got = counted.where(~base_failed(F.col("s"))).select("id", "q", "s.*").orderBy(F.xxhash64("id"), *COUNTS).limit(sample).collect()
-    rows = np.array([[r[c] for c in COUNTS] for r in got], np.float64).reshape(-1, len(COUNTS))
-    return learn(rows, np.array([r["q"] == 0 for r in got], bool))
+    got = counted.select("id", "q", "s.*").orderBy(F.xxhash64("id"), *COUNTS).limit(sample).collect()
+    # what the base rule rejects is no example; this is left to the driver, since as a filter it
+    # would be pushed below the join and count the words of every document
+    rows = [r for r in got if r["n_words"] >= MIN_WORDS and 100 * r["n_repeat_words"] <= MAX_REPEAT_PERCENT * r["n_words"]]
+    return learn(np.array([[r[c] for c in COUNTS] for r in rows], np.float64).reshape(-1, len(COUNTS)), np.array([r["q"] == 0 for r in rows], bool))
 
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text", into: str = "quality_rules") -> DataFrame:
