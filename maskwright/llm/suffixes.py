@@ -41,6 +41,8 @@ GRAMS = 128
 Q = LENGTH - GRAMS + 1
 # anchors of a bucket that are sorted in one partition; beyond it, they are counted and joined
 MOST_IN_BUCKET = 100_000
+# a bucket is counted and joined only if it has more than that, and than this part of all anchors
+HOT_BUCKETS = 10_000
 # classes of a bucket that are compared at every offset in one partition
 MOST_CLASSES = 20_000
 # bytes that are hashed together
@@ -201,14 +203,18 @@ def anchors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def refine_classes(found: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
-    """(q, c, d, place, n_class, n_classes, singles) of the anchors whose q-gram occurs again.
+    """(q, c, d, place, n_class, n_classes, singles, speaks) of the anchors whose q-gram occurs again.
 
-    n_class: anchors of the class; n_classes: classes in the bucket; singles: how many of one anchor.
+    n_class: anchors of the class; n_classes: classes in the bucket; singles: how many of one anchor;
+    speaks: true for one anchor of each class.
     """
-    sizes = found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = found.join(sizes, "q")
-    # sorted within the partitions that the join has made anyway
-    usual = again.where(F.col("n") <= most)
+    sizes = stored(found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # a bucket is hot beyond a share of all anchors: so there are at most HOT_BUCKETS of them
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(most, total // HOT_BUCKETS)
+    hot_q = sizes.where(F.col("n") > most).select("q")
+    # sorted within the partitions that the join makes anyway; hot buckets do not get there
+    usual = found.join(F.broadcast(hot_q), "q", "left_anti").join(sizes.where(F.col("n") <= most).select("q"), "q")
     by_class, by_bucket = Window.partitionBy("q", "c").orderBy("d", "place"), Window.partitionBy("q")
     whole = by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     usual = usual.select("q", "c", "d", "place", F.count(F.lit(1)).over(whole).alias("n_class"), (F.row_number().over(by_class) == 1).alias("speaks"))
@@ -217,14 +223,14 @@ def refine_classes(found: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
         F.count_if(F.col("n_class") == 1).over(by_bucket).alias("singles"),
     ]
     usual = usual.select("q", "c", "d", "place", "n_class", *of_bucket, "speaks")
-    # buckets of very many anchors: counts are combined before they are shuffled, and joined back
-    hot = stored(again.where(F.col("n") > most).select("q", "c", "d", "place"))
-    if hot.isEmpty():
+    if hot_q.isEmpty():
         return usual
-    classes = hot.groupBy("q", "c").agg(F.count(F.lit(1)).alias("n_class"), F.min("d").alias("d0"), F.min_by("place", F.struct("d", "place")).alias("p0"))
-    buckets = classes.groupBy("q").agg(F.count(F.lit(1)).alias("n_classes"), F.sum((F.col("n_class") == 1).cast("int")).alias("singles"))
-    joined = hot.join(classes, ["q", "c"]).join(buckets, "q")
-    speaks = (F.col("d") == F.col("d0")) & (F.col("place") == F.col("p0"))
+    # their counts are combined before they are shuffled, and joined back
+    hot = stored(found.join(F.broadcast(hot_q), "q", "left_semi").select("q", "c", "d", "place"))
+    classes = hot.groupBy("q", "c").agg(F.count(F.lit(1)).alias("n_class"), F.min(F.struct("d", "place")).alias("first"))
+    buckets = classes.groupBy("q").agg(F.count(F.lit(1)).alias("n_classes"), F.count_if(F.col("n_class") == 1).alias("singles"))
+    joined = hot.join(classes, ["q", "c"]).join(F.broadcast(buckets), "q")
+    speaks = (F.col("d") == F.col("first.d")) & (F.col("place") == F.col("first.place"))
     return usual.unionByName(joined.select("q", "c", "d", "place", "n_class", "n_classes", "singles", speaks.alias("speaks")))
 
 
