@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import column, stored
 
 # queries of a block; with their statistics they are what a task holds of all queries
-QUERIES_AT_ONCE = 2048
+QUERIES_AT_ONCE = 1024
 # rows that are compared together with a block
-ROWS_AT_ONCE = 2048
+ROWS_AT_ONCE = 1024
+# pairs of a query and a row that finer bounds and exact scores are computed for together
+PAIRS_AT_ONCE = 1 << 16
 # segments of a vector, from coarse to fine
 RESOLUTIONS = (1, 4, 16)
 
@@ -84,25 +86,26 @@ class Block:
         self.compared = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Take rows in: bounds from coarse to fine, then exact scores of what survives."""
+        """Take rows in: bounds from coarse to fine, then exact scores of what survives.
+
+        The coarse bounds are one product of matrices; surviving pairs go on in parts of a fixed size.
+        """
         least = np.maximum(self.floor, np.where(self.scores[:, -1] > self.least, self.scores[:, -1].astype(np.float64), -np.inf))
-        q = r = None
-        for mine, parts in zip(self.levels, RESOLUTIONS):
-            theirs = segment_statistics(vectors, parts)
-            if q is None:
-                bound = mine @ theirs.T
-                margin = 1e-9 * np.linalg.norm(mine, axis=1)[:, None] * np.linalg.norm(theirs, axis=1) + 1e-6
-                q, r = np.nonzero(bound + margin >= least[:, None])
-            else:
-                bound = np.einsum("ij,ij->i", mine[q], theirs[r])
-                margin = 1e-9 * np.linalg.norm(mine[q], axis=1) * np.linalg.norm(theirs[r], axis=1) + 1e-6
-                keep = bound + margin >= least[q]
-                q, r = q[keep], r[keep]
-        other = self.ids[q] != ids[r]
-        q, r = q[other], r[other]
-        self.compared += len(q)
-        for a in range(0, len(q), 1 << 18):
-            self._keep(q[a : a + (1 << 18)], r[a : a + (1 << 18)], ids, vectors)
+        theirs = [segment_statistics(vectors, p) for p in RESOLUTIONS]
+        # what rounding may take from a bound
+        mine, other = (np.linalg.norm(x.astype(np.float64), axis=1) for x in (self.vectors, vectors))
+        margin = 1e-9 * mine[:, None] * other + 1e-6
+        q, r = np.nonzero(self.levels[0] @ theirs[0].T + margin >= least[:, None])
+        for at in range(0, len(q), PAIRS_AT_ONCE):
+            a, b = q[at : at + PAIRS_AT_ONCE], r[at : at + PAIRS_AT_ONCE]
+            keep = self.ids[a] != ids[b]
+            a, b = a[keep], b[keep]
+            for level, rows in zip(self.levels[1:], theirs[1:]):
+                near = np.einsum("ij,ij->i", level[a], rows[b]) + margin[a, b] >= least[a]
+                a, b = a[near], b[near]
+            self.compared += len(a)
+            if len(a):
+                self._keep(a, b, ids, vectors)
 
     def _keep(self, q: np.ndarray, r: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         score = np.einsum("ij,ij->i", self.vectors[q], vectors[r])
