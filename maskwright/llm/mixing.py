@@ -113,7 +113,8 @@ def allot(
     Sizes and ranks are written once as a narrow table; the sums and the result come from it.
     """
     named = stored(packed(docs).select(*_named(doc_id, text, source, seed)))
-    aims = goals(named, per_octave)
+    # written, so that its size is known before the join is planned: a small one is broadcast
+    aims = stored(goals(named, per_octave))
     aims = aims.select(F.struct(*aims.columns).alias("goal"))
     goal = F.col("goal")
     out = named.join(aims, F.col("source").eqNullSafe(goal["source"])).withColumn("copies", _copies(F.col("rank"), goal, per_octave))
@@ -125,9 +126,13 @@ def allot(
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", per_octave: int = 512
 ) -> DataFrame:
-    """``docs`` as mixed: every row as often as it is taken. Texts are not shuffled; only the sources' row is joined."""
+    """``docs`` as mixed: every row as often as it is taken.
+
+    Only one row a source is joined; it is written first, so that the planner knows its size and
+    broadcasts it while it is small. Texts are shuffled only if there are too many sources for that.
+    """
     rows, parts = packed(docs), _named(doc_id, text, source, seed)
-    aims = goals(stored(rows.select(*parts)), per_octave)
+    aims = stored(goals(stored(rows.select(*parts)), per_octave))
     aims = aims.select(F.struct(*aims.columns).alias("goal"))
     joined = rows.select("row", parts[3]).join(aims, F.col("row").getField(source).eqNullSafe(F.col("goal")["source"]))
     copies = _copies(F.col("rank"), F.col("goal"), per_octave)
