@@ -314,6 +314,14 @@ def test_surrogates_keep_format_and_coreference(spark):
     assert other[0].surrogates.text != out[0] and surrogates.replace(docs.where("false"), "k").count() == 0
 
 
+def test_surrogates_take_names_of_any_number_of_words(spark):
+    texts = ["Anna Maria Smith left.", "then John Paul Jones came", "Herr Hans Peter Schulz, Mr Smith"]
+    out = [r.surrogates.text for r in surrogates.replace(table(spark, texts), "k").orderBy("doc_id").collect()]
+    assert not any(surname in t for t in out for surname in ("Smith", "Jones", "Schulz"))
+    shared = re.fullmatch(r"\w+ \w+ (\w+) left\.", out[0])[1]
+    assert re.fullmatch(r"then \w+ \w+ \w+ came", out[1]) and re.fullmatch(rf"Herr \w+ \w+ \w+, Mr {shared}", out[2])
+
+
 def test_surrogates_stay_distinct(spark):
     """More hosts than one block of addresses, and all names of a lexicon, get different surrogates."""
     hosts = [("host", f"192.168.{i // 250}.{i % 250}") for i in range(1500)]
