@@ -322,6 +322,24 @@ def test_surrogates_take_names_of_any_number_of_words(spark):
     assert re.fullmatch(r"then \w+ \w+ \w+ came", out[1]) and re.fullmatch(rf"Herr \w+ \w+ \w+, Mr {shared}", out[2])
 
 
+def test_surrogates_replace_later_mentions_and_all_forms_of_words(spark):
+    texts = [
+        "John Smith called. Later Smith left and John slept; Smith's cat, SmithX.",
+        "John F. Kennedy, Mr O'Brien and O’Brien's car, Anna Smith-Jones met Jones. The end of Mrs The. The",
+        "John\nSmith and Anna\u00a0 Berg, Peter van der Meer, Jean-Luc Picard, Mr J.F. Hahn\n\nStays. Smith",
+        "No person. Smith stays here.",
+    ]
+    rows = surrogates.replace(table(spark, texts), "k").orderBy("doc_id").collect()
+    out = [r.surrogates.text for r in rows]
+    first = re.fullmatch(r"(\w+) (\w+) called\. Later (\w+) left and (\w+) slept; (\w+)'s cat, SmithX\.", out[0])
+    assert first[2] == first[3] == first[5] != "Smith" and first[1] == first[4] != "John" and rows[0].surrogates.n_entities == 4
+    second = re.fullmatch(r"\w+ (\w\.) (\w+), Mr (\w'\w+) and (\w'\w+)'s car, \w+ (\w+)-(\w+) met (\w+)\. The end of Mrs \w+\. The", out[1])
+    assert second[1] != "F." and second[2] != "Kennedy" and second[3] == second[4] != "O'Brien" and second[5] == first[2] and second[6] == second[7] != "Jones"
+    third = re.fullmatch(r"\w+\n(\w+) and \w+\u00a0 (\w+), \w+ van der (\w+), \w+-(\w+) (\w+), Mr (\w\.\w\.) (\w+)\n\nStays\. (\w+)", out[2])
+    assert third[1] == third[8] == first[2] and not set(third.groups()) & {"Berg", "Meer", "Luc", "Picard", "J.F.", "Hahn"}
+    assert out[3] == texts[3] and rows[3].surrogates.n_entities == 0
+
+
 def test_surrogates_stay_distinct(spark):
     """More hosts than one block of addresses, and all names of a lexicon, get different surrogates."""
     hosts = [("host", f"192.168.{i // 250}.{i % 250}") for i in range(1500)]
