@@ -18,6 +18,8 @@ from maskwright.streaming import runtime as rt
 
 # Age after which the configuration is read again.
 CONFIG_TTL_SECONDS = 300
+# seconds by which a request may be late and still count in the window it belongs to
+LATENESS_SECONDS = 600
 ALERT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -71,15 +73,15 @@ def _previous(spark: SparkSession, out: str, batch_id: int, schema: str) -> Data
     return spark.read.schema(schema).parquet(rt.batch_folder(out, "state", batch_id - 1))
 
 
-def rate_limit(requests: DataFrame, out: str, limit: int = limits.MAX_REQUESTS, window: int = limits.WINDOW_SECONDS, slot: int = 600) -> None:
+def rate_limit(requests: DataFrame, out: str, limit: int = limits.MAX_REQUESTS, window: int = limits.WINDOW_SECONDS, slot: int = 600, lateness: int = LATENESS_SECONDS) -> None:
     """Limiter over a stream: ``(client, id, at)``.
 
-    State is one open window per client. It enters the next batch as one weighted request at the
+    State is the last window of each client. It enters the next batch as one weighted request at the
     window's start, so the batch operator continues the chain as if it had seen everything; hot
     clients are spread over time slots exactly as in batch. A request that comes late, from before its
-    client's open window, counts in that window at its start: decisions already given stay. Windows
-    that had ended when the newest request came are dropped from the state, since the next request of
-    their client opens a new one anyway.
+    client's last window, counts in that window at its start: decisions already given stay. A window
+    stays in the state until ``lateness`` seconds have passed since its end, by the newest request of
+    any client; a request that comes later than that, and whose client has had none since, opens a window.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -98,7 +100,7 @@ def rate_limit(requests: DataFrame, out: str, limit: int = limits.MAX_REQUESTS,
         before = state.agg(F.max("newest").alias("a")).first()["a"]
         newest = max(x for x in (seen, before, 0) if x is not None)
         open_ = last.select("client", F.col("m.window_start").alias("start"), F.col("m.n").alias("used"), F.lit(newest).cast("long").alias("newest"))
-        rt.save(open_.filter(F.col("start") + window > newest), out, "state", batch_id)
+        rt.save(open_.filter(F.col("start") + window + lateness > newest), out, "state", batch_id)
 
     rt.run(requests, out, write)
 

@@ -1,6 +1,7 @@
 """Streams over several micro-batches end where the batch operators end."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -148,6 +149,21 @@ def test_limiter_with_text_keys_late_requests_and_a_shrinking_state(spark, tmp_p
     assert sizes[0] == 7 and sizes[-1] == 1
 
 
+def test_limiter_keeps_a_window_that_another_clients_clock_has_ended(spark, tmp_path):
+    """Client 1 is late in the second batch, and again in a third that comes when the lateness has passed."""
+    parts = [[(i, 1, 100) for i in range(10)] + [(50, 2, 161)], [(51, 1, 150)], [(52, 2, 760)], [(53, 1, 155)]]
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, "id long, client long, at long").coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        piece = next((tmp_path / f"part{n}").glob("*.parquet")).rename(tmp_path / "in" / f"req{n}.parquet")
+        os.utime(piece, (1_700_000_000 + n, 1_700_000_000 + n))
+    out = str(tmp_path / "out")
+    jobs.rate_limit(rt.file_stream(spark, str(tmp_path / "in"), "req", files_per_batch=1), out)
+    done = {r.id: (r.window_start, r.n, r.limited) for r in rt.table(spark, out, "decisions").filter("id IS NOT NULL").collect()}
+    assert done[51] == (100, 11, True) and done[50] == (161, 1, False)
+    assert done[52] == (760, 1, False) and done[53] == (155, 1, False)
+
+
 def test_configuration_is_held_while_the_table_is_replaced(spark, tmp_path):
     path = str(tmp_path / "config")
     rows = lambda p: spark.createDataFrame([(1, p, "[]")], "org_id long, preset string, custom_terms string")
