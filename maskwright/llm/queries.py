@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, crf, fingerprints, line_windows, mixing, oracles, ownership, rules, suffixes, surrogates, topk
+from maskwright.llm import bpe, crf, fingerprints, line_windows, mixing, oracles, ownership, periods, rules, suffixes, surrogates, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.collapse(periods.repeated_tail(table(spark, sf_dir, "documents"))))
