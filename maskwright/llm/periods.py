@@ -26,7 +26,10 @@ with the same exponent the strongest is the one with the least start, then perio
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -53,29 +56,28 @@ RESULT = T.StructType(
         T.StructField("collapsed", T.StringType()),
     ]
 )
-_TABLES: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def _powers(base: int, rows: int, columns: int) -> np.ndarray:
-    """base^(i * j) modulo the prime."""
-    order = PRIME - 1
-    table = np.ones(order, np.int64)
-    for i in range(1, order):
-        table[i] = table[i - 1] * base % PRIME
-    exponents = np.arange(rows)[:, None] * np.arange(columns) % order
-    return table[exponents].astype(np.float64)
+@cache
+def _generated() -> np.ndarray:
+    """Powers of the generator, from 0 on."""
+    powers = np.ones(1, np.int64)
+    while len(powers) < PRIME - 1:
+        powers = np.concatenate([powers, powers * pow(GENERATOR, len(powers), PRIME) % PRIME])
+    return powers
 
 
+@cache
 def _tables(size: int, inverse: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matrices of a transform in two steps, and the factors between them."""
-    if (size, inverse) not in _TABLES:
-        root = pow(GENERATOR, (PRIME - 1) // size, PRIME)
-        if inverse:
-            root = pow(root, -1, PRIME)
-        a = 1 if size <= 64 else 1 << ((size.bit_length()) // 2)
-        b = size // a
-        _TABLES[size, inverse] = (_powers(pow(root, b, PRIME), a, a), _powers(root, a, b), _powers(pow(root, a, PRIME), b, b))
-    return _TABLES[size, inverse]
+    """Matrices of a transform in two steps, and the factors between them: powers of a root of the size."""
+    a = 1 if size <= 64 else 1 << (size.bit_length() // 2)
+    b = size // a
+    root = (PRIME - 1) // size * (-1 if inverse else 1)  # as an exponent of the generator
+
+    def powers(exponent: int, rows: int, columns: int) -> np.ndarray:
+        return _generated()[np.arange(rows)[:, None] * np.arange(columns) * exponent % (PRIME - 1)].astype(np.float64)
+
+    return powers(root * b, a, a), powers(root, a, b), powers(root * a, b, b)
 
 
 def _reduce(x: np.ndarray) -> np.ndarray:
@@ -194,6 +196,7 @@ def find_runs(ids: np.ndarray, offsets: np.ndarray, base: int = 0x9E3779B97F4A7C
     ``offsets[i]`` to ``offsets[i + 1] - 1``.
     """
     stretches = Stretches(ids, base)
+    out: list[list[tuple[int, int, int]]] = []
     for by_words in (False, True):
         found = []
         for s, d, doc in _seeds(ids, offsets):
@@ -207,7 +210,7 @@ def find_runs(ids: np.ndarray, offsets: np.ndarray, base: int = 0x9E3779B97F4A7C
         base_of = rows[np.flatnonzero(least)[np.cumsum(least) - 1], 2] if len(rows) else rows[:, 2]
         sound = not np.any(rows[:, 2] % np.maximum(base_of, 1))
         rows = rows[least]
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+        out = [[] for _ in range(len(offsets) - 1)]
         for left, end, d, doc in rows.tolist():
             begin, stop = int(offsets[doc]), int(offsets[doc + 1])
             sound = (
@@ -217,9 +220,9 @@ def find_runs(ids: np.ndarray, offsets: np.ndarray, base: int = 0x9E3779B97F4A7C
                 and (end == stop or ids[end] != ids[end - d])
             )
             out[doc].append((left - begin, end - left, d))
-        if sound or by_words:
-            return out
-    raise AssertionError("not reached")
+        if sound:
+            break
+    return out
 
 
 def _strongest(runs: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
@@ -245,9 +248,9 @@ def runs_of_texts(texts: list[bytes | None], base: int = 0x9E3779B97F4A7C15) ->
     held = 0
 
     def done() -> Iterator[dict]:
-        numbers: dict[bytes, int] = {}
-        ids = np.array([numbers.setdefault(w, len(numbers)) for words in group for w in words], np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(words) for words in group])]).astype(np.int64)
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(group)), np.int64, offsets[-1])
         for words, runs in zip(group, find_runs(ids, offsets, base)):
             yield {
                 "n_words": len(words),
