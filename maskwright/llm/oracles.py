@@ -100,3 +100,29 @@ SELECT any_value(d.doc_id) AS doc_id, {', '.join(f"count(*) FILTER (WHERE kind =
   count(*) FILTER (WHERE n_owners < 2) AS n_live, count(*) FILTER (WHERE n_owners >= 2) AS n_copied
 FROM docs d LEFT JOIN known k ON k.row = d.row GROUP BY d.row
 """
+
+
+# Equal sets are compared once; then all pairs that share a shingle, and what is reached over the links.
+NEAR_COPIES = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) < 2 THEN coalesce(w, []) ELSE
+    list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+nodes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (
+  SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a),
+named AS (
+  SELECT a AS node, min(b) AS component_id FROM reached GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id,
+  coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN named m ON m.node = n.node
+"""
