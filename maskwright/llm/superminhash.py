@@ -12,10 +12,13 @@ agrees in less than 0.6 of its registers is dropped (less than 1e-8 for such a p
 confirmed on the shingles themselves.
 
 Buckets are not multiplied out. First, each member is confirmed with the least node of its bucket, and
-union-find, in tasks and then by contraction over the corpus, groups what is linked. Then only buckets
-that still hold several groups matter, and in them only pairs of different groups: small buckets are
-compared in a task; a large one is cut into tiles, of the members outside its largest group against all.
-So each link between groups is found, and no bucket meets one task.
+union-find, in tasks and then by contraction over the corpus, groups what is linked. In buckets that
+still hold several groups, the signatures of members of different groups are compared; of the pairs that
+may be linked only a spanning forest of the groups leaves the task, the likeliest pairs first, and is
+confirmed. Groups that these pairs connect are a family. If a family is still not one group, all its
+members of different groups are compared by their whole sets, and again only a forest leaves the task.
+So no link is lost, pairs never outnumber members, and a large bucket or family is cut into tiles, of the
+members outside its largest group against all.
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing. A text
 of one word has that word as its only shingle. Null ids do not name a component unless all its ids are
@@ -27,7 +30,7 @@ memory proportional to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -47,6 +50,8 @@ REGISTERS, BAND = 128, 4
 AGREEING = 77
 # words that are hashed together; members that one task compares with one another
 WORDS_AT_ONCE, COMPARED_AT_ONCE = 1 << 16, 256
+# shingles of the members that one task compares whole
+SHINGLES_AT_ONCE = 4_000_000
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -195,40 +200,94 @@ def _may_link(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs between groups, in rows (g, node, root, n, sig) sorted by bucket g, at growing distance.
-
-    A batch may end within a bucket, whose few rows are carried on.
-    """
-
-    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, node, root, n, sig = cols
-        alive, gap = np.arange(len(g)), 1
-        while len(alive):
-            alive = alive[alive + gap < len(g)]
-            alive = alive[g[alive] == g[alive + gap]]
-            i, j = alive, alive + gap
-            apart = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
-            i, j = i[apart], j[apart]
-            near = (sig[i] == sig[j]).sum(axis=1) >= AGREEING
-            i, j = i[near], j[near]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
-            gap += 1
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]] + [_matrix(batch.column(4))]
+def spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of edges (i, j) that connect all labels the edges connect, heaviest first, without a circle."""
+    forest, chosen, left = Forest(), [], np.arange(len(i))
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *chosen]))
+        heaviest = np.full(len(label), -1)
+        key = weight[left].astype(np.int64) * len(left) + np.arange(len(left))
+        np.maximum.at(heaviest, a, key)
+        np.maximum.at(heaviest, b, key)
+        at = np.unique(heaviest[heaviest >= 0] % len(left))
+        for x, y in zip(a[at].tolist(), b[at].tolist()):
+            forest.join(x, y)
+        chosen.append(left[at])
+        label = np.array([forest.find(x) for x in label.tolist()])
+
+
+def _by_bucket(work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], read: Callable[[pa.RecordBatch], list[np.ndarray]]):
+    """Run ``work`` on rows sorted by their first column, whole buckets at a time; an unfinished one is carried on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = read(batch)
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            others = np.flatnonzero(cols[0] != cols[0][-1])
+            whole = int(others[-1]) + 1 if len(others) else 0
+            if whole:
+                yield from work([c[:whole] for c in cols])
+            held = [c[whole:] for c in cols]
         if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        others = np.flatnonzero(cols[0] != cols[0][-1])
-        whole = int(others[-1]) + 1 if len(others) else 0
-        yield from pairs([c[:whole] for c in cols])
-        held = [c[whole:] for c in cols]
-    if held is not None:
-        yield from pairs(held)
+            yield from work(held)
+
+    return run
+
+
+def _near(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, ra, rb) that connect the groups of a bucket, in rows (g, node, root, n, sig), compared at growing distance."""
+    g, node, root, n, sig = cols
+    left, right, weight = [], [], []
+    alive, gap = np.arange(len(g)), 1
+    while len(alive):
+        alive = alive[alive + gap < len(g)]
+        alive = alive[g[alive] == g[alive + gap]]
+        i, j = alive, alive + gap
+        apart = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+        i, j = i[apart], j[apart]
+        agreeing = (sig[i] == sig[j]).sum(axis=1)
+        near = agreeing >= AGREEING
+        left.append(i[near])
+        right.append(j[near])
+        weight.append(agreeing[near])
+        gap += 1
+    if left:
+        i, j = np.concatenate(left), np.concatenate(right)
+        used = spanning(i, j, np.concatenate(weight), np.unique(root, return_inverse=True)[1])
+        i, j = i[used], j[used]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], ["a", "b", "ra", "rb"])
+
+
+def _linked(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the groups of a tile, in rows (g, root, text), by the whole sets."""
+    g, root, text = cols
+    edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])).tolist()
+    forest, out = Forest(), []
+    for start, end in zip(edges, edges[1:]):
+        roots = root[start:end].tolist()
+        hashes, owner = shingle_hashes([words_of(t) for t in text[start:end]])
+        ids = np.unique(hashes, return_inverse=True)[1]
+        starts = np.searchsorted(owner, np.arange(end - start + 1))
+        sizes, mark = np.diff(starts), np.zeros(len(ids) + 1, bool)
+        for i in range(end - start - 1):
+            own = ids[starts[i] : starts[i + 1]]
+            mark[own] = True
+            common = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+            similar = 100 * common >= SIMILAR * (sizes[i] + sizes[i + 1 :] - common)
+            out += [(roots[i], roots[j]) for j in (np.flatnonzero(similar) + i + 1).tolist() if forest.join(roots[i], roots[j])]
+            mark[own] = False
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+_compare = _by_bucket(_near, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns[:4]] + [_matrix(b.column(4))])
+_settle = _by_bucket(_linked, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns])
 
 
 def _bands(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -238,12 +297,16 @@ def _bands(nodes: DataFrame, *columns: str) -> DataFrame:
     return nodes.select(*columns, F.explode(F.array(*keys)).alias("k"))
 
 
+def _with_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of nodes with their ``row``; of rows with the same id and text one is enough."""
+    return texts.join(nodes.select("node", "row"), "row").groupBy("node").agg(F.any_value("text").alias("text"))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of candidate pairs, by the shingles of the two texts."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-    # rows with the same id and text have the same key: one of them is enough
-    found = stored(texts.join(used, "row").groupBy("node").agg(F.any_value("text").alias("text")))
-    of_b = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    found = stored(_with_texts(used, texts))
+    of_b = pairs.select("a", "b").join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = of_b.join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
@@ -260,27 +323,55 @@ def first_pairs(nodes: DataFrame) -> DataFrame:
     return near.where(F.col("agreeing") >= AGREEING).select("a", "b")
 
 
-def further_pairs(nodes: DataFrame, roots: DataFrame, most: int = COMPARED_AT_ONCE) -> DataFrame:
-    """(a, b): pairs of a bucket in different groups, if sizes and signatures allow a link."""
-    root = F.coalesce("root", "node").alias("root")
-    grouped = stored(nodes.join(roots, "node", "left").select("node", root, "n", "sig"))
-    keyed = _bands(grouped, "node", "root")
-    by_root = keyed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("members"))
+def tiled(members: DataFrame, most: int) -> DataFrame:
+    """(g, node) of members (k, node, root, n) of buckets with several groups: each pair of different groups meets in a tile g.
+
+    The tiles of a bucket are (members outside its largest group) x (all members), dealt by hash, so that
+    one holds about ``most`` members and their shingles fit in memory; a small bucket is one tile.
+    """
+    by_root = members.groupBy("k", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
     buckets = by_root.groupBy("k").agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("members").alias("members"), F.max_by("root", "members").alias("main"), F.max("members").alias("in_main")
+        F.count(F.lit(1)).alias("groups"), F.sum("members").alias("members"), F.sum("n").alias("n"), F.max_by("root", "members").alias("main"),
+        F.sum("members").alias("all"), F.max("members").alias("largest"),
     )
-    buckets = buckets.where("groups > 1").drop("groups")
-    inside = keyed.join(buckets, "k")
-    # tiles of the members outside the main group, and of all members; a small bucket is one tile
-    outer = F.when(F.col("members") <= most, 1).otherwise(F.ceil(F.col("members") / (most // 2)))
-    inner = F.when(F.col("members") <= most, 0).otherwise(F.ceil((F.col("members") - F.col("in_main")) / (most // 2)))
-    inside = inside.select("k", "node", (F.col("root") != F.col("main")).alias("aside"), outer.cast("int").alias("outer"), inner.cast("int").alias("inner"))
+    # parts of half a tile: by members, or by shingles where texts are long
+    parts = lambda share: F.ceil(share * F.greatest(F.col("members") * 2 / most, F.col("n") * 2 / SHINGLES_AT_ONCE)).cast("int")
+    whole = (F.col("members") <= most) & (F.col("n") <= SHINGLES_AT_ONCE)
+    aside = F.greatest((F.col("all") - F.col("largest")) / F.col("all"), F.lit(0.0))
+    buckets = buckets.where("groups > 1").select("k", "main", F.when(whole, 1).otherwise(parts(F.lit(1.0))).alias("outer"), F.when(whole, 0).otherwise(parts(aside)).alias("inner"))
+    inside = members.select("k", "node", "root").join(buckets, "k").withColumn("aside", F.col("root") != F.col("main"))
     spot = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
     as_outer = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda i: F.xxhash64("k", i, spot(F.col("outer"), "outer")))
     as_inner = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: F.xxhash64("k", spot(F.col("inner"), "inner"), o))
     tiles = F.when(F.col("inner") == 0, F.array("k")).when(F.col("aside"), F.array_distinct(F.concat(as_outer, as_inner))).otherwise(as_outer)
-    placed = inside.select("node", F.explode(tiles).alias("g")).join(grouped, "node").select("g", "node", "root", "n", "sig")
-    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "a long, b long").distinct()
+    return inside.select("node", F.explode(tiles).alias("g"))
+
+
+def further_pairs(grouped: DataFrame, most: int = COMPARED_AT_ONCE) -> DataFrame:
+    """(a, b, ra, rb): pairs that connect all groups which share a bucket and whose sizes and signatures allow a link.
+
+    ``grouped`` has (node, root, n, sig). Only enough pairs to connect the groups come out, the likeliest first.
+    """
+    tiles = tiled(_bands(grouped, "node", "root", "n"), most)
+    placed = tiles.join(grouped, "node").select("g", "node", "root", "n", "sig")
+    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "a long, b long, ra long, rb long").distinct()
+
+
+def settled(grouped: DataFrame, families: DataFrame, texts: DataFrame, most: int = COMPARED_AT_ONCE) -> DataFrame:
+    """Links (a, b) between the groups of ``grouped`` (node, row, root, first, n) that one family (node, root) of ``first`` holds."""
+    inside = grouped.join(families.select(F.col("node").alias("first"), F.col("root").alias("k")), "first")
+    inside = stored(inside.select("k", "node", "row", "root", "n"))
+    tiles = stored(tiled(inside, most))
+    wanted = inside.join(tiles.select("node").distinct(), "node", "left_semi")
+    own = stored(_with_texts(wanted, texts).join(inside.select("node", "root"), "node"))
+    placed = tiles.join(own, "node").select("g", "root", "text")
+    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(_settle, "a long, b long").distinct()
+
+
+def _merged(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with the ``root`` that ``roots`` (node, root) has for theirs, if any."""
+    top = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return stored(nodes.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = COMPARED_AT_ONCE) -> DataFrame:
@@ -292,15 +383,18 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: in
     nodes = rows.where("n > 0").groupBy("s", "n", "sig").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     texts = docs.select(row, body.cast("binary").alias("text"))
-    links = stored(_confirmed(stored(first_pairs(nodes)), nodes, texts))
-    roots = stored(components(links))
-    more = stored(_confirmed(stored(further_pairs(nodes, roots, most)), nodes, texts))
-    # the groups are contracted once more by the links between them
+    # links with the least of each bucket, then the likeliest between the groups they make
+    grouped = _merged(nodes.withColumn("root", F.col("node")), components(_confirmed(stored(first_pairs(nodes)), nodes, texts)))
+    likely = stored(further_pairs(grouped.select("node", "root", "n", "sig"), most))
+    families = components(likely.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    roots = grouped.select("node", "root")
     of = lambda e: roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}"))
-    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = components(between.where("a != b").distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    rooted = nodes.select("s", "node", "least").join(roots, "node", "left").select("s", "least", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted.join(joined, "root", "left").select("s", "least", F.coalesce("top", "root").alias("root")))
+    links = _confirmed(likely, nodes, texts).join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    grouped = _merged(grouped.withColumn("first", F.col("root")), components(links))
+    # what is left: groups that may be linked, but not by their likeliest pair
+    rest = settled(grouped, families, texts, most)
+    rooted = _merged(grouped.select("s", "least", "root"), components(rest))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("s", "component_id")
-    out = rows.join(named, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    out = rows.join(named, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
     return out.withColumn("kept", (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

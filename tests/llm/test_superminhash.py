@@ -100,14 +100,51 @@ def test_matches_brute_force(spark, seed, most):
 
 
 def test_tiles_meet_every_pair_of_groups(spark):
-    """One bucket of many groups, far larger than a tile: all pairs of different groups come out."""
+    """Buckets of many groups, far larger than a tile: every pair of different groups meets."""
     n = 90
-    sig = np.full(128, 7, "<u2").tobytes()
-    nodes = spark.createDataFrame([(i, 10, sig) for i in range(n)], "node long, n long, sig binary")
-    roots = spark.createDataFrame([(i, 0) for i in range(50)], "node long, root long")
-    got = {tuple(r) for r in superminhash.further_pairs(nodes, roots, most=8).collect()}
     root = [0 if i < 50 else i for i in range(n)]
-    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j]}
+    rows = [(7, i, root[i], 10) for i in range(n)] + [(8, i, root[i], 10) for i in range(48, 52)] + [(9, i, 0, 10) for i in range(40)]
+    tiles = {}
+    for r in superminhash.tiled(spark.createDataFrame(rows, "k long, node long, root long, n long"), 8).collect():
+        tiles.setdefault(r.g, set()).add(r.node)
+    met = {(i, j) for t in tiles.values() for i in t for j in t if i < j}
+    assert met >= {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j]}
+    assert len(tiles) > 20 and max(map(len, tiles.values())) < 30
+
+
+def test_likely_pairs_are_a_forest(spark):
+    n = 90
+    sig = np.full(128, 7, "<u2").tobytes()
+    nodes = spark.createDataFrame([(i, 0 if i < 50 else i, 10, sig) for i in range(n)], "node long, root long, n long, sig binary")
+    for most in (8, 256):
+        forest = Forest()
+        for r in superminhash.further_pairs(nodes, most).collect():
+            assert r.ra != r.rb
+            forest.join(r.ra, r.rb)
+        assert {forest.find(0 if i < 50 else i) for i in range(n)} == {0}
+
+
+def test_likeliest_pairs_first():
+    """A centre that all resemble most becomes the hub."""
+    i, j = map(np.array, zip(*[(a, b) for a in range(6) for b in range(a + 1, 6)]))
+    weight = np.array([100 if 3 in (a, b) else 80 for a, b in zip(i, j)])
+    used = superminhash.spanning(i, j, weight, np.arange(6))
+    assert len(used) == 5 and (weight[used] == 100).all()
+
+
+def test_families_that_are_not_one_group(spark):
+    """Copies that resemble a centre and each other by less than it takes; the rest is settled by whole sets."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for k in rng.sample(range(120), rng.choice([6, 8, 10, 12])):
+            t[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (6, 256):
+        assert sorted(map(tuple, superminhash.groups(docs, most=most).collect()), key=repr) == brute(rows)
 
 
 def test_null_and_repeated_ids(spark):
