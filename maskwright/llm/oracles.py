@@ -126,3 +126,38 @@ SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_
   coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
 FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN named m ON m.node = n.node
 """
+
+# Every group against every kept term of its language.
+DIVERGENCE = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+terms AS (
+  SELECT row, lang, source, unnest(w) AS term FROM docs),
+kept AS (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term),
+own AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM dense),
+langs AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM whole),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+valued AS (
+  SELECT lang, source, part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN summed USING (lang, source, item)
+  UNION ALL SELECT o.lang, o.source, 'term', o.term, (p - q) * (p - q) // q FROM own o JOIN langs USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM valued)
+WHERE part = 'pair' OR rank <= 200
+"""

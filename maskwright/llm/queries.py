@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, crf, fingerprints, line_windows, mixing, oracles, ownership, periods, rules, suffixes, superminhash, surrogates, topk
+from maskwright.llm import bpe, crf, divergence, fingerprints, line_windows, mixing, oracles, ownership, periods, rules, suffixes, superminhash, surrogates, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +89,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@query("op11_source_divergence", oracles.DIVERGENCE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("op12_superminhash", oracles.NEAR_COPIES)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.groups(table(spark, sf_dir, "documents"))
