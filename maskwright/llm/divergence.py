@@ -7,10 +7,10 @@ documents, 8 bytes, 16 and so on, until only whole terms remain. A term shorter
 there, and counted as such.
 
 One pass over the texts feeds all levels. Within a document the distinct terms are sorted; a term shares
-some bytes with the one before it, and makes a new prefix only at levels beyond those. So the counts of
-(term, first level at which it is new) add up, over all terms of a prefix, to its number of distinct
-documents, and can be combined in the task, before anything is shuffled. The levels run over these
-counts, which a prefix that fails leaves for good.
+some bytes with the one before it, and makes a new prefix only at levels beyond those. So a term's counts
+of documents, by the first level at which it is new, add up, over all terms of a prefix, to its number of
+distinct documents, and can be combined in the task, before anything is shuffled. The levels run over
+these counts, which terms leave for good when their prefix fails, or when they are whole.
 
 Each language, and each of its sources, then has a probability for each kept term, in whole billionths.
 Sources are compared by f = (p - q)^2 / q, rounded down, summed over all kept terms. Terms that a source
@@ -28,7 +28,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
+from functools import reduce
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +41,8 @@ from maskwright.llm.common import column, stored
 LEAST_DOCUMENTS, BILLION, TOP = 3, 1_000_000_000, 200
 # bytes of the first prefix; each level doubles them
 FIRST_LEVEL = 4
-# counts that a task holds before it hands them on
-HELD = 500_000
+# terms that a task holds before it hands them on
+HELD = 300_000
 
 # Fixed value: bytes that terms consist of, upper case in lower case; all others part terms.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -74,52 +75,65 @@ def count_terms(text: bytes) -> Iterator[tuple[bytes, int, int]]:
         last = term
 
 
-_COUNTS = "lang binary, source binary, term binary, new_at int, documents long, occurrences long"
+_COUNTS = "lang binary, term binary, documents array<long>, sources array<binary>, occurrences array<long>"
+_TYPES = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by language, source, term and level, combined in the task; a null term marks a group that occurs."""
-    held: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    """Counts by language and term, combined in the task; a null term lists the sources that occur."""
+    held: dict[bytes, dict[bytes | None, tuple[list[int], dict[bytes, int]]]] = defaultdict(dict)
     names = [f.split()[0] for f in _COUNTS.split(", ")]
 
     def out() -> Iterator[pa.RecordBatch]:
-        keys, sums = list(held), list(held.values())
+        for lang, terms in held.items():
+            rows = iter(terms.items())
+            while part := list(islice(rows, 50_000)):
+                documents, sources = [d for _, (d, _) in part], [s for _, (_, s) in part]
+                cols = [[lang] * len(part), [t for t, _ in part], documents, [list(s) for s in sources], [list(s.values()) for s in sources]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names)
         held.clear()
-        for at in range(0, len(keys), 50_000):
-            parts = list(zip(*keys[at : at + 50_000])) + list(zip(*sums[at : at + 50_000]))
-            types = [pa.binary()] * 3 + [pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, types)], names)
 
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            held[lang, source, None, 0][0] += 1
+            terms = held[lang]
+            terms.setdefault(None, ([], {}))[1][source] = 0
             for term, level, n in count_terms(text):
-                sums = held[lang, source, term, level]
-                sums[0] += 1
-                sums[1] += n
-            if len(held) > HELD:
+                found = terms.get(term)
+                if found is None:
+                    found = terms[term] = ([], {})
+                documents, sources = found
+                while len(documents) <= level:
+                    documents.append(0)
+                documents[level] += 1
+                sources[source] = sources.get(source, 0) + n
+            if sum(map(len, held.values())) > HELD:
                 yield from out()
     yield from out()
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, new_at, documents, occurrences), combined by task only: one key may have several rows."""
+    """(lang, term, documents by level, sources, occurrences), combined by task only: one key may have several rows."""
     read = [F.coalesce(column(docs, c).cast("string"), F.lit("")).cast("binary").alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))]
     return docs.select(*read).mapInArrow(_count, _COUNTS)
 
 
 def refined(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """The rows of ``counts`` whose term stands in at least ``least`` documents of its language."""
-    kept = counts.where("term IS NOT NULL")
+    """(lang, term) of the terms of ``counts`` that stand in at least ``least`` documents of their language."""
+    going, kept = counts.where("term IS NOT NULL").select("lang", "term", "documents"), []
     for level in count():
         size = FIRST_LEVEL << level
-        prefix = F.substring("term", 1, size).alias("prefix")
-        whole = F.octet_length("term") < size
-        new = F.when(whole | (F.col("new_at") <= level), F.col("documents")).otherwise(0)
-        frequent = kept.groupBy("lang", prefix).agg(F.sum(new).alias("documents")).where(F.col("documents") >= least)
-        kept = stored(kept.withColumn("prefix", prefix).join(frequent.select("lang", "prefix"), ["lang", "prefix"], "left_semi").drop("prefix"))
-        if kept.where(~whole).isEmpty():
-            return kept
+        added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+        new = F.when(F.octet_length("term") < size, added(F.col("documents"))).otherwise(added(F.slice("documents", 1, level + 1)))
+        prefixed = going.select("*", F.substring("term", 1, size).alias("prefix"))
+        counted_ = prefixed.groupBy("lang", "prefix").agg(F.sum(new).alias("n"))
+        frequent = stored(counted_.where(F.col("n") >= least).select("lang", "prefix"))
+        # a prefix below the level's size is a whole term
+        whole = F.octet_length("prefix") < size
+        kept.append(frequent.where(whole).select("lang", F.col("prefix").alias("term")))
+        longer = frequent.where(~whole)
+        if longer.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+        going = stored(prefixed.where(~whole).join(longer, ["lang", "prefix"], "left_semi").drop("prefix"))
 
 
 def _probability(n: Column, total: Column, terms: Column) -> Column:
@@ -174,14 +188,15 @@ def _by_pair(spread: DataFrame, groups: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` compares a source with the others of its language, ``term`` with the language."""
     counts = stored(counted(docs, text, lang, source))
-    kept = refined(counts)
-    by_source = kept.groupBy("lang", "source", "term").agg(F.sum("occurrences").alias("n"))
+    listed = counts.where("term IS NOT NULL").join(stored(refined(counts)), ["lang", "term"], "left_semi")
+    each = listed.select("lang", "term", F.explode(F.arrays_zip("sources", "occurrences")).alias("s"))
+    by_source = each.groupBy("lang", "term", F.col("s.sources").alias("source")).agg(F.sum("s.occurrences").alias("n"))
     texts = [F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")]
     by_source = stored(by_source.select(*texts, "n"))
     by_lang = by_source.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     langs = by_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = by_source.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    occurring = counts.where("term IS NULL").select(*texts[:2]).distinct()
+    occurring = counts.where("term IS NULL").select("lang", F.explode("sources").alias("source")).select(*texts[:2]).distinct()
     groups = occurring.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "held", "terms", "lang_total"])
     p0 = F.when(F.col("terms") > 0, _probability(F.lit(0), F.col("total"), F.col("terms"))).otherwise(1).alias("p0")
     groups = stored(groups.select("*", p0))

@@ -49,7 +49,7 @@ REGISTERS, BAND = 128, 4
 # registers that must agree before two sets are compared
 AGREEING = 77
 # words that are hashed together; members that one task compares with one another
-WORDS_AT_ONCE, COMPARED_AT_ONCE = 1 << 16, 256
+WORDS_AT_ONCE, COMPARED_AT_ONCE = 1 << 16, 1024
 # shingles of the members that one task compares whole
 SHINGLES_AT_ONCE = 4_000_000
 

@@ -90,7 +90,7 @@ def test_signatures_estimate_similarity_with_less_variance():
     assert np.var(errors) < 0.9 * (80 / 120) * (40 / 120) / 128
 
 
-@pytest.mark.parametrize("seed,most", [(1, 256), (2, 4), (3, 256)])
+@pytest.mark.parametrize("seed,most", [(1, 1024), (2, 4)])
 def test_matches_brute_force(spark, seed, most):
     rows = [(i * 7 % 1009, t) for i, t in enumerate(corpus(seed))]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string").repartition(4)
