@@ -29,8 +29,9 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count, islice
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,74 +42,95 @@ from maskwright.llm.common import column, stored
 LEAST_DOCUMENTS, BILLION, TOP = 3, 1_000_000_000, 200
 # bytes of the first prefix; each level doubles them
 FIRST_LEVEL = 4
-# terms that a task holds before it hands them on
-HELD = 300_000
+# terms, by source, that a task holds before it hands them on, and rows of a batch
+HELD, ROWS_AT_ONCE = 1_500_000, 20_000
 
 # Fixed value: bytes that terms consist of, upper case in lower case; all others part terms.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def level_of(shared: int) -> int:
-    """First level whose prefix is longer than the shared bytes."""
-    return max(0, (shared // FIRST_LEVEL).bit_length())
+def level_of(last: bytes, term: bytes) -> int:
+    """First level at which the prefixes of two different terms differ."""
+    level, size = 0, FIRST_LEVEL
+    while last[:size] == term[:size]:
+        level, size = level + 1, 2 * size
+    return level
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Bytes with which both begin."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n  # equal up to low, not up to high
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
-    return low
-
-
-def count_terms(text: bytes) -> Iterator[tuple[bytes, int, int]]:
-    """(term, first level at which its prefix is new in the document, occurrences), by term."""
-    counts = Counter(text.translate(_LETTERS).split())
-    last = b""
-    for i, term in enumerate(sorted(counts)):
-        shared = 0 if i == 0 or term[:FIRST_LEVEL] != last[:FIRST_LEVEL] else _shared(last, term)
-        yield term, level_of(shared) if shared >= FIRST_LEVEL else 0, counts[term]
-        last = term
+def new_terms(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(level, terms): the distinct words of a document by the first level at which their prefix is new in it."""
+    terms = sorted(set(words))
+    starts = [t[:FIRST_LEVEL] for t in terms]
+    same = [i for i in range(1, len(terms)) if starts[i] == starts[i - 1]]
+    later: dict[int, list[bytes]] = defaultdict(list)
+    for i in same:
+        later[level_of(terms[i - 1], terms[i])].append(terms[i])
+    repeated = {t for ts in later.values() for t in ts}
+    yield 0, [t for t in terms if t not in repeated] if repeated else terms
+    yield from later.items()
 
 
 _COUNTS = "lang binary, term binary, documents array<long>, sources array<binary>, occurrences array<long>"
-_TYPES = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+_LONGS = pa.list_(pa.int64())
+_ROW = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("documents", _LONGS), ("sources", pa.list_(pa.binary())), ("occurrences", _LONGS)])
+
+
+class Held:
+    """Counts of a language in a task: documents by level and term, occurrences by source and term."""
+
+    def __init__(self) -> None:
+        self.documents: dict[int, Counter] = defaultdict(Counter)
+        self.occurrences: dict[bytes, Counter] = defaultdict(Counter)
+
+    def add(self, source: bytes, words: list[bytes]) -> None:
+        self.occurrences[source].update(words)
+        for level, terms in new_terms(words):
+            self.documents[level].update(terms)
+
+    def rows(self, lang: bytes) -> Iterator[pa.RecordBatch]:
+        """A row a term; one with a null term lists the sources."""
+        number = {t: i for i, t in enumerate(set().union(*self.documents.values()))}
+        place = lambda terms: np.fromiter(map(number.__getitem__, terms), np.int64, len(terms))
+        by_level = np.zeros((len(number), max(self.documents, default=0) + 1), np.int64)
+        for level, terms in self.documents.items():
+            by_level[place(terms), level] = np.fromiter(terms.values(), np.int64, len(terms))
+        names, sources = list(self.occurrences), list(self.occurrences.values())
+        term = np.concatenate([place(c) for c in sources])
+        source = np.repeat(np.arange(len(names)), [len(c) for c in sources])
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources])
+        order = np.argsort(term, kind="stable")
+        ends = np.searchsorted(term[order], np.arange(len(number) + 1)).astype(np.int32)
+        width = by_level.shape[1]
+        yield pa.RecordBatch.from_pylist([{"lang": lang, "sources": names, "documents": [], "occurrences": [0] * len(names)}], _ROW)
+        cols = [
+            pa.repeat(pa.scalar(lang, pa.binary()), len(number)),
+            pa.array(list(number), pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * np.int32(width)), pa.array(by_level.ravel())),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(names, pa.binary()).take(pa.array(source[order]))),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(n[order])),
+        ]
+        table = pa.RecordBatch.from_arrays(cols, schema=_ROW)
+        for at in range(0, len(number), ROWS_AT_ONCE):
+            yield table.slice(at, ROWS_AT_ONCE)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by language and term, combined in the task; a null term lists the sources that occur."""
-    held: dict[bytes, dict[bytes | None, tuple[list[int], dict[bytes, int]]]] = defaultdict(dict)
-    names = [f.split()[0] for f in _COUNTS.split(", ")]
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, terms in held.items():
-            rows = iter(terms.items())
-            while part := list(islice(rows, 50_000)):
-                documents, sources = [d for _, (d, _) in part], [s for _, (_, s) in part]
-                cols = [[lang] * len(part), [t for t, _ in part], documents, [list(s) for s in sources], [list(s.values()) for s in sources]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names)
-        held.clear()
-
+    """Counts by language and term, combined in the task."""
+    held: dict[bytes, Held] = defaultdict(Held)
+    size = 0
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            terms = held[lang]
-            terms.setdefault(None, ([], {}))[1][source] = 0
-            for term, level, n in count_terms(text):
-                found = terms.get(term)
-                if found is None:
-                    found = terms[term] = ([], {})
-                documents, sources = found
-                while len(documents) <= level:
-                    documents.append(0)
-                documents[level] += 1
-                sources[source] = sources.get(source, 0) + n
-            if sum(map(len, held.values())) > HELD:
-                yield from out()
-    yield from out()
+            own = held[lang]
+            before = len(own.occurrences[source])
+            own.add(source, text.translate(_LETTERS).split())
+            size += len(own.occurrences[source]) - before
+            if size > HELD:
+                for name, counts in held.items():
+                    yield from counts.rows(name)
+                held.clear()
+                size = 0
+    for name, counts in held.items():
+        yield from counts.rows(name)
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -66,12 +66,11 @@ def test_levels_count_distinct_documents():
         got, want = Counter(), Counter()
         for t in texts:
             want.update({w[:size] for w in t.encode().split() if len(w) >= size})
-            for term, new_at, _ in divergence.count_terms(t.encode()):
-                if len(term) >= size and new_at <= level:
-                    got[term[:size]] += 1
+            for new_at, terms in divergence.new_terms(t.encode().split()):
+                got.update(term[:size] for term in terms if len(term) >= size and new_at <= level)
         assert got == want and want
     for n in range(70):
-        assert divergence.level_of(n) == next(i for i in range(9) if 4 << i > n)
+        assert divergence.level_of(b"a" * n, b"a" * n + b"b") == next(i for i in range(9) if 4 << i > n)
 
 
 def test_refinement_keeps_exactly_the_frequent_terms(spark):
