@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans, validators
+from maskwright.functions.candidates import SHAPES, candidates
 from maskwright.plans import detect_sql as D
 from maskwright.plans.registry import query
 from maskwright.sources.files import spread
@@ -152,19 +153,19 @@ def u_types(t):
     return df.select("source", F.explode_outer(spans.types_of(F.col("matches"))).alias("type")).filter("type IS NOT NULL").distinct()
 
 
-# --- validators over a column of candidates: digits and letters cut out of the corpus ---------
+# --- validators over the candidates of their kind in the corpus -------------------------------
 
-# whole runs of letters, digits and separators that hold a digit, so spaced and dotted forms stay together
-_CANDIDATE = r"[+(]?[A-Za-z]{0,2}[0-9][0-9A-Za-z]*(?:[ ./()+-]{1,2}[0-9][0-9A-Za-z]*)*"
-_CAND_SQL = {
-    "corpus": D.SEEDED,
-    "cand": f"SELECT DISTINCT unnest(regexp_extract_all(text, '{_CANDIDATE}')) AS value FROM corpus",
-}
-
-
-def _candidates(t):
-    found = F.explode(F.regexp_extract_all("text", F.lit(_CANDIDATE), F.lit(0)))
-    return seeded(t.documents).select(found.alias("value")).distinct()
+def _candidate_sql(shape):
+    """Any stretch of whole pieces of letters and digits, and what stands between them, that fits the shape from end to end."""
+    group, first = ("[A-Za-z0-9]+", "[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]*") if shape.account else ("[0-9]+", "[0-9]+")
+    return {
+        "corpus": D.SEEDED,
+        "pieces": "SELECT row_number() OVER () AS r, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS p FROM corpus",
+        "begins": f"SELECT r, p, i FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM pieces) WHERE regexp_full_match(p[i], '{first}')",
+        "stretches": f"SELECT array_to_string(p[i:j], '') AS value FROM (SELECT p, i, unnest(range(i, least(i + {2 * shape.most}, len(p) + 1), 2)) AS j FROM begins)",
+        "cand": f"SELECT DISTINCT value FROM stretches WHERE regexp_full_match(value, '{first}({shape.parts}{group})*') "
+        f"AND length(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) BETWEEN {shape.least} AND {shape.most}",
+    }
 
 
 for _name, _check, _sql in [
@@ -177,9 +178,11 @@ for _name, _check, _sql in [
     ("phone_digits_valid", "phone", D.phone),
 ]:
 
-    @query(_name, f"SELECT value, {_sql('value')} AS valid FROM cand", _CAND_SQL)
+    @query(_name, f"SELECT value, {_sql('value')} AS valid FROM cand", _candidate_sql(SHAPES[_check]))
     def _job(t, check=_check):
-        return _candidates(t).select("value", validators.column(check, "value").alias("valid"))
+        """Each different candidate of the kind in the corpus, and whether it is valid."""
+        found = seeded(t.documents).select(F.explode(candidates(check, F.col("text"))).alias("value")).distinct()
+        return found.select("value", validators.column(check, "value").alias("valid"))
 
 
 @query(
