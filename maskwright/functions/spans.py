@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.automaton import find_terms
 from maskwright.functions.patterns import CUSTOM_ORD, CUSTOM_TERM, DIGIT_CONTEXT, PACKS, Detector
 from maskwright.functions.validators import CHECKS_SQL
 
@@ -163,11 +164,33 @@ def terms_sql(text: str, terms: str, lowered: str | None = None) -> str:
         IF(coalesce(term, '') = '' OR NOT contains({low}, lower(term)), {NO_SPANS}, {values_sql(t, placed)})))"""
 
 
+# lists up to this size are tried term by term
+SHORT_LIST = 64
+
+
+def many_terms_sql(text: str, terms: str, hits: str) -> str:
+    """Spans of the places that ``hits`` (term, start) lists; term by term where it is NULL."""
+    hit = _span_sql("h.start", f"length({terms}[h.i])", f"{CUSTOM_ORD} + h.i", CUSTOM_TERM, "CAST(NULL AS STRING)", None)
+    found = values_sql(f"coalesce({text}, '')", f"array_sort(transform({hits}, h -> {hit}))")
+    return f"IF({hits} IS NULL, {terms_sql(text, terms)}, {found})"
+
+
+def with_term_hits(df: DataFrame, text: str, terms: str, name: str) -> DataFrame:
+    """``df`` plus the places of the terms of long lists, found in one pass; NULL where the list is short.
+
+    A list travels with its row, as one string; a worker builds its automaton once. A term that holds a
+    NUL, which parts terms, leaves its list to be tried term by term.
+    """
+    long = f"coalesce(size({terms}), 0) > {SHORT_LIST} AND NOT exists({terms}, t -> contains(coalesce(t, ''), '\\0'))"
+    listed = F.expr(f"IF({long}, array_join(transform({terms}, t -> lower(coalesce(t, ''))), '\\0'), CAST(NULL AS STRING))")
+    return df.withColumn(name, find_terms(F.expr(f"IF({long}, lower(coalesce({text}, '')), CAST(NULL AS STRING))"), listed))
+
+
 def values_sql(text: str, placed: str) -> str:
-    """Fill in the values of spans that are in order; the text is cut once per block of spans."""
+    """Fill in the values of spans that are in order of their starts; the text is cut once per block of spans."""
     block = f"slice(bare, b * {BLOCK} + 1, {BLOCK})"
     offset = f"bare[b * {BLOCK}].start"
-    cut = f"substr({text}, {offset} + 1, element_at({block}, -1).end - {offset})"
+    cut = f"substr({text}, {offset} + 1, array_max(transform({block}, m -> m.end)) - {offset})"
     filled = (
         "named_struct('start', m.start, 'ord', m.ord, 'end', m.end, 'type', m.type, "
         f"'value', substr(cut, m.start - {offset} + 1, m.end - m.start), 'country', m.country)"
@@ -251,13 +274,19 @@ def with_matches(
     pack: str = "server",
     terms: str | None = None,
     switches: str | None = None,
+    many_terms: bool = False,
 ) -> DataFrame:
-    """Staged form of :func:`detect` for corpora: ``df`` plus ``matches``."""
+    """Staged form of :func:`detect` for corpora: ``df`` plus ``matches``.
+
+    ``many_terms``: lists may be long, as stored ones of tenants; they are then looked for in one pass.
+    """
     staged = with_raw_and_matches(df, text, types, pack, switches=switches).drop("raw")
     if terms is None:
         return staged
-    merged = merge_sql("matches", terms_sql(text, terms))
-    return staged.selectExpr(*df.columns, f"{_once(merged)} AS matches")
+    if many_terms:
+        staged = with_term_hits(staged, text, terms, "_hits")
+    custom = many_terms_sql(text, terms, "_hits") if many_terms else terms_sql(text, terms)
+    return staged.selectExpr(*df.columns, f"{_once(merge_sql('matches', custom))} AS matches")
 
 
 def types_of(matches: Column) -> Column:

@@ -21,15 +21,16 @@ def scan(
     mode: str = "tag",
     redact: bool = True,
     switches: str | None = None,
+    many_terms: bool = False,
 ) -> DataFrame:
     """``df`` plus matches, detected_types, action, clean and (unless off) redacted.
 
     ``terms``, ``rules`` and ``switches`` (types on or off) name columns, so every row may carry its
     tenant's own policy. Matches
     are built-in spans merged with term spans; because merged spans may overlap, the redaction
-    uses their resolved union. One stage, no shuffle.
+    uses their resolved union. One stage, no shuffle. ``many_terms`` says that term lists may be long.
     """
-    out = spans.with_matches(df, text, types, pack, terms, switches)
+    out = spans.with_matches(df, text, types, pack, terms, switches, many_terms)
     out = out.withColumn("detected_types", spans.types_of(F.col("matches")))
     verdict = policy.action_of(F.col("detected_types"), F.col(rules) if rules else None)
     out = out.withColumn("action", verdict).withColumn("clean", F.size("matches") == 0)
@@ -65,7 +66,7 @@ def scan_project(
     rules = policy.effective_rules(F.col("own_rules"), asked)
     terms = policy.effective_terms(F.col("own_terms"), F.array(*map(F.lit, request_terms)))
     good = called.filter("error_code IS NULL").withColumn("rules", rules).withColumn("terms", terms)
-    done = scan(good, terms="terms", rules="rules", redact=False)
+    done = scan(good, terms="terms", rules="rules", redact=False, many_terms=True)
     n_chars = F.length(F.coalesce("text", F.lit("")))
     logged = done.select(
         *(c for c in called.columns if c not in ("text", "own_rules", "own_terms")),

@@ -359,7 +359,7 @@ def j_org_rules(t):
     """
     docs = _docs(t).withColumn("org_id", F.col("doc_id") % 25)
     owned = policy.with_tenant_policy(docs, t.org_config)
-    df = S.scan(owned, terms="terms", rules="rules", redact=False)
+    df = S.scan(owned, terms="terms", rules="rules", redact=False, many_terms=True)
     return df.select("doc_id", "org_id", F.size("matches").cast("long").alias("n_matches"), "action")
 
 
