@@ -180,25 +180,36 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, f, component_id) of every row: its fingerprint, and the smallest id of its component."""
-    named = stored(docs.select(column(docs, doc_id).alias("doc_id"), fingerprint(column(docs, text)).alias("f")))
+def _rooted(named: DataFrame, radius: int) -> DataFrame:
+    """(f, root, component_id) of every fingerprint of ``named`` (doc_id, f)."""
     nodes = stored(named.groupBy("f").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("f"), radius))
     joined = nodes.join(roots, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = stored(joined.join(least, "root").select("f", "component_id"))
-    return named.join(by_node, "f").select("doc_id", "f", "component_id")
+    return stored(joined.join(least, "root").select("f", "root", "component_id"))
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, f, component_id) of every row: its fingerprint, and the smallest id of its component."""
+    named = stored(docs.select(column(docs, doc_id).alias("doc_id"), fingerprint(column(docs, text)).alias("f")))
+    return named.join(_rooted(named, radius).drop("root"), "f").select("doc_id", "f", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id. Rows without an id stay."""
-    grouped = groups(docs, doc_id, text, radius)
-    keep = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """``docs`` with one row of each component: that of the smallest id, null ids last, then by a hash of the text.
+
+    The id does not name the row, for ids may repeat or be null: rows go by a hash of id and text.
+    """
+    ids, body = column(docs, doc_id), column(docs, text)
+    named = stored(docs.select(ids.alias("doc_id"), F.xxhash64(body).alias("h"), F.xxhash64(ids, body).alias("row"), fingerprint(body).alias("f")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row")).getField("row").alias("kept_row")
+    keep = named.join(_rooted(named, radius), "f").groupBy("root").agg(first).select("kept_row")
     rows, row = packed(docs), F.col("row")
-    first = Window.partitionBy("kept_id").orderBy(F.xxhash64(row.getField(text)))
-    kept = rows.join(keep, row.getField(doc_id) == F.col("kept_id")).select("row", F.row_number().over(first).alias("n")).where("n = 1")
-    return unpacked(kept.select("row").unionByName(rows.where(row.getField(doc_id).isNull())), docs.columns)
+    kept = rows.join(keep, F.xxhash64(row.getField(doc_id), row.getField(text)) == F.col("kept_row"))
+    # rows with the same id and text are copies of one another
+    copies = Window.partitionBy("kept_row").orderBy(F.lit(0))
+    kept = kept.select("row", "kept_row", F.row_number().over(copies).alias("n")).where("n = 1")
+    return unpacked(kept.select("row"), docs.columns)
 
 
 def as_hex(f: Column) -> Column:

@@ -416,3 +416,27 @@ def test_both_replays_agree(reference_encoding):
 
 def test_fingerprint_bits_by_groups():
     assert [k for k, _ in groupby(sorted(brute_components([0, 1, 3, 7, 0xFF00])))] == [0, 4]
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """One row of every component by brute force, whatever the ids are."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(12)]
+    texts += [t + " tail" for t in texts[:6]] + [None, ""]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1])]
+    rows += [(rng.choice([None, None, 1, 2, 3, 4, 5]), rng.choice(texts)) for _ in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = [fingerprints.fingerprint_text((t or "").encode()) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = [(r.doc_id, fingerprints.fingerprint_text((r.text or "").encode())) for r in fingerprints.keep_one(docs).collect()]
+    of = {p: r for p, r in zip(prints, root)}
+    assert sorted(of[p] for _, p in kept) == sorted(set(root))
+    for doc_id, p in kept:
+        ids = [d for (d, _), r in zip(rows, root) if r == of[p] and d is not None]
+        assert doc_id == (min(ids) if ids else None)
