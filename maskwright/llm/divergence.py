@@ -2,8 +2,8 @@
 
 A term is a longest run of letters A-Z, in either case, and characters beyond ASCII; only A-Z are
 lower-cased. A language keeps the terms that stand in at least three of its documents (rows). Which ones
-these are is found by byte prefixes: prefixes of 4 bytes first, then, of terms whose prefix is in enough
-documents, 8 bytes, 16 and so on, until only whole terms remain. A term shorter than a level is whole
+these are is found by byte prefixes: prefixes of 8 bytes first, then, of terms whose prefix is in enough
+documents, 16 bytes, 32 and so on, until only whole terms remain. A term shorter than a level is whole
 there, and counted as such.
 
 One pass over the texts feeds all levels. Within a document the distinct terms are sorted; a term shares
@@ -41,7 +41,7 @@ from maskwright.llm.common import column, stored
 # Documents that a kept term needs, parts of a whole, ranks of the terms that are listed.
 LEAST_DOCUMENTS, BILLION, TOP = 3, 1_000_000_000, 200
 # bytes of the first prefix; each level doubles them
-FIRST_LEVEL = 4
+FIRST_LEVEL = 8
 # terms, by source, that a task holds before it hands them on, and rows of a batch
 HELD, ROWS_AT_ONCE = 1_500_000, 20_000
 
@@ -159,10 +159,12 @@ def refined(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
 
 def _probability(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 1) / (total + terms)), exact."""
+    """1 + floor(10^9 (n + 1) / (total + terms)), exact: by longs while the product fits, else by decimals."""
     wide = lambda c: c.cast("decimal(28,0)")
+    n, total, terms = (c.cast("long") for c in (n, total, terms))
     parts = (wide(n) + 1) * F.lit(BILLION).cast("decimal(10,0)")
-    return 1 + F.call_function("div", parts.cast("decimal(38,0)"), (wide(total) + wide(terms)).cast("decimal(38,0)"))
+    exact = F.call_function("div", parts.cast("decimal(38,0)"), (wide(total) + wide(terms)).cast("decimal(38,0)"))
+    return 1 + F.when(n < BILLION, F.call_function("div", (n + 1) * BILLION, total + terms)).otherwise(exact)
 
 
 def _term_value(p: Column, q: Column) -> Column:

@@ -61,8 +61,8 @@ def corpus(seed):
 def test_levels_count_distinct_documents():
     """Per prefix, rows that are new at a level add up to the documents that hold it."""
     rng = random.Random(4)
-    texts = [" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(0, 25))) for _ in range(60)]
-    for level, size in enumerate((4, 8, 16)):
+    texts = [" ".join("".join(rng.choice("aaaaaaab") for _ in range(rng.choice([2, 9, 16, 17, 33]))) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    for level, size in enumerate(divergence.FIRST_LEVEL << i for i in range(3)):
         got, want = Counter(), Counter()
         for t in texts:
             want.update({w[:size] for w in t.encode().split() if len(w) >= size})
@@ -70,7 +70,7 @@ def test_levels_count_distinct_documents():
                 got.update(term[:size] for term in terms if len(term) >= size and new_at <= level)
         assert got == want and want
     for n in range(70):
-        assert divergence.level_of(b"a" * n, b"a" * n + b"b") == next(i for i in range(9) if 4 << i > n)
+        assert divergence.level_of(b"a" * n, b"a" * n + b"b") == next(i for i in range(9) if divergence.FIRST_LEVEL << i > n)
 
 
 def test_refinement_keeps_exactly_the_frequent_terms(spark):
@@ -99,6 +99,8 @@ def test_large_counts_are_exact(spark):
     n, total, terms = 10**12 + 1, 3 * 10**13 + 7, 10**6
     got = spark.range(1).select(divergence._probability(F.lit(n), F.lit(total), F.lit(terms)).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 1) // (total + terms)
+    got = spark.range(1).select(divergence._probability(F.lit(10**9 - 1), F.lit(10**9), F.lit(3)).alias("p")).first().p
+    assert got == 1 + 10**9 * 10**9 // (10**9 + 3)
     p, q = 10**9 + 1, 3
     assert spark.range(1).select(divergence._term_value(F.lit(p).cast("long"), F.lit(q).cast("long")).alias("f")).first().f == (p - q) ** 2 // q
 
