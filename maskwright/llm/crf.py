@@ -240,9 +240,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, characters: int = 2000, languages: int = 200
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, characters: int = 2000
 ) -> Model:
-    """Train on about ``per_language`` documents of each of the most frequent ``languages``, chosen by hash.
+    """Train on about ``per_language`` documents of every language, chosen by hash.
 
     Of each, one piece of ``characters`` from a hashed place is used. Held-out rows, and rows without an
     id, a text or a language, are left out. Counts by language are what else reaches the driver.
@@ -250,7 +250,7 @@ def learn(
     d, t = column(docs, doc_id), column(docs, text)
     usable = docs.where(d.isNotNull() & t.isNotNull() & column(docs, lang).isNotNull() & ~held_out(d))
     known = usable.select(d.alias("d"), column(docs, lang).alias("lang"), t.alias("t"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return train([], [])
     scale = 1 << 30
