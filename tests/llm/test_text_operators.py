@@ -371,6 +371,41 @@ def test_surrogates_take_the_kinds_of_the_catalogue(spark):
     assert "Stone" not in text[9] and [r.surrogates.n_entities for r in rows] == [1] * 14 + [2, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1]
 
 
+def test_surrogates_in_capitals_and_accounts_in_lower_case(spark):
+    texts = [
+        "Mr John Smith paid. SMITH and JOHN came; de89 3704 0044 0532 0130 00, DE89370400440532013000, gb82 west 1234 5698 7654 32.",
+        "Mrs SMITH, is25 year olds have been here, ab12 some more word than that",
+    ]
+    rows = surrogates.replace(table(spark, texts), "k").orderBy("doc_id").collect()
+    m = re.fullmatch(r"Mr (\w+) (\w+) paid\. (\w+) and (\w+) came; (de\d\d(?: \d{4}){4} \d\d), (DE\d{20}), (gb\d\d [a-z]{4}(?: \d{4}){3} \d\d)\.", rows[0].surrogates.text)
+    assert (m[3], m[4]) == (m[2].upper(), m[1].upper()) and m[2] != "Smith" and m[1] != "John"
+    assert m[5].replace(" ", "").upper() == m[6] != "DE89370400440532013000" and "west" not in m[7]
+    for account in (m[6], m[7].replace(" ", "").upper()):
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert rows[1].surrogates.text == f"Mrs {m[3]}{texts[1][9:]}" and [r.surrogates.n_entities for r in rows] == [6, 1]
+
+
+def test_surrogates_of_a_format_that_runs_out(spark):
+    """Twelve ids share a form of ten values or less: all surrogates differ all the same."""
+    few = [("phone", f"+1{i}") for i in range(10)]
+    got = surrogates.assign(spark.createDataFrame(few, "kind string, norm string"), "k").collect()
+    assert len(got) == 10 == len({r.surrogate for r in got}) and not {r.norm for r in got} & {r.surrogate for r in got}
+
+
+def test_search_of_long_repetitions_ends(spark):
+    """Every alternative on long runs, found or not, and both patterns alike on texts without @."""
+    n = 20_000
+    runs = ["Mr " * n + "Smith.", "Mr\n" * n + "A", "Mr " + "Smith " * n, "Anna " * n, "Anna-" * n + "B", "Mr O" + "'Brien" * n, "Mr " + "J." * n + " Hahn", "Mr van der " * n]
+    runs += ["a." * n + "@b.c", "a@" + "b." * n, "a." * n, "1" * n, "1 " * n, "1-" * n, "1." * n, "+" + "12 " * n, "password=" + "x" * n, "password" + " " * n, "Bearer " + "x" * n]
+    runs += ["xoxb-1-" + "a-" * n, "DE89" + "3704" * n, "de89" + " 3704" * n, "(123)" * n, "born " * n, "12 Main " * n, "Mr" + " " * n + "Smith", "A" * n, "Mr " + "\u0301A" * n]
+    docs = spark.createDataFrame([(t,) for t in runs + odd_texts()[1:]], "text string").repartition(8)
+    find = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    rows = docs.select("text", surrogates.searched(F.col("text"), find).alias("found"), find(surrogates.PATTERN).alias("whole")).collect()
+    assert len(rows) == docs.count() and all(r.found == r.whole for r in rows)
+    by_text = {r.text: r.found for r in rows}
+    assert by_text[runs[0]] == ["Mr " * 9 + "Smith"] and by_text[runs[1]] == by_text[runs[4]] == [] and by_text[runs[2]] == [runs[2].rstrip()]
+
+
 def test_surrogates_stay_distinct(spark):
     """More hosts than one block of addresses, and all names of a lexicon, get different surrogates."""
     hosts = [("host", f"192.168.{i // 250}.{i % 250}") for i in range(1500)]
