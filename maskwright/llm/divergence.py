@@ -57,16 +57,16 @@ def level_of(last: bytes, term: bytes) -> int:
     return level
 
 
-def new_terms(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def new_terms(words: list[bytes]) -> Iterator[tuple[int, set[bytes]]]:
     """(level, terms): the distinct words of a document by the first level at which their prefix is new in it."""
-    terms = sorted(set(words))
-    starts = [t[:FIRST_LEVEL] for t in terms]
-    same = [i for i in range(1, len(terms)) if starts[i] == starts[i - 1]]
-    later: dict[int, list[bytes]] = defaultdict(list)
-    for i in same:
-        later[level_of(terms[i - 1], terms[i])].append(terms[i])
-    repeated = {t for ts in later.values() for t in ts}
-    yield 0, [t for t in terms if t not in repeated] if repeated else terms
+    terms = set(words)
+    # a shorter term is its own first prefix, which no other term has
+    long = sorted(t for t in terms if len(t) >= FIRST_LEVEL)
+    later: dict[int, set[bytes]] = defaultdict(set)
+    for last, term in zip(long, long[1:]):
+        if last[:FIRST_LEVEL] == term[:FIRST_LEVEL]:
+            later[level_of(last, term)].add(term)
+    yield 0, terms.difference(*later.values())
     yield from later.items()
 
 
@@ -216,15 +216,17 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     each = listed.select("lang", "term", F.explode(F.arrays_zip("sources", "occurrences")).alias("s"))
     by_source = each.groupBy("lang", "term", F.col("s.sources").alias("source")).agg(F.sum("s.occurrences").alias("n"))
     texts = [F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")]
-    by_source = stored(by_source.select(*texts, "n"))
-    by_lang = by_source.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    langs = by_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
+    # rows of a term are together already; one of them stands for it
+    of_term = Window.partitionBy("lang", "term")
+    by_source = by_source.withColumns({"lang_n": F.sum("n").over(of_term), "first": F.min("source").over(of_term) == F.col("source")})
+    by_source = stored(by_source.select(*texts, "n", "lang_n", "first"))
+    langs = by_source.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("terms"), F.sum("n").alias("lang_total"))
     totals = by_source.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
     occurring = counts.where("term IS NULL").select("lang", F.explode("sources").alias("source")).select(*texts[:2]).distinct()
     groups = occurring.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "held", "terms", "lang_total"])
     p0 = F.when(F.col("terms") > 0, _probability(F.lit(0), F.col("total"), F.col("terms"))).otherwise(1).alias("p0")
     groups = stored(groups.select("*", p0))
-    joined = by_source.join(groups, ["lang", "source"]).join(by_lang, ["lang", "term"])
+    joined = by_source.join(groups, ["lang", "source"])
     p = _probability(F.col("n"), F.col("total"), F.col("terms")).alias("p")
     q = _probability(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q")
     spread = stored(joined.select("lang", "source", "term", p, q, "p0"))
