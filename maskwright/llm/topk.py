@@ -6,13 +6,16 @@ is an upper bound of their inner product, hence a lower bound of their distance,
 segments, the closer. Candidates whose coarse bound falls short of a query's k-th best score so far
 are left; the rest is tested at the next resolution, and survivors are scored exactly.
 
-Queries run in blocks of a fixed size against all rows; each task keeps the k best of its rows for
-each query of the block, and these are ranked over all tasks.
+The vectors are written once as whole numbers. Queries go out in blocks of a fixed size, several blocks
+to a pass over all rows, so that the statistics of a row serve all of them; each task keeps the k best of
+its rows for each query, and these are ranked over all tasks.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as
 rows without an id. Components missing in the shorter of two vectors count 0. A query's own row is told
 by its id; of several queries with one id, that of the least vector is asked. Equal scores are ordered by id; rows equal in id and vector count once each, so they may
-take several ranks. An empty table gives an empty result.
+take several ranks. Components beyond the range of long count as the nearest long; scores are exact, and
+one beyond that range is shown, and ranked, as the nearest long. Vectors of any length are taken whole. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import column, stored
 
-# queries of a block; with their statistics they are what a task holds of all queries
+# queries of a block, and blocks of a pass; with their statistics they are what a task holds of all queries
 QUERIES_AT_ONCE = 1024
+BLOCKS_AT_ONCE = 8
 # rows that are compared together with a block
 ROWS_AT_ONCE = 1024
 # pairs of a query and a row that finer bounds and exact scores are computed for together
 PAIRS_AT_ONCE = 1 << 16
+# products of lengths up to which inner products fit a long; beyond it they are taken in Python's integers
+LONG_SAFE = 2.0**62
 # segments of a vector, from coarse to fine
 RESOLUTIONS = (1, 4, 16)
 
@@ -71,12 +77,32 @@ def segment_statistics(vectors: np.ndarray, parts: int) -> np.ndarray:
     return np.hstack([mean, deviation]) * np.sqrt(np.hstack([sizes, sizes]))
 
 
+def inner_products(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices, exact where ``bound`` (the product of their lengths) allows a long."""
+    score = np.einsum("ij,ij->i", a, b)
+    limits = np.iinfo(np.int64)
+    for i in np.flatnonzero(bound > LONG_SAFE).tolist():
+        whole = sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist()))
+        score[i] = min(max(whole, limits.min), limits.max)
+    return score
+
+
+class Rows:
+    """Rows that are compared together, with statistics that serve every block of queries."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.levels = [segment_statistics(vectors, p) for p in RESOLUTIONS]
+        self.lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)
+
+
 class Block:
     """Queries of one block, their statistics, and the k best of the rows seen so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.levels = [segment_statistics(vectors, p) for p in RESOLUTIONS]
+        self.lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)
         n = len(ids)
         self.least = np.iinfo(np.int64).min
         self.scores = np.full((n, k), self.least)
@@ -85,35 +111,33 @@ class Block:
         self.floor = np.full(n, -np.inf) if floor is None else floor
         self.compared = 0
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, rows: Rows) -> None:
         """Take rows in: bounds from coarse to fine, then exact scores of what survives.
 
         The coarse bounds are one product of matrices; surviving pairs go on in parts of a fixed size.
         """
         least = np.maximum(self.floor, np.where(self.scores[:, -1] > self.least, self.scores[:, -1].astype(np.float64), -np.inf))
-        theirs = [segment_statistics(vectors, p) for p in RESOLUTIONS]
         # what rounding may take from a bound
-        mine, other = (np.linalg.norm(x.astype(np.float64), axis=1) for x in (self.vectors, vectors))
-        margin = 1e-9 * mine[:, None] * other + 1e-6
-        q, r = np.nonzero(self.levels[0] @ theirs[0].T + margin >= least[:, None])
+        product = self.lengths[:, None] * rows.lengths
+        margin = 1e-9 * product + 1e-6
+        q, r = np.nonzero(self.levels[0] @ rows.levels[0].T + margin >= least[:, None])
         for at in range(0, len(q), PAIRS_AT_ONCE):
             a, b = q[at : at + PAIRS_AT_ONCE], r[at : at + PAIRS_AT_ONCE]
-            keep = self.ids[a] != ids[b]
+            keep = self.ids[a] != rows.ids[b]
             a, b = a[keep], b[keep]
-            for level, rows in zip(self.levels[1:], theirs[1:]):
-                near = np.einsum("ij,ij->i", level[a], rows[b]) + margin[a, b] >= least[a]
+            for mine, theirs in zip(self.levels[1:], rows.levels[1:]):
+                near = np.einsum("ij,ij->i", mine[a], theirs[b]) + margin[a, b] >= least[a]
                 a, b = a[near], b[near]
             self.compared += len(a)
             if len(a):
-                self._keep(a, b, ids, vectors)
+                self._keep(a, rows.ids[b], inner_products(self.vectors[a], rows.vectors[b], product[a, b]))
 
-    def _keep(self, q: np.ndarray, r: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        score = np.einsum("ij,ij->i", self.vectors[q], vectors[r])
+    def _keep(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         touched = np.unique(q)
         place = np.repeat(touched, self.k)
         all_q = np.concatenate([place, q])
         all_s = np.concatenate([self.scores[touched].ravel(), score])
-        all_i = np.concatenate([self.found[touched].ravel(), ids[r]])
+        all_i = np.concatenate([self.found[touched].ravel(), ids])
         order = np.lexsort((all_i, ~all_s, all_q))  # ~s orders from high to low without overflow
         all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
         first = np.searchsorted(all_q, touched)
@@ -126,24 +150,33 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(q), pa.array(self.found[full]), pa.array(self.scores[full])], ["query_id", "vec_id", "score"])
 
 
-def _search(ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None):
+def _search(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
+    width = max(vectors.shape[1] for _, vectors, _ in blocks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(ids, vectors, k, floor)
+        asked = [Block(ids, vectors, k, floor) for ids, vectors, floor in blocks]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                block.add(part.column(0).to_numpy(), _matrix(part.column(1), vectors.shape[1]))
-        yield block.best()
+                rows = Rows(part.column(0).to_numpy(), _matrix(part.column(1), width))
+                for block in asked:
+                    block.add(rows)
+        for block in asked:
+            yield block.best()
 
     return run
 
 
+def _wide(vectors: list[list[int]], width: int) -> np.ndarray:
+    return _matrix(pa.array(vectors, pa.list_(pa.int64())), width)
+
+
 def _floor(sample: list, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     """Scores that k rows of a sample reach; they bound the k-th best of all rows from below."""
     block = Block(ids, vectors, k)
     for at in range(0, len(sample), ROWS_AT_ONCE):
         part = sample[at : at + ROWS_AT_ONCE]
-        block.add(np.array([r.id for r in part], np.int64), _matrix(pa.array([r.v for r in part], pa.list_(pa.int64())), vectors.shape[1]))
+        block.add(Rows(np.array([r.id for r in part], np.int64), _wide([r.v for r in part], vectors.shape[1])))
     return np.where(block.scores[:, -1] > block.least, block.scores[:, -1].astype(np.float64), -np.inf)
 
 
@@ -158,35 +191,38 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query.
 
-    Queries come to the driver block by block, each of at most QUERIES_AT_ONCE rows, and go out with
-    that block's tasks; blocks' results are written as they are done. A bounded sample of rows gives
-    each query a first threshold.
+    Queries come to the driver pass by pass, each of at most BLOCKS_AT_ONCE blocks of QUERIES_AT_ONCE rows,
+    and go out with that pass's tasks; its results are written as they are done. A bounded sample of rows
+    gives each query a first threshold.
     """
     named = lambda df: df.select(column(df, vec_id).cast("long").alias("id"), whole_numbers(column(df, vector), scale).alias("v")).where(
         "id IS NOT NULL AND v IS NOT NULL"
     )
-    spark, candidates = rows.sparkSession, named(rows)
+    spark, candidates = rows.sparkSession, stored(named(rows))
     known = candidates.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     schema = "query_id long, vec_id long, score long"
     parts: list[DataFrame] = []
 
-    def run(block: list) -> None:
-        block.sort(key=lambda r: len(r.v))
-        ids = np.array([r.id for r in block], np.int64)
-        vectors = _matrix(pa.array([r.v for r in block], pa.list_(pa.int64())), max(len(r.v) for r in block))
-        work = _search(ids, vectors, k, _floor(known, ids, vectors, k))
-        best = candidates.mapInArrow(work, schema)
+    def run(asked: list) -> None:
+        # one width for a pass, so that a row is laid out once for all its blocks
+        width = max(len(r.v) for r in asked)
+        blocks = []
+        for at in range(0, len(asked), QUERIES_AT_ONCE):
+            some = asked[at : at + QUERIES_AT_ONCE]
+            ids, vectors = np.array([r.id for r in some], np.int64), _wide([r.v for r in some], width)
+            blocks.append((ids, vectors, _floor(known, ids, vectors, k)))
+        best = candidates.mapInArrow(_search(blocks, k), schema)
         ranked = best.select("*", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank"))
         parts.append(stored(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
 
-    block: list = []
+    asked: list = []
     for row in named(queries).groupBy("id").agg(F.min("v").alias("v")).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERIES_AT_ONCE:
-            run(block)
-            block = []
-    if block:
-        run(block)
+        asked.append(row)
+        if len(asked) == QUERIES_AT_ONCE * BLOCKS_AT_ONCE:
+            run(asked)
+            asked = []
+    if asked:
+        run(asked)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionByName, parts)

@@ -101,6 +101,7 @@ def brute_topk(rows, queries, k):
 
 def test_search_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(topk, "BLOCKS_AT_ONCE", 2)
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(400)] + [(400 + i, [1.0] * 24) for i in range(30)]
     rows += [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 24), (504, [float("inf")] * 24), (None, [1.0] * 24), (505, [3.0, -2.0]), (506, [9.0] * 30)]
@@ -116,6 +117,25 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert topk.search(few, few).count() == 6
 
 
+def test_large_components_and_repeated_rows(spark):
+    long = 2**63
+    vectors = {
+        0: [1e30, 1.0], 1: [1e30, 2.0], 2: [-1e30, 0.0], 3: [2.0**40, 2.0**22], 4: [2.0**22, -(2.0**40)], 5: [1.0, 1.0],
+        6: [2.0**21, 2.0**21], 7: [2.0**23, 1.0], 8: [-(2.0**23), 3.0],
+    }
+    rows = list(vectors.items()) + [(9, [0.5, 0.5]), (9, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.search(table, table, k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    near = lambda x: min(max(x, -long), long - 1)
+    whole = [(i, [near(int(256 * x)) for x in v]) for i, v in rows]
+    for q, v in dict(whole).items():
+        want = sorted((-near(sum(a * b for a, b in zip(v, w))), j) for j, w in whole if j != q)
+        assert [(j, s) for _, j, s in sorted(got[q])] == [(j, -s) for s, j in want]
+    assert len(got[0]) == len(rows) - 1  # the repeated row takes a rank each time
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 64)) * 200
@@ -125,7 +145,7 @@ def test_bounds_hold_and_prune():
         assert (a @ b.T + 1e-3 >= x[:50] @ x.T).all()
     block = topk.Block(np.arange(50), x[:50], 5)
     for at in range(0, 3000, 500):
-        block.add(np.arange(at, at + 500), x[at : at + 500])
+        block.add(topk.Rows(np.arange(at, at + 500), x[at : at + 500]))
     assert block.compared < 0.6 * 50 * 3000
 
 
