@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from maskwright.llm.mixing import MOST_EPOCHS, WEIGHTS
-from maskwright.llm.ownership import KINDS, LEAST_ASSIGNED, PATTERNS
+from maskwright.llm.ownership import KINDS, LEAST_ASSIGNED, PATTERNS, SHARED_BY, SPREAD_OVER
 
 # The first occurrence of a window is the smallest (doc_id, position), as in the operator.
 LINE_WINDOWS = """
@@ -92,12 +92,14 @@ WITH docs AS (
   SELECT *, row_number() OVER () AS row FROM documents),
 found AS ({' UNION ALL '.join(_spans(k) for k in range(len(KINDS)))}),
 owned AS (
-  SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM found GROUP BY secret),
+  SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS n_owners, count(DISTINCT {{'s': source, 'd': doc_id}}) AS n_repositories FROM found GROUP BY secret),
 known AS (
-  SELECT f.*, {KINDS}[kind + 1] AS name, n_owners FROM found f JOIN owned o USING (secret) WHERE kind < 3 OR n_owners < 2)
+  SELECT f.*, {KINDS}[kind + 1] AS name, n_owners, n_repositories, n_owners < {SHARED_BY} AND n_repositories < {SPREAD_OVER} AS live
+  FROM found f JOIN owned o USING (secret) WHERE kind < 3 OR (n_owners < {SHARED_BY} AND n_repositories < {SPREAD_OVER}))
 SELECT any_value(d.doc_id) AS doc_id, {', '.join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(KINDS[:3]))},
   sha256({_LISTED.format(only=' FILTER (WHERE kind < 3)')}) AS base_sha256, {_LISTED.format(only=' FILTER (WHERE kind IS NOT NULL)')} AS spans,
-  count(*) FILTER (WHERE n_owners < 2) AS n_live, count(*) FILTER (WHERE n_owners >= 2) AS n_copied
+  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied,
+  coalesce(max(n_owners), 0)::BIGINT AS most_owners, coalesce(max(n_repositories), 0)::BIGINT AS most_repositories
 FROM docs d LEFT JOIN known k ON k.row = d.row GROUP BY d.row
 """
 

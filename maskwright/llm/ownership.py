@@ -2,12 +2,15 @@
 
 Candidates come from patterns: assignments to names of secrets, access keys, long hex runs, and further
 tokens of mixed letters and digits. The hash of every candidate's value is counted by the distinct
-repositories and owners that hold it. A value that several owners share is a copied example; one that
-a single owner holds looks live. Tokens of the last kind become spans only where they look live.
+repositories and owners that hold it. A value that several owners share, or that one owner has spread over
+many repositories, is a copied example; one that a single owner holds in few of them looks live. Tokens of
+the last kind become spans only where they look live.
 
 Defined results: a null or empty text has no spans. A null owner or repository counts as one more of
-its kind. Rows are told apart by a number of their own, so repeated rows give repeated results. Spans
-are in code points, end exclusive.
+its kind; a repository belongs to its owner, so one name under two owners counts twice. Rows are told apart
+by a number of their own, so repeated rows give repeated results (and count as one repository). Texts are
+searched whole, whatever their length; an empty table gives an empty result; other columns, also of the
+names used here, are not read. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ PATTERNS = {
     "owned": r"[A-Za-z0-9+/_-]{20,}",
 }
 LEAST_ASSIGNED = 6
+# owners, or repositories of one owner, from which on a value is taken as copied
+SHARED_BY = 2
+SPREAD_OVER = 16
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -86,24 +92,24 @@ def scan(
     text: str = "text",
     owner: str = "source",
     repository: str = "doc_id",
-    shared_by: int = 2,
+    shared_by: int = SHARED_BY,
+    spread_over: int = SPREAD_OVER,
 ) -> DataFrame:
-    """(doc_id, spans, live, copied): sorted spans (start, kind, end, n_owners, n_repositories) of every document.
+    """(doc_id, spans, n_live, n_copied): sorted spans (start, kind, end, n_owners, n_repositories, live) of every document.
 
-    A value is copied if at least ``shared_by`` owners hold it, else live.
+    A value is copied if at least ``shared_by`` owners or ``spread_over`` repositories hold it, else live.
     """
     rows = candidates(docs, doc_id, text, owner, repository)
     found = stored(spans(rows))
     # counts are one row a value; the join that follows is one that AQE can split
-    known = found.join(ownership(found), "hash").where((F.col("kind") < 3) | (F.col("n_owners") < shared_by))
-    span = F.struct("start", "kind", "end", "n_owners", "n_repositories")
+    live = (F.col("n_owners") < shared_by) & (F.col("n_repositories") < spread_over)
+    known = found.join(ownership(found).withColumn("live", live), "hash").where("kind < 3 OR live")
+    span = F.struct("start", "kind", "end", "n_owners", "n_repositories", "live")
     grouped = known.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     none = F.array().cast(dict(grouped.dtypes)["spans"])
     out = rows.select("row", "doc_id").join(grouped, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
     count = lambda f: F.size(F.filter("spans", f)).cast("long")
-    return out.select(
-        "*", count(lambda s: s["n_owners"] < shared_by).alias("n_live"), count(lambda s: s["n_owners"] >= shared_by).alias("n_copied")
-    )
+    return out.select("*", count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_copied"))
 
 
 def listed(spans: Column) -> Column:
@@ -114,8 +120,10 @@ def listed(spans: Column) -> Column:
 
 
 def report(scanned: DataFrame) -> DataFrame:
-    """Counts, digest and list of the spans."""
+    """Counts, digest and list of the spans; the most owners and repositories that hold one of a document's values."""
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
-    return scanned.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    most = [F.coalesce(F.array_max(F.col("spans")[c]), F.lit(0)).cast("long").alias(f"most_{c[2:]}") for c in ("n_owners", "n_repositories")]
+    digests = [F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")]
+    return scanned.select("doc_id", *counts, *digests, "n_live", "n_copied", *most)

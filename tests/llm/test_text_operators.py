@@ -283,6 +283,22 @@ def test_secrets_match_brute_force(spark):
     assert ownership.scan(table(spark, texts).where("false")).count() == 0
 
 
+def test_secrets_of_one_owner_in_many_repositories(spark):
+    spread, few, unowned = "aB3dEf6hIj9kLm2nOp5q", "qW4eRt7yUi1oPa5sDf8g", "zX6cVb9nMa3sDf7gHj2k"
+    rows = [(i, f"x {spread} y", "a", i) for i in range(ownership.SPREAD_OVER)]
+    rows += [(100 + i, f"{few} {few}", "b", 0) for i in range(ownership.SPREAD_OVER * 2)]  # one repository, many rows
+    rows += [(200, unowned, None, None), (200, unowned, None, None), (201, f"{few}.", "b", 1), (None, "y" * 300_000 + f" {few}", "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo long")
+    docs = docs.selectExpr("*", "1 AS kind", "'clash' AS hash", "0 AS row", "'clash' AS spans")
+    got = ownership.scan(docs, repository="repo").collect()
+    by = {r.doc_id: r for r in got}
+    assert by[0].spans == [] and by[0].n_live == 0  # widely copied, though by one owner
+    assert [(s.n_owners, s.n_repositories, s.live) for s in by[100].spans] == [(1, 3, True)] * 2
+    assert [(r.n_live, r.spans[0].n_repositories) for r in got if r.doc_id == 200] == [(1, 1)] * 2
+    assert by[None].spans[0].start == 300_001
+    assert ownership.report(ownership.scan(docs, repository="repo", spread_over=99)).where("doc_id = 0").first().most_repositories == ownership.SPREAD_OVER
+
+
 # --- surrogates ---------------------------------------------------------------------------
 
 
