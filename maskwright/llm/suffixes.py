@@ -11,13 +11,16 @@ an anchor. A string is then named by its anchor and the offset of the anchor in
    of the anchor, which the same prefix sums give for all offsets.
 
 Each step sorts only what the step before has left, by identifiers it has given. Buckets and classes
-of very many anchors are counted with map-side combination and joined back, so no group is gathered
-in one task; smaller ones are refined in sorted partitions.
+of very many anchors are counted with map-side combination; what is joined back to a class of very many
+is broadcast, as there are few such classes, so no group is gathered in one task. Smaller ones are refined
+in sorted partitions.
 
-Identifiers are hashes: a bucket's 64 bits and a class's further, independent 64 bits hold together.
+The identifiers are hashes of the strings and stand in for the bucket identifiers of suffixes at later
+offsets: those would need a row, and its shuffle, for every byte of text. A bucket's 64 bits and a class's
+further, independent 64 bits hold together.
 
-Defined results: a null text is empty, and a text shorter than LENGTH keeps all its bytes. Rows are
-known by id and text; equal rows are copies of one another, as any equal texts are. Matches never
+Defined results: a null text is empty, and a text shorter than LENGTH keeps all its bytes. Ids may be of any
+type. Rows are known by 80 bits of hashes of id and text; equal rows are copies of one another, as any equal texts are. Matches never
 cross rows. An empty table gives an empty result.
 """
 
@@ -177,9 +180,9 @@ def _place(at: np.ndarray, low: np.ndarray, high: np.ndarray, tag: np.ndarray) -
 
 
 def _identity(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
-    """What a row is known by: its id (for a null id, its text's hash), and 16 bits of its text's hash."""
-    h = F.xxhash64(column(docs, text))
-    return F.coalesce(column(docs, doc_id).cast("long"), h).alias("d"), h.bitwiseAND(F.lit(0xFFFF)).alias("tag")
+    """What a row is known by, whatever its id's type: a hash of id and text, and 16 bits of one of the text alone."""
+    t = column(docs, text)
+    return F.xxhash64(column(docs, doc_id), t).alias("d"), F.xxhash64(t).bitwiseAND(F.lit(0xFFFF)).alias("tag")
 
 
 def anchors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -227,9 +230,13 @@ def refine_classes(found: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
         return usual
     # their counts are combined before they are shuffled, and joined back
     hot = stored(found.join(F.broadcast(hot_q), "q", "left_semi").select("q", "c", "d", "place"))
-    classes = hot.groupBy("q", "c").agg(F.count(F.lit(1)).alias("n_class"), F.min(F.struct("d", "place")).alias("first"))
+    classes = stored(hot.groupBy("q", "c").agg(F.count(F.lit(1)).alias("n_class"), F.min(F.struct("d", "place")).alias("first")))
+    # a class of more than ``most`` anchors is a hot bucket's, so there are at most HOT_BUCKETS of these, too
+    large = F.broadcast(classes.where(F.col("n_class") > most))
     buckets = classes.groupBy("q").agg(F.count(F.lit(1)).alias("n_classes"), F.count_if(F.col("n_class") == 1).alias("singles"))
-    joined = hot.join(classes, ["q", "c"]).join(F.broadcast(buckets), "q")
+    in_large = hot.join(large, ["q", "c"])
+    others = hot.join(large.select("q", "c"), ["q", "c"], "left_anti").join(classes.where(F.col("n_class") <= most), ["q", "c"])
+    joined = in_large.unionByName(others).join(F.broadcast(buckets), "q")
     speaks = (F.col("d") == F.col("first.d")) & (F.col("place") == F.col("first.place"))
     return usual.unionByName(joined.select("q", "c", "d", "place", "n_class", "n_classes", "singles", speaks.alias("speaks")))
 

@@ -68,3 +68,13 @@ def test_null_ids_repeated_rows_empty_table(spark):
     got = sorted((r.n_bytes, r.n_removed) for r in suffixes.remove(docs).collect())
     assert got == [(1, 0), (250, 250), (250, 250), (500, 500), (500, 500)]
     assert suffixes.remove(docs.where(F.lit(False))).count() == 0
+
+
+def test_ids_of_any_type_and_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BYTES_AT_ONCE", 700)  # texts in several pieces
+    texts = corpus()
+    ids = [("same" if i % 3 else f"d{i}") for i in range(len(texts))]
+    docs = spark.createDataFrame([(a, t, i) for i, (a, t) in enumerate(zip(ids, texts))], "doc_id string, text string, place int").repartition(4)
+    for limits in ((100_000, 20_000), (3, 2)):
+        got = sorted(tuple(r)[1:4] + (r.kept_sha256,) for r in suffixes.remove(docs, in_bucket=limits[0], classes=limits[1]).collect())
+        assert got == sorted(brute(texts))
