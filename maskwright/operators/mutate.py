@@ -6,7 +6,7 @@ row per key before they are joined, so the join never fans out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import policy
@@ -81,27 +81,44 @@ def route_posts(posts: DataFrame) -> DataFrame:
     )
 
 
-def ack_events(events: DataFrame, acks: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(new events, rejected acks). An ack counts only for an event of the acting tenant; of several,
-    the last by time and user. What an event already holds stays where no ack meets it."""
+def settle_acks(events: DataFrame, acks: DataFrame, at: str) -> DataFrame:
+    """Every event as it stands after the acks, and every rejected ack with its ``reason``.
+
+    An ack counts only for an event of the acting tenant; of several, the last by time and user. What an
+    event already holds stays where no ack meets it. A rejected ack is a row of its id, the acting tenant
+    (as ``org_id``) and the reason; one without a tenant is FORBIDDEN. Events and acks, of these one row for
+    each id and tenant, meet in one shuffle by id; neither is read twice.
+    """
     last = F.max_by(F.struct("acknowledged_by", "note"), F.struct("ts", "acknowledged_by")).alias("_ack")
-    mine = acks.groupBy("id", F.col("acting_org_id").alias("org_id")).agg(last)
-    done = events.join(mine, ["id", "org_id"], "left")
-    hit = F.col("_ack").isNotNull()
-    new = (
-        done.withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False)) | hit)
+    asked = acks.groupBy("id", F.col("acting_org_id").alias("org_id")).agg(last, F.count(F.lit(1)).alias("_times"))
+    rows = events.withColumn("_event", F.lit(True)).unionByName(asked.withColumn("_event", F.lit(False)), allowMissingColumns=True)
+    same_id, same_owner = Window.partitionBy("id"), Window.partitionBy("id", "org_id")
+    named = F.col("id").isNotNull()
+    owned = named & F.col("org_id").isNotNull()
+    met = rows.withColumns(
+        {
+            "_known": named & F.max("_event").over(same_id),
+            "_mine": owned & F.max("_event").over(same_owner),
+            "_ack": F.when(owned, F.max("_ack").over(same_owner)),
+        }
+    ).filter("_event OR NOT _mine")
+    event, hit = F.col("_event"), F.col("_event") & F.col("_ack").isNotNull()
+    return (
+        met.withColumn("reason", F.when(~event, F.when(F.col("_known"), "FORBIDDEN").otherwise("NOT_FOUND")))
+        .withColumn("acknowledged", F.when(event, F.coalesce("acknowledged", F.lit(False)) | hit))
         .withColumn("acknowledged_by", F.when(hit, F.col("_ack.acknowledged_by")).otherwise(F.col("acknowledged_by")))
         .withColumn("acknowledged_at", F.when(hit, L.at(at)).otherwise(F.col("acknowledged_at")))
         .withColumn("acknowledged_note", F.when(hit, F.col("_ack.note")).otherwise(F.col("acknowledged_note")))
-        .drop("_ack")
+        .select(*events.columns, "reason", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)).cast("int"))))
+        .drop("col")
     )
-    known = events.select("id", F.col("org_id").alias("_owner"))
-    rejected = (
-        acks.join(known, "id", "left")
-        .filter(F.col("_owner").isNull() | (F.col("_owner") != F.col("acting_org_id")))
-        .select("id", "acting_org_id", F.when(F.col("_owner").isNull(), "NOT_FOUND").otherwise("FORBIDDEN").alias("reason"))
-    )
-    return new, rejected
+
+
+def ack_events(events: DataFrame, acks: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(new events, rejected acks): the two parts of ``settle_acks``."""
+    settled = settle_acks(events, acks, at)
+    rejected = settled.filter("reason IS NOT NULL").select("id", F.col("org_id").alias("acting_org_id"), "reason")
+    return settled.filter("reason IS NULL").select(*events.columns), rejected
 
 
 def upsert_tools(tools: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -22,9 +22,8 @@ NOW = f"TIMESTAMP '{AS_OF}'"
         UNION ALL SELECT a.id, a.acting_org_id, NULL, NULL, NULL, NULL, CASE WHEN e.id IS NULL THEN 'NOT_FOUND' ELSE 'FORBIDDEN' END FROM event_acks a LEFT JOIN policy_events e ON e.id = a.id WHERE e.id IS NULL OR e.org_id <> a.acting_org_id""",
 )
 def ack_events(t):
-    new, rejected = M.ack_events(t.policy_events, t.event_acks, AS_OF)
-    kept = new.select("id", "org_id", "acknowledged", "acknowledged_by", "acknowledged_at", "acknowledged_note", F.lit(None).cast("string").alias("reason"))
-    return kept.unionByName(rejected.withColumnRenamed("acting_org_id", "org_id"), allowMissingColumns=True)
+    settled = M.settle_acks(t.policy_events, t.event_acks, AS_OF)
+    return settled.select("id", "org_id", "acknowledged", "acknowledged_by", "acknowledged_at", "acknowledged_note", "reason")
 
 
 @query(
