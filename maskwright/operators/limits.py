@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.logs import running_sums, time_slot
+from maskwright.session import written
 
 # The sign-up limiter.
 UNKNOWN_KEY = 401
@@ -216,7 +217,7 @@ def rate_limit(requests: DataFrame, limit: int = MAX_REQUESTS, window: int = WIN
     """
     weight = F.col("weight") if "weight" in requests.columns else F.lit(1)
     base = requests.select("client", *[F.col(c).cast("long").alias(c) for c in ("id", "at")], weight.cast("long").alias("weight"))
-    started = window_starts(base, window, slot)
+    started = written(window_starts(base, window, slot), "windows")  # the chain is followed once, not once a use
     sub = F.floor((F.col("at") - F.col("window_start")) * 16 / window)
     counted = running_sums(started, ["client", "window_start"], ["at", "id"], sub, {"n": F.col("weight")})
     return counted.withColumn("limited", F.col("n") > limit).withColumn("remaining", F.greatest(F.lit(limit) - F.col("n"), F.lit(0)))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # asked for by a caller whose input has too few splits for its cores (tests, bench)
@@ -37,3 +38,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="maskwright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, into the shared folder, and read from there."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,6 +18,8 @@ from maskwright.streaming import runtime as rt
 
 # Age after which the configuration is read again.
 CONFIG_TTL_SECONDS = 300
+# days by which a call may be late and still count in a month that has ended
+LATE_DAYS = 7
 # seconds by which a request may be late and still count in the window it belongs to
 LATENESS_SECONDS = 600
 ALERT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -92,10 +94,13 @@ def rate_limit(requests: DataFrame, out: str, limit: int = limits.MAX_REQUESTS,
         asked = batch.join(state.select("client", "start"), "client", "left")
         at = F.greatest(F.col("at").cast("long"), F.coalesce("start", F.col("at").cast("long")))
         now = asked.select("client", F.col("id").cast("long"), at.alias("at"), F.lit(1).cast("long").alias("weight"))
-        done = limits.rate_limit(now.unionByName(carried), limit, window, slot)
+        # the rows that carry state are no requests, and have no id
+        done = limits.rate_limit(now.unionByName(carried), limit, window, slot).filter("id IS NOT NULL")
         path = rt.save(done, out, "decisions", batch_id)
         stored = spark.read.parquet(path)
-        last = stored.groupBy("client").agg(F.max(F.struct("window_start", "n")).alias("m"))
+        counted = stored.select("client", "window_start", "n")
+        held = state.select("client", F.col("start").alias("window_start"), F.col("used").alias("n"))
+        last = counted.unionByName(held).groupBy("client").agg(F.max(F.struct("window_start", "n")).alias("m"))
         seen = stored.agg(F.max("at").alias("a")).first()["a"]
         before = state.agg(F.max("newest").alias("a")).first()["a"]
         newest = max(x for x in (seen, before, 0) if x is not None)
@@ -105,26 +110,46 @@ def rate_limit(requests: DataFrame, out: str, limit: int = limits.MAX_REQUESTS,
     rt.run(requests, out, write)
 
 
-def quota(calls: DataFrame, keys: DataFrame, out: str) -> None:
-    """Monthly quota over a stream of calls; state is one counter per (key, month)."""
+QUOTA_KEYS = ["key_id", "month"]
+
+
+def open_months(state: DataFrame, late_days: int = LATE_DAYS) -> DataFrame:
+    """Counters of months that may still get calls: by the newest call seen, they ended at most ``late_days`` ago."""
+    newest = state.agg(F.max("newest")).first()[0]
+    ends = F.expr(f"month + INTERVAL '1' MONTH + INTERVAL '{late_days}' DAY")
+    return state if newest is None else state.filter(ends > L.at(str(newest)))
+
+
+def quota(calls: DataFrame, keys: DataFrame, out: str, late_days: int = LATE_DAYS) -> None:
+    """Monthly quota over a stream of calls; state is one counter per (key, month).
+
+    A batch writes the counters it changes; runs of them are merged level by level, and leave out months
+    that ended more than ``late_days`` before the newest call. A call that comes later than that starts its
+    month's count again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         month = F.date_trunc("month", F.col("timestamp")).cast("timestamp_ntz")
-        state = _previous(spark, out, batch_id, "key_id long, month timestamp_ntz, used long")
+        schema = "key_id long, month timestamp_ntz, used long, newest timestamp_ntz"
+        before = rt.latest(spark, out, "state", QUOTA_KEYS, batch_id - 1) if batch_id else spark.createDataFrame([], schema)
+        state = open_months(before, late_days).select(*QUOTA_KEYS, "used")
         calls_ = batch.select("id", "key_id", "timestamp", month.alias("month")).join(keys.withColumn("_known", F.lit(True)), "key_id", "left")
         known = calls_.filter("_known").drop("_known")
-        ran = L.running_sums(known, ["key_id", "month"], ["timestamp", "id"], L.time_slot("timestamp"), {"_n": F.lit(1)})
+        ran = L.running_sums(known, QUOTA_KEYS, ["timestamp", "id"], L.time_slot("timestamp"), {"_n": F.lit(1)})
         n = F.col("_n") + F.coalesce("used", F.lit(0))
         limited = (F.coalesce("monthly_limit", F.lit(0)) > 0) & (n > F.col("monthly_limit"))
-        done = ran.join(state, ["key_id", "month"], "left").select(
-            "id", "key_id", "month", n.alias("n"), F.when(limited, 429).otherwise(200).alias("status")
+        done = ran.join(state, QUOTA_KEYS, "left").select(
+            "id", *QUOTA_KEYS, "timestamp", n.alias("n"), F.when(limited, 429).otherwise(200).alias("status")
         )
-        unknown = calls_.filter("_known IS NULL").select("id", "key_id", "month", F.lit(None).cast("long").alias("n"), F.lit(limits.UNKNOWN_KEY).alias("status"))
-        done = done.unionByName(unknown)
-        stored = spark.read.parquet(rt.save(done, out, "decisions", batch_id))
-        used = stored.filter("n IS NOT NULL").groupBy("key_id", "month").agg(F.max("n").alias("used")).unionByName(state)
-        rt.save(used.groupBy("key_id", "month").agg(F.max("used").alias("used")), out, "state", batch_id)
+        none = F.lit(None).cast("long").alias("n")
+        unknown = calls_.filter("_known IS NULL").select("id", *QUOTA_KEYS, "timestamp", none, F.lit(limits.UNKNOWN_KEY).alias("status"))
+        decided = spark.read.parquet(rt.save(done.unionByName(unknown), out, "decisions", batch_id)).filter("n IS NOT NULL")
+        seen = [df.agg(F.max(c)).first()[0] for df, c in ((before, "newest"), (decided, "timestamp"))]
+        newest = max((x for x in seen if x is not None), default=None)
+        clock = F.lit(None).cast("timestamp_ntz") if newest is None else L.at(str(newest))
+        used = decided.groupBy(*QUOTA_KEYS).agg(F.max("n").alias("used")).withColumn("newest", clock)
+        rt.save_version(used, out, "state", batch_id, QUOTA_KEYS, retire=lambda s: open_months(s, late_days))
 
     rt.run(calls, out, write)
 

@@ -2,22 +2,24 @@
 
 Every micro-batch writes to its own ``batch=N`` folder in overwrite mode, so a batch that is run
 again after a failure replaces itself instead of appending twice. Tables that are updated rather
-than appended to are read as "last batch wins per key"; every so many batches, their versions are
-compacted to one row a key, so that a reader meets one compacted table and few later batches.
+than appended to are read as "last batch wins per key". Their batches are runs of level 0; every so many
+runs of a level are merged into one of the next, which holds one row a key. So a version is written
+again once a level, that is a logarithmic number of times, and a reader meets few runs of each level.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.session import checkpoint_root
 
-# batches between two compactions of a keyed table
-COMPACT_EVERY = 20
+# runs of a level that are merged into one of the next
+COMPACT_EVERY = 8
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -74,25 +76,62 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def save_version(df: DataFrame, out: str, name: str, batch_id: int, keys: Sequence[str], every: int | None = None) -> None:
-    """Save a batch's new versions of some keys; the batch that completes ``every`` of them also compacts.
+def _level(name: str, level: int) -> str:
+    return name if level == 0 else f"{name}-compact{level if level > 1 else ''}"
 
-    A batch that is run again writes the same compacted rows again.
+
+def _merged(spark: SparkSession, out: str, name: str, runs: list[tuple[int, int]], keys: Sequence[str]) -> DataFrame:
+    """Last version of every key in runs (level, last batch)."""
+    read = lambda level, batch: spark.read.parquet(batch_folder(out, _level(name, level), batch)).withColumn("batch", F.lit(batch))
+    return last_version(reduce(DataFrame.unionByName, (read(*r) for r in runs)), keys)
+
+
+def save_version(
+    df: DataFrame,
+    out: str,
+    name: str,
+    batch_id: int,
+    keys: Sequence[str],
+    every: int | None = None,
+    retire: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Save a batch's new versions of some keys; the batch that completes ``every`` runs of a level merges them.
+
+    ``retire`` drops versions that nobody will ask for; what it drops must stay dropped later. A batch that
+    is run again reads the same runs and writes the same merged ones again.
     """
     save(df, out, name, batch_id)
-    if (batch_id + 1) % (every or COMPACT_EVERY) == 0:
-        save(latest(df.sparkSession, out, name, keys, batch_id), out, f"{name}-compact", batch_id)
-
-
-def latest(spark: SparkSession, out: str, name: str, keys: Sequence[str], upto: int | None = None) -> DataFrame:
-    """Last version of every key: from the newest compacted table before ``upto``, and batches after it."""
-    versions = table(spark, out, name)
-    if upto is not None:
-        versions = versions.filter(F.col("batch") <= upto)
-    if _exists(spark, f"{out}/{name}-compact"):
-        compact = table(spark, out, f"{name}-compact")
-        before = compact if upto is None else compact.filter(F.col("batch") < upto)
-        newest = before.agg(F.max("batch")).first()[0]
-        if newest is not None:
-            versions = versions.filter(F.col("batch") > newest).unionByName(compact.filter(F.col("batch") == newest))
-    return last_version(versions, keys)
+    every = every or COMPACT_EVERY
+    level, batches = 1, every
+    while (batch_id + 1) % batches == 0:
+        below = [(level - 1, batch_id - i * (batches // every)) for i in range(every)]
+        one = _merged(df.sparkSession, out, name, [r for r in below if _exists(df.sparkSession, batch_folder(out, _level(name, r[0]), r[1]))], keys)
+        save(retire(one) if retire else one, out, _level(name, level), batch_id)
+        level, batches = level + 1, batches * every
+
+
+def runs_upto(spark: SparkSession, out: str, name: str, upto: int, every: int | None = None) -> list[tuple[int, int]]:
+    """Runs (level, last batch) that together hold all batches to ``upto``, newest first: the highest level at each end."""
+    every = every or COMPACT_EVERY
+    there = lambda level, batch: _exists(spark, batch_folder(out, _level(name, level), batch))
+    found, end = [], upto
+    while end >= 0:
+        level = 0
+        while (end + 1) % every ** (level + 1) == 0 and there(level + 1, end):
+            level += 1
+        if level or there(0, end):
+            found.append((level, end))
+        end -= every**level
+    return found
+
+
+def _newest_batch(spark: SparkSession, out: str, name: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+    names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return max(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def latest(spark: SparkSession, out: str, name: str, keys: Sequence[str], upto: int | None = None, every: int | None = None) -> DataFrame:
+    """Last version of every key, as of batch ``upto`` or the newest one."""
+    upto = _newest_batch(spark, out, name) if upto is None else upto
+    return _merged(spark, out, name, runs_upto(spark, out, name, upto, every), keys)

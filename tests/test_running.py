@@ -61,6 +61,43 @@ def test_null_keys_form_a_group(spark, threshold):
     assert got == want
 
 
+def test_a_dense_slot_is_cut_into_blocks(spark, monkeypatch):
+    """All rows of a key in ten minutes, many at the same time; missing keys and times are places like others."""
+    monkeypatch.setattr(L, "DENSE_SLOT", 200)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 0, None]), T0 + dt.timedelta(seconds=rng.randint(0, 90)) if i % 11 else None, rng.randint(-3, 9)) for i in range(4000)]
+    rows += [(i, 7, T0 + dt.timedelta(minutes=i % 50), 1) for i in range(4000, 4200)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v int").repartition(7)
+    want, state = {}, defaultdict(int)
+    for i, k, ts, v in sorted(rows, key=lambda r: (r[2] or dt.datetime.min, r[0])):
+        state[k] += v
+        want[i] = state[k]
+    got = {r.id: r.s for r in L.running_sums(df, ["k"], ["ts", "id"], L.time_slot("ts"), {"s": F.col("v")}).collect()}
+    assert got == want
+    at = df.withColumn("_at", F.struct("k", L.time_slot("ts").alias("_slot")))
+    blocks = L._cut(at, at.filter("k = 0 AND ts IS NOT NULL").select("_at").distinct(), ["ts", "id"])
+    sizes = sorted(r["count"] for r in blocks.filter("k = 0 AND ts IS NOT NULL").groupBy("_block").count().collect())
+    assert len(sizes) > 20 and sizes[-1] < sum(sizes) / 8  # more tasks than cores, none with a large share
+
+
+def test_acks_against_a_loop(spark):
+    events = [(i, i % 3, i % 5 == 0 or None, 9 if i % 5 == 0 else None, None, None) for i in range(12)] + [(50, None, None, None, None, None), (None, 1, None, None, None, None)]
+    acks = [(0, 0, 1, "a", 5), (0, 0, 2, "b", 5), (0, 0, 3, "c", 4), (1, 2, 4, None, 1), (1, 2, 5, None, 2), (1, 1, 6, None, 1), (99, 1, 7, "x", 1), (2, None, 8, "x", 1), (50, None, 9, "x", 1), (None, 1, 9, "x", 1)]
+    e = spark.createDataFrame(events, "id long, org_id long, acknowledged boolean, acknowledged_by long, acknowledged_at timestamp_ntz, acknowledged_note string")
+    a = spark.createDataFrame(acks, "id long, acting_org_id long, acknowledged_by long, note string, ts long")
+    new, rejected = mutate.ack_events(e, a, "2024-01-31 00:00:00")
+    got = {(r.id, r.org_id): (r.acknowledged, r.acknowledged_by, r.acknowledged_note, r.acknowledged_at is not None) for r in new.collect()}
+    want = {(i, o): (bool(k), by, None, False) for i, o, k, by, _, _ in events}
+    want[(0, 0)], want[(1, 1)] = (True, 2, "b", True), (True, 6, None, True)
+    assert got == want and new.columns == e.columns
+    refused = sorted(((r.id, r.acting_org_id, r.reason) for r in rejected.collect()), key=str)
+    want = [(1, 2, "FORBIDDEN")] * 2 + [(2, None, "FORBIDDEN"), (50, None, "FORBIDDEN"), (99, 1, "NOT_FOUND"), (None, 1, "NOT_FOUND")]
+    assert refused == sorted(want, key=str)
+    empty = mutate.settle_acks(e, a.filter("false"), "2024-01-31 00:00:00")
+    assert empty.count() == len(events) and empty.filter("reason IS NOT NULL").isEmpty()
+
+
 def test_literacy_running_ends_at_the_score(events):
     run = running.literacy_running(events)
     last = {r.user_id: r.s for r in run.groupBy("user_id").agg(F.max_by("score", F.struct("timestamp", "id")).alias("s")).collect()}

@@ -60,6 +60,54 @@ def test_quota_state_crosses_batches(spark, tmp_path):
     assert got == want
 
 
+def _call_files(spark, folder, parts):
+    """One file a part, in the order in which the stream reads them."""
+    folder.mkdir(exist_ok=True)
+    for n, rows in parts:
+        path = folder.parent / f"part{n}"
+        spark.createDataFrame(rows, "id long, key_id long, timestamp timestamp_ntz").coalesce(1).write.parquet(str(path))
+        piece = next(path.glob("*.parquet")).rename(folder / f"calls{n}.parquet")
+        os.utime(piece, (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def test_quota_state_follows_changed_keys_and_closed_months_leave(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rt, "COMPACT_EVERY", 2)
+    day = lambda m, d: dt.datetime(2024, m, d)
+    keys = spark.createDataFrame([(k, 3) for k in range(50)], "key_id long, monthly_limit long")
+    parts = [
+        [(k, k, day(1, 10)) for k in range(50)],
+        [(100, 1, day(1, 31)), (101, 1, day(2, 1))],
+        [(200, 1, day(2, 5)), (201, 1, day(1, 30)), (202, 99, day(2, 5))],  # late, but January is open till 8 February
+        [(300, 2, day(2, 20)), (301, 1, day(2, 20)), (302, 1, day(2, 21))],
+        [(400, 1, day(1, 31)), (401, 1, day(2, 22))],  # January is closed
+    ]
+    _call_files(spark, tmp_path / "in", list(enumerate(parts))[:3])
+    out = str(tmp_path / "out")
+    job = lambda: jobs.quota(rt.file_stream(spark, str(tmp_path / "in"), "calls", 1), keys, out)
+    job()
+    _call_files(spark, tmp_path / "in", list(enumerate(parts))[3:])
+    job()  # a restart goes on from the checkpoint
+    got = {r.id: (r.n, r.status) for r in rt.table(spark, out, "decisions").collect()}
+    assert [got[i] for i in (1, 100, 101, 200, 201, 202)] == [(1, 200), (2, 200), (1, 200), (2, 200), (3, 200), (None, 401)]
+    assert [got[i] for i in (300, 301, 302, 400, 401)] == [(1, 200), (3, 200), (4, 429), (1, 200), (5, 429)]
+    sizes = [spark.read.parquet(rt.batch_folder(out, "state", i)).count() for i in range(5)]
+    assert sizes == [50, 2, 2, 2, 2]  # keys and months that a batch changes
+    assert rt.runs_upto(spark, out, "state", 4) == [(0, 4), (2, 3)]
+    assert {(r.key_id, r.month.month, r.used) for r in spark.read.parquet(rt.batch_folder(out, "state-compact2", 3)).collect()} == {(1, 2, 4), (2, 2, 1)}
+
+
+def test_levels_of_merged_runs(spark, tmp_path):
+    out, keys = str(tmp_path), ["k"]
+    for b in range(9):
+        rows = [(b % 3, f"{b}"), (10 + b, "once")]
+        rt.save_version(spark.createDataFrame(rows, "k long, v string").coalesce(1), out, "t", b, keys, every=2)
+        got = {r.k: r.v for r in rt.latest(spark, out, "t", keys, every=2).collect()}
+        assert got == {**{i % 3: f"{i}" for i in range(b + 1)}, **{10 + i: "once" for i in range(b + 1)}}
+    runs = lambda b: rt.runs_upto(spark, out, "t", b, every=2)
+    assert runs(7) == [(3, 7)] and runs(8) == [(0, 8), (3, 7)] and runs(6) == [(0, 6), (1, 5), (2, 3)]
+    assert {r.k for r in rt.latest(spark, out, "t", keys, upto=1, every=2).collect()} == {0, 1, 10, 11}
+
+
 def test_counters_and_literacy_over_batches(spark, tmp_path, monkeypatch):
     events = spark.createDataFrame(skewed_events(900), SCHEMA)
     (tmp_path / "in").mkdir()
