@@ -13,7 +13,7 @@ from maskwright.plans import detect_sql as D
 from maskwright.plans.registry import query
 from maskwright.sources import sinks
 from maskwright.session import checkpoint_root
-from maskwright.sources.files import read_files, spread
+from maskwright.sources.files import key_of, read_files, spread, write_files
 from maskwright.sources.golden import seeded
 from maskwright.sources.views import AS_OF
 
@@ -408,9 +408,9 @@ def scan_project(t):
 def dir_scan(t):
     """A folder of text files, one a document, read back, scanned and reported file by file."""
     root = f"{checkpoint_root(t.spark)}/dir-scan-{uuid.uuid4().hex}"
-    _docs(t).withColumnRenamed("text", "value").repartition("doc_id").write.partitionBy("doc_id").text(root)
+    write_files(_docs(t), root, "doc_id")
     found = S.file_scan_report(S.scan(spread(read_files(t.spark, root)), redact=False))
-    doc_id = F.regexp_extract("path", r"doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
+    doc_id = key_of(F.col("path"), "doc_id").alias("doc_id")
     return found.select(doc_id, "char_count", F.array_join("detected_types", ",").alias("detected_types"), "action", "match_count")
 
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import FILE_EXTENSIONS, extension_of, extract_text, mime_of
 from maskwright.session import SPREAD
 
+# folders that written files are dealt over: each is listed by a task of its own
+FOLDERS = 256
+# tasks that read the files of a folder: so many a core, and at least so many
+TASKS_A_CORE, LEAST_TASKS = 32, 512
+
 
 def corpus(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """``(id, text, …)``; a missing text is an empty one."""
@@ -24,9 +34,68 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+def _by_file(df: DataFrame, root: str, key: str) -> None:
+    """One file per ``path`` of rows (path, line) that come in its order; a file appears when it is whole, so a task may run again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = FileSystem.from_uri(root)
+        folders, at, out, n = set(), None, None, 0
+        part = f"{top}/_{uuid.uuid4().hex}"
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                store.move(part, f"{top}/{at}")
+
+        for batch in batches:
+            for path, line in zip(batch.column("path").to_pylist(), batch.column("line")):
+                if path != at:
+                    end()
+                    folder = path.rpartition("/")[0]
+                    if folder not in folders:
+                        store.create_dir(f"{top}/{folder}", recursive=True)
+                        folders.add(folder)
+                    at, out, n = path, store.open_output_stream(part), n + 1
+                out.write(line.as_buffer())
+        end()
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    file = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(".txt"))
+    path = F.concat(F.pmod(F.xxhash64(file), F.lit(FOLDERS)).cast("string"), F.lit("/"), file)
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary")
+    rows = df.select(path.alias("path"), line.alias("line")).repartition("path").sortWithinPartitions("path")
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def write_files(df: DataFrame, root: str, key: str) -> None:
+    """The ``text`` of every row as a line of the file of its ``key``, a number: one file a key below ``root``.
+
+    Spark's writer makes a folder for every key, and renames and lists each; it only serves where the store of
+    ``root`` is none that Arrow opens.
+    """
+    try:
+        FileSystem.from_uri(root)
+    except (OSError, pa.ArrowInvalid):
+        df.select(key, F.col("text").alias("value")).repartition(key).write.partitionBy(key).text(root)
+    else:
+        _by_file(df, root, key)
+
+
+def key_of(path: Column, key: str) -> Column:
+    """The key of a file of ``write_files``; null for the file of rows without one."""
+    return F.nullif(F.regexp_extract(path, rf"/{key}=(-?[0-9]+)(?:\.txt$|/)", 1), F.lit("")).cast("long")
+
+
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``. Spark counts a file as 4 MB at least (``spark.sql.files.openCostInBytes``), so that a
+    few small ones fill a split; a task here reads several splits, row by row."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.coalesce(max(LEAST_TASKS, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+
+
 def supported_files(spark: SparkSession, root: str) -> DataFrame:
     """Recursive listing of the supported files, without their content."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = _binary(spark, root)
     return (
         listed.select("path", "modificationTime", "length")
         .withColumn("extension", extension_of(F.col("path")))
@@ -37,7 +106,7 @@ def supported_files(spark: SparkSession, root: str) -> DataFrame:
 def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Text of every supported file. With ``max_bytes`` (the upload limit is MAX_BYTES), larger files
     carry an error code and are never loaded, since their length comes from the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = _binary(spark, root)
     files = files.withColumn("extension", extension_of(F.col("path"))).filter(F.col("extension").isin(*FILE_EXTENSIONS))
     files = files.withColumn("mime", mime_of(F.col("path")))
     small = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)

@@ -158,6 +158,45 @@ def test_directory_scan(spark, tmp_path):
     assert got["b.md"].clean and got["d.xlsx"].clean  # spreadsheets have no fallback text
 
 
+class Unopened:
+    """Of a store that Arrow does not know."""
+
+    @staticmethod
+    def from_uri(uri):
+        raise files.pa.ArrowInvalid(uri)
+
+
+@pytest.mark.parametrize("store", ["arrow", "spark"])
+def test_one_file_a_key_in_few_folders(spark, tmp_path, monkeypatch, store):
+    """Rows of a key are lines of one file; folders and reading tasks do not grow with the files."""
+    if store == "spark":
+        monkeypatch.setattr(files, "FileSystem", Unopened)
+    else:
+        monkeypatch.setattr(files, "FOLDERS", 7)
+        monkeypatch.setattr(files, "LEAST_TASKS", 5)
+        monkeypatch.setattr(files, "TASKS_A_CORE", 0)
+    rows = [(i, f"mail a{i}@b.com é") for i in range(60)] + [(7, "again"), (-3, ""), (8, None), (None, "x"), (None, "y")]
+    files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path), "doc_id")
+    want = {}
+    for k, v in rows:
+        want.setdefault(k, []).append(f"{v or ''}\n")
+    read = files.read_files(spark, str(tmp_path))
+    got = {r.k: r.text for r in read.select(files.key_of(F.col("path"), "doc_id").alias("k"), "text").collect()}
+    assert read.count() == len(want) == len(got)
+    assert {k: sorted(v.splitlines(True)) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    if store == "arrow":
+        assert len(os.listdir(tmp_path)) <= 7 and read.rdd.getNumPartitions() <= 5
+
+
+def test_scan_of_a_folder_with_odd_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(0, None), (1, "a"), (1, "a"), (None, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["dir_scan"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.detected_types, r.match_count) for r in got} == {0: ("EMAIL", 1), 1: ("PHONE", 2), None: ("", 0)}
+
+
 def test_sql_functions(spark):
     sqlfuncs.register(spark)
     r = spark.sql("SELECT iban_valid('DE89370400440532013000') v, redact_tag(t, detect(t)) r, action_of(detected_types(detect(t))) a FROM VALUES ('to a@b.com') x(t)").first()
