@@ -29,12 +29,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream over ``<folder>/<name>.parquet`` (or every ``<name>*.parquet``)."""
-    schema = spark.read.parquet(f"{folder}/{name}*.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Stream over ``<folder>/<name>.parquet`` (or every ``<name>*.parquet``); each may be a file or a folder of files."""
+    path = f"{folder}/{name}*.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def run(stream: DataFrame, out: str, write: BatchWriter, mode: str = "append") -> None:
