@@ -13,17 +13,17 @@ A name is the run of words behind a form of address or a given name of the lexic
 apostrophes, hyphens, particles and any white space but an empty line. Its words are entities of their
 own, and every later or earlier mention of one of them in the same document is replaced alike; there,
 words of FUNCTION are left, since they begin sentences. Words in capitals are the same entities, and
-their surrogates are in capitals. Initials keep no distinctness: there are too few. Of a run of more than
-nine forms of address the last nine count, and a given name of the lexicon has at most eight hyphens.
+their surrogates are in capitals. A later attempt for an initial takes two letters, as in "Th."; initials that
+occur may be surrogates of others, as given names may. Of a run of more than nine forms of address the last nine count, and a given name of the lexicon has at most eight hyphens.
 
 Accounts are found in capitals or lower case; in lower case only the group of the bank may be letters.
 National ids, VAT numbers, dates of birth, addresses, more phone numbers and secrets are found by the
 patterns of the detector catalogue, whether or not their check digits are right. Surrogates of national
-ids have right ones and plausible dates; those of VAT numbers keep country and length only. Dates of
-birth, VAT numbers, addresses and secrets keep no distinctness: their formats may leave fewer values than occur.
+ids have right ones and plausible dates; those of VAT numbers keep country and length only. Later attempts
+for dates of birth draw from more years, and from 28 days where a number over twelve tells the day from the month.
 
 Where a format has too few values, entities that still meet after LAST_OF_FORMAT attempts get a surrogate
-with a tail of ten hex digits.
+with a tail of ten hex digits; a secret without letters and digits gets one at once.
 
 Defined results: a null or empty text, and one without entities, stays as it is. Very long texts are
 searched whole; no alternative recurses or tries a run twice. Repeated rows are treated alike, as are rows
@@ -82,10 +82,10 @@ _TITLE = rf"(?:{'|'.join(ADDRESS)})\.?"
 _LEAD = rf"^(?:{_TITLE}{_GAP})++"
 _TOKEN = rf"(?<!\p{{L}})\p{{Lu}}\.|{_PART}|[^\p{{L}}]++"
 MENTION = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])\p{{Lu}}{_LETTERS}"
-# kinds with too few values to be told apart, and what is not replaced
 SPACED = ["card", "phone", "account", "national-FR", "national-AT"]
 LAST_OF_FORMAT = 15
-UNSETTLED, KEPT = ["initial", "birth", "vat", "place", "secret"], "kept"
+# what is not replaced
+KEPT = "kept"
 _KEYWORD = r"(?i:password|passwd|pwd|api[_-]?key|apikey|secret|access_token|auth_token|token)\s*[:=]\s*|(?i:2fa|totp|otp|mfa)\s*[:=]?\s*(?=[0-9]{6,8}$)"
 _SECRET = rf"^(?:{_KEYWORD}|sk[-_](?:live|test)[-_](?=[a-zA-Z0-9]{{24}})|AKIA(?=[A-Z0-9]{{16}}$)|gh[pos]_(?=[a-zA-Z0-9]{{36}}$)|glpat-(?=[a-zA-Z0-9_-]{{20}})|xox[bp]-(?=[0-9]+-)|Bearer\s+(?=[a-zA-Z0-9._-]{{20}}))(?=\S+$)"
 _BIRTH = r"^(?i:dob|date of birth|born on|born:?|birthday)\s*[:=]?\s*(?=[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$)"
@@ -343,14 +343,19 @@ def _national(country: str, norm: Column, like: Column, d: Column) -> Column:
     return F.concat(F.substring(body, 1, 3), (_weighted(body, weights) % 11).cast("string"), F.substr(body, F.lit(4)))
 
 
-def _birth(norm: Column, d: Column) -> Column:
-    """A date in the form of ``norm``; days go up to twelve, so that they may stand for months."""
+def _birth(norm: Column, attempt: Column, d: Column) -> Column:
+    """A date in the form of ``norm``; days go up to twelve, so that they may stand for months. Later attempts draw
+    from more years, and from 28 days where a number over twelve tells the day from the month."""
     parts, marks = F.split(norm, "[/.-]"), F.regexp_extract_all(norm, F.lit("[/.-]"), F.lit(0))
+    more = attempt > 3
 
     def one(i: int) -> Column:
         n, size = _number(d, 10 + 8 * i), F.length(parts[i])
-        year = F.when(size == 4, n % 70 + 1940).when(size == 2, n % 60 + 40).otherwise(n % 900 + 100)
-        return F.when((size > 2) | (F.lit(i == 2) & (F.length(parts[0]) < 3)), year).when(size == 1, n % 9 + 1).otherwise(n % 12 + 1).cast("string")
+        few = F.when(size == 4, n % 70 + 1940).when(size == 2, n % 60 + 40).otherwise(n % 900 + 100)
+        many = F.when(size == 4, n % 130 + 1900).when(size == 2, n % 100).otherwise(n % 900 + 100)
+        is_year = (size > 2) | (F.lit(i == 2) & (F.length(parts[0]) < 3))
+        days = F.when(more & (parts[i].cast("int") > 12), 28).otherwise(12)
+        return F.when(is_year, F.when(more, many).otherwise(few)).when(size == 1, n % 9 + 1).otherwise(n % days + 1).cast("string")
 
     padded = [F.lpad(one(i), F.length(parts[i]), F.lit("0")) for i in range(3)]
     return F.concat(padded[0], marks[0], padded[1], marks[1], padded[2])
@@ -363,13 +368,21 @@ def _place(norm: Column, like: Column) -> Column:
     return F.concat(first, F.substr(like, F.lit(2), F.length(norm) - F.length(street) - 1), street)
 
 
-def _initial(norm: Column, d: Column) -> Column:
-    """Another letter of the same script, with the full stop if there is one."""
-    out = norm
-    for script, (vowels, consonants, _) in LETTERS.items():
+def _initial(norm: Column, attempt: Column, d: Column) -> Column:
+    """Another letter of the same script, or a Latin one for other scripts, with the full stop if there is one. The
+    first attempt prefers a consonant, later ones take any letter, those after the fourth a second letter, too."""
+
+    def of(vowels: str, consonants: str) -> Column:
         drawn = F.array(F.translate(F.substring(d, 1, 1), HEX, consonants), F.translate(F.substring(d, 2, 1), HEX, vowels))
         other = F.filter(F.transform(drawn, F.upper), lambda x: x != F.substring(norm, 1, 1))[0]
-        out = F.when(norm.rlike(f"^[{BLOCKS[script]}]"), F.concat(other, F.substr(norm, F.lit(2)))).otherwise(out)
+        letters = "".join(dict.fromkeys(consonants + vowels))
+        letter = lambda at: F.substr(F.lit(letters), _number(d, at) % len(letters) + 1, F.lit(1))
+        two = F.concat(F.upper(letter(10)), F.when(attempt > 3, letter(20)).otherwise(""))
+        return F.concat(F.when(attempt == 0, other).otherwise(two), F.substr(norm, F.lit(2)))
+
+    out = of(*LETTERS["latin"][:2])
+    for script in ("cyrillic", "greek"):
+        out = F.when(norm.rlike(f"^[{BLOCKS[script]}]"), of(*LETTERS[script][:2])).otherwise(out)
     return out
 
 
@@ -416,9 +429,9 @@ def surrogate(kinds: list[str], kind: Column, norm: Column, attempt: Column, d:
         "phone": phone,
         "account": account,
         "surname": lambda: F.concat(like, F.when(attempt > 3, F.translate(F.substring(d, 40, 3), HEX, LETTERS["latin"][0])).otherwise("")),
-        "initial": lambda: _initial(norm, d),
+        "initial": lambda: _initial(norm, attempt, d),
         "secret": lambda: like,
-        "birth": lambda: _birth(norm, d),
+        "birth": lambda: _birth(norm, attempt, d),
         "place": lambda: _place(norm, like),
         "vat": lambda: F.concat(F.regexp_extract(norm, "^[A-Z]+", 0), F.regexp_extract(like, "[0-9]+$", 0)),
     }
@@ -427,7 +440,8 @@ def surrogate(kinds: list[str], kind: Column, norm: Column, attempt: Column, d:
     out = F.when(F.lit(False), F.lit(""))
     for name in kinds:
         out = out.when(kind == name, forms[name]())
-    return F.when(attempt > LAST_OF_FORMAT, F.concat(out, F.substring(d, 100, 10))).otherwise(out)
+    stays = (kind == "secret") & ~norm.rlike(r"[\p{L}0-9]")
+    return F.when((attempt > LAST_OF_FORMAT) | stays, F.concat(out, F.substring(d, 100, 10))).otherwise(out)
 
 
 def _spelt(value: Column, kind: Column, replaced: Column) -> Column:
@@ -477,8 +491,8 @@ def assign(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
             taken = taken.unionByName(settled.select("kind", "surrogate", F.lit(True).alias("used")))
         taken = taken.groupBy("kind", "surrogate").agg(F.max("used").alias("used"))
         marked = tried.join(winner, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
-        # given names come from the lexicon, which may occur: there, only others' surrogates are taken
-        free = F.when(F.col("kind").startswith("given"), ~F.coalesce("used", F.lit(False))).otherwise(F.col("used").isNull())
+        # given names come from the lexicon and initials from the alphabet, which may occur: there, only others' surrogates are taken
+        free = F.when(F.col("kind").startswith("given") | (F.col("kind") == "initial"), ~F.coalesce("used", F.lit(False))).otherwise(F.col("used").isNull())
         good = (F.col("norm") == F.col("first")) & free & (F.col("norm") != F.col("surrogate"))
         marked = stored(marked.select("kind", "norm", "surrogate", "attempt", good.alias("good")))
         now = marked.where("good").select("kind", "norm", "surrogate")
@@ -503,10 +517,7 @@ def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text
     words = words.withColumn("kind", kind_of(F.col("word"), F.col("form"), F.col("j")))
     words = stored(words.withColumn("norm", normal(F.col("word"), F.col("kind"))))
     distinct = words.where(F.col("kind") != KEPT).select("kind", "norm").distinct()
-    unsettled = F.col("kind").isin(UNSETTLED)
-    known = assign(distinct.where(~unsettled), key)
-    loose = distinct.where(unsettled).withColumn("attempt", F.lit(0))
-    known = known.unionByName(_tried(loose, key, UNSETTLED).drop("attempt"))
+    known = assign(distinct, key)
     new = F.coalesce(_spelt(F.col("word"), F.col("kind"), F.col("surrogate")), F.col("word"))
     mentioned = F.col("kind").rlike("^(given|surname)") & F.col("norm").rlike(r"^\p{Lu}") & ~F.lower("norm").isin([w.lower() for w in FUNCTION])
     spelt = words.join(known, ["kind", "norm"], "left").select("value", F.struct("j", new.alias("new"), "norm", mentioned.alias("m"), F.col("surrogate").alias("plain")).alias("part"))

@@ -408,6 +408,26 @@ def test_surrogates_of_a_format_that_runs_out(spark):
     assert len(got) == 10 == len({r.surrogate for r in got}) and not {r.norm for r in got} & {r.surrogate for r in got}
 
 
+def test_surrogates_of_every_kind_stay_distinct(spark):
+    """Initials, dates, VAT numbers, addresses and secrets meet in few values: all differ, and none stays itself."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    days = [f"{d:02}.{m:02}.{y}" for d in (5, 25) for m in range(1, 13) for y in range(1950, 1960)]
+    of = {"initial": [f"Anna {c}. Berg" for c in letters], "birth": [f"born on {d}" for d in days], "vat": [f"VAT DE1234567{i:02}" for i in range(50)]}
+    of |= {"place": [f"{i}{i} AB" for i in range(10, 60)], "secret": [f"password: ab{i}" for i in range(60)] + ["password: ********", "password: ****"]}
+    texts = [t for several in of.values() for t in several] + ["Anna \u0531. Berg"]
+    rows = surrogates.replace(table(spark, texts), "k").orderBy("doc_id").collect()
+    out = [r.surrogates.text for r in rows]
+    assert all(a != b and r.surrogates.n_entities == 1 for a, b, r in zip(texts, out, rows))
+    start = 0
+    for kind, several in of.items():
+        got = out[start : start + len(several)]
+        assert len({t.split(" ", 1)[1] if kind == "initial" else t for t in got}) == len(several), kind
+        start += len(several)
+    initials = [re.fullmatch(r"\w+ ([A-Z][a-z]?\.) \w+", t)[1] for t in out[: len(letters)]]
+    assert all(i != f"{c}." for i, c in zip(initials, letters)) and re.fullmatch(r"\w+ [A-Z][a-z]?\. \w+", out[-1])
+    assert all(re.fullmatch(r"born on \d\d\.\d\d\.\d{4}", t) for t in out[len(letters) :][: len(days)])
+
+
 def test_search_of_long_repetitions_ends(spark):
     """Every alternative on long runs, found or not, and both patterns alike on texts without @."""
     n = 20_000
