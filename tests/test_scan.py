@@ -175,17 +175,18 @@ def test_one_file_a_key_in_few_folders(spark, tmp_path, monkeypatch, store):
         monkeypatch.setattr(files, "FOLDERS", 7)
         monkeypatch.setattr(files, "LEAST_TASKS", 5)
         monkeypatch.setattr(files, "TASKS_A_CORE", 0)
+    root = str(tmp_path / "files")
     rows = [(i, f"mail a{i}@b.com é") for i in range(60)] + [(7, "again"), (-3, ""), (8, None), (None, "x"), (None, "y")]
-    files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path), "doc_id")
+    files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), root, "doc_id")
     want = {}
     for k, v in rows:
         want.setdefault(k, []).append(f"{v or ''}\n")
-    read = files.read_files(spark, str(tmp_path))
+    read = files.read_files(spark, root)
     got = {r.k: r.text for r in read.select(files.key_of(F.col("path"), "doc_id").alias("k"), "text").collect()}
     assert read.count() == len(want) == len(got)
     assert {k: sorted(v.splitlines(True)) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     if store == "arrow":
-        assert len(os.listdir(tmp_path)) <= 7 and read.rdd.getNumPartitions() <= 5
+        assert len(os.listdir(root)) <= 7 and read.rdd.getNumPartitions() <= 5
 
 
 def test_scan_of_a_folder_with_odd_rows(spark, tmp_path):
