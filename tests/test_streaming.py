@@ -227,10 +227,13 @@ def test_configuration_is_held_while_the_table_is_replaced(spark, tmp_path):
 
 
 def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
-    """A stream reads ``documents.parquet`` whole, be it a file or a folder."""
+    """Both scans of a stream read ``documents.parquet`` whole, be it a file or a folder."""
     import __spark_entry__ as entry
 
     spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"N{i}") for i in range(25)], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
     gate = entry.queries()["st_scan_gate"](spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in gate) == list(range(40)) and {r.route for r in gate} == {"held", "passed"}
     assert rt.file_stream(spark, str(tmp_path), "documents").schema == spark.read.parquet(str(tmp_path / "documents.parquet")).schema
+    decided = entry.queries()["st_config_refresh"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.org_id) for r in decided) == [(i, i % 25) for i in range(40)]
