@@ -29,9 +29,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream over ``<folder>/<name>.parquet`` (or every ``<name>*.parquet``); each may be a file or a folder of files."""
+    """Stream over ``<folder>/<name>.parquet`` (or every ``<name>*.parquet``); each may be a file or a folder of files.
+
+    A folder of files may be partitioned: a stream over a pattern finds the columns in folder names by ``basePath`` only.
+    """
     path = f"{folder}/{name}*.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    base = {"basePath": folder} if _exists(spark, folder) else {}  # no such path: ``folder`` is a pattern itself
+    reader = spark.readStream.schema(spark.read.options(**base).parquet(path).schema).options(**base)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)

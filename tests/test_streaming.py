@@ -237,3 +237,27 @@ def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
     assert rt.file_stream(spark, str(tmp_path), "documents").schema == spark.read.parquet(str(tmp_path / "documents.parquet")).schema
     decided = entry.queries()["st_config_refresh"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.org_id) for r in decided) == [(i, i % 25) for i in range(40)]
+
+
+def test_a_table_may_be_a_partitioned_folder(spark, tmp_path):
+    """Columns that stand in folder names only are read, and those files are no error."""
+    import __spark_entry__ as entry
+
+    rows = [(i, f"text {i}", [None, "en", "de/x"][i % 3], i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, part int")
+    docs.write.partitionBy("lang", "part").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"N{i}") for i in range(25)], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    decided = entry.queries()["st_config_refresh"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.org_id) for r in decided) == [(i, i % 25) for i in range(40)]
+    out = str(tmp_path / "out")
+    rt.run(rt.file_stream(spark, str(tmp_path), "documents"), out, lambda b, i: rt.save(b, out, "whole", i))
+    got = rt.table(spark, out, "whole").select("doc_id", "text", "lang", "part").collect()
+    assert sorted(map(tuple, got)) == rows
+
+
+def test_the_folder_of_a_stream_may_be_a_pattern(spark, tmp_path):
+    for i in range(2):
+        spark.range(5 * i, 5 * i + 5).write.parquet(str(tmp_path / f"day{i}" / "calls.parquet"))
+    out = str(tmp_path / "out")
+    rt.run(rt.file_stream(spark, f"{tmp_path}/day*", "calls"), out, lambda b, i: rt.save(b, out, "whole", i))
+    assert sorted(r.id for r in rt.table(spark, out, "whole").collect()) == list(range(10))
