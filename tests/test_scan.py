@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 
 import pytest
@@ -189,6 +190,69 @@ def test_one_file_a_key_in_few_folders(spark, tmp_path, monkeypatch, store):
         assert len(os.listdir(root)) <= 7 and read.rdd.getNumPartitions() <= 5
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no file's name; names, hidden and empty files, links and times are taken as Spark takes them."""
+    root = tmp_path / "a b%20c"
+    odd = ["x y%20.txt", "é#.txt", "_a.txt", "_a=.txt", ".b.txt", "c.txt._COPYING_", "_metadata.txt", "n.log"]
+    for name in odd + ["_h/1.txt", ".q/1.txt", "_k=1/1.md", "_metadata/1.txt", "_metadata/_metadata", "s/t/u/1.TXT", "s/t/2.txt", "s/e.txt"]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("" if name == "s/e.txt" else f"mail é{name}@b.com")
+    os.symlink(root / "s", root / "linked")
+    os.symlink(root / "nowhere", root / "broken.txt")
+    want = files._binary(spark, str(root))
+    for asked in (str(root), f"file://{root}/"):
+        assert files.read_files(spark, asked).inputFiles() == files.supported_files(spark, asked).inputFiles() == []
+        listed, loaded = files._listed(spark, asked)
+        for got, columns in ((listed, ["path", "modificationTime", "length"]), (loaded(listed), ["path", "length", "content"])):
+            assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+    assert want.count() == 10
+    one = files.read_files(spark, str(root / "s/t/2.txt")), files.read_files(spark, str(root / "s/t/*.txt").replace("%20", "?20"))
+    assert [[r.text for r in x.collect()] for x in one] == [["mail és/t/2.txt@b.com"]] * 2
+
+
+def test_files_of_many_batches(spark, tmp_path, monkeypatch):
+    """Each file comes with its own text, wherever an Arrow batch ends; few tasks read few files."""
+    monkeypatch.setattr(files, "BATCH_BYTES", 100)
+    monkeypatch.setattr(files, "BATCH_FILES", 4)
+    for i in range(150):
+        (tmp_path / f"{i}.txt").write_text(f"{i} " * (200 if i % 9 == 0 else 1 + i % 7))
+    read = files.read_files(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 8
+    got = {os.path.basename(r.path): (r.text, r.length) for r in read.collect()}
+    assert got == {f"{i}.txt": (t := f"{i} " * (200 if i % 9 == 0 else 1 + i % 7), len(t)) for i in range(150)}
+
+
+def test_written_texts_are_not_shuffled(spark, tmp_path):
+    """Names of parts are; rows of a key meet in its file from whichever tasks and batches, and no part is left."""
+    texts = {i: [f"{i} {j} " + "".join(random.Random(7 * i + j).choices("abcdefgh", k=9_000)) for j in range(1 + 4 * (i == 3))] for i in range(60)}
+    rows = spark.createDataFrame([(k, v) for k, vs in texts.items() for v in vs], "doc_id long, text string").repartition(5)
+    rows.write.parquet(str(tmp_path / "rows"))
+    disk, listed = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    shuffled = lambda: {f.getName(): f.length() for f in listed(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    files.write_files(spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "files"), "doc_id")
+    assert sum(n for name, n in shuffled().items() if name not in before) < 60_000
+    got = {p.name: sorted(p.read_text().splitlines()) for p in (tmp_path / "files").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert got == {f"doc_id={k}.txt": sorted(vs) for k, vs in texts.items()}
+
+
+def test_a_file_is_settled_again(tmp_path):
+    """A task that runs again finds some parts gone: its file is kept. Without the file, that is an error."""
+    store, path = files.FileSystem.from_uri(str(tmp_path))[0], str(tmp_path / "k=1.txt")
+    for n, left in ((1, 0), (3, 0), (3, 2)):
+        parts = [str(tmp_path / f"_{n}{left}{i}") for i in range(n)]
+        for part in parts:
+            open(part, "w").write(part[-1])
+        files._settle(store, path, parts)
+        for part in parts[n - left :]:
+            open(part, "w").write("again")
+        files._settle(store, path, parts)
+        assert open(path).read() == "012"[:n]
+    os.remove(path)
+    with pytest.raises(FileNotFoundError):
+        files._settle(store, path, parts)
+
+
 def test_scan_of_a_folder_with_odd_rows(spark, tmp_path):
     import __spark_entry__ as entry
 
